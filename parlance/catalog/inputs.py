@@ -158,7 +158,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN doc_id % 10 = 0 THEN NULL ELSE n_chars END AS length
         FROM {documents}""",
     "fx_workspaces": """
-        SELECT c_custkey AS workspace_id, c_name AS name, CAST(c_acctbal * 100 AS BIGINT) AS updated_at FROM {customer}""",
+        SELECT c_custkey AS workspace_id, c_name AS name, CAST(round(c_acctbal * 100) AS BIGINT) AS updated_at FROM {customer}""",
 }
 
 _NAME = re.compile(r"\{(\w+)\}")

@@ -13,7 +13,7 @@ from .inputs import Inputs, with_views
 Query = Callable[[Inputs], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("sources", "documents", "retrieval", "glossary", "research")
+_MODULES = ("sources", "documents", "retrieval", "glossary", "research", "sessions", "feedback", "dashboard", "audit", "streams")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

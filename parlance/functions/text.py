@@ -135,29 +135,46 @@ def is_plausible_line(line: Column) -> Column:
     )
 
 
-def block_language(
-    text: Column,
+def _language(chars: Column, letters: Column, marked: Column, tokens: Column,
+              english_words: tuple[str, ...], english_min_share: float) -> Column:
+    english = F.filter(tokens, lambda w: w.isin(*english_words))
+    return (
+        F.when(chars < DETECT_MIN_CHARS, "unknown")
+        .when(letters == 0, "unknown")
+        .when(marked >= VIETNAMESE_MIN_SHARE * letters, "vi")
+        .when(F.size(english) >= english_min_share * F.size(tokens), "en")
+        .otherwise("unknown")
+    )
+
+
+def block_languages(
+    texts: Column,
     english_words: tuple[str, ...] = ENGLISH_WORDS,
     english_min_share: float = ENGLISH_MIN_SHARE,
 ) -> Column:
-    """``vi``, ``en`` or ``unknown`` for one block of text.
+    """``vi``, ``en`` or ``unknown`` for every text of an array.
 
     Marked letters decide first. Their set contains é, è, ê, à, ó and more, so
     French or Spanish text is labelled ``vi`` as well; that is the rule. What is
     left is English when enough of its words are English function words.
+
+    Expressions inside a lambda are evaluated wherever they appear, so each
+    step binds what the next one uses more than once.
     """
-    body = F.lower(strip(text))
-    letters = F.length(F.regexp_replace(body, r"[^\p{L}]", ""))
-    marked = F.length(F.regexp_replace(body, f"[^{VIETNAMESE_LETTERS}]", ""))
-    tokens = F.filter(F.split(body, r"[^\p{L}]+"), lambda w: w != "")
-    english = F.filter(tokens, lambda w: w.isin(*english_words))
-    return (
-        F.when(F.length(strip(text)) < DETECT_MIN_CHARS, "unknown")
-        .when(letters == 0, "unknown")
-        .when(marked >= VIETNAMESE_MIN_SHARE * letters, "vi")
-        .when(F.size(english) >= english_min_share * F.size(tokens), "en")
-        .otherwise("unknown")
-    )
+    bodies = F.transform(F.transform(texts, strip), lambda b: F.struct(F.length(b).alias("n"), F.lower(b).alias("low")))
+    measured = F.transform(bodies, lambda b: F.struct(
+        b["n"].alias("n"),
+        F.length(F.regexp_replace(b["low"], r"[^\p{L}]", "")).alias("letters"),
+        F.length(F.regexp_replace(b["low"], f"[^{VIETNAMESE_LETTERS}]", "")).alias("marked"),
+        F.filter(F.split(b["low"], r"[^\p{L}]+"), lambda w: w != "").alias("tokens"),
+    ))
+    return F.transform(measured, lambda m: _language(
+        m["n"], m["letters"], m["marked"], m["tokens"], english_words, english_min_share))
+
+
+def block_language(text: Column, **detector) -> Column:
+    """:func:`block_languages` of one text."""
+    return block_languages(F.array(text), **detector)[0]
 
 
 def excerpt(text: Column, limit: int) -> Column:

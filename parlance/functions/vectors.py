@@ -16,8 +16,12 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Scaled to length one; a zero vector is returned as it is."""
-    length = norm(v)
-    return F.when(length == 0, v.cast("array<double>")).otherwise(
-        F.transform(v.cast("array<double>"), lambda x: x / length)
+    """Scaled to length one; a zero vector is returned as it is.
+
+    The sum of squares is bound once by the closing step, not per element.
+    """
+    values = v.cast("array<double>")
+    return F.aggregate(
+        values, F.lit(0.0), lambda acc, x: acc + x * x,
+        lambda total: F.when(total == 0, values).otherwise(F.transform(values, lambda x: x / F.sqrt(total))),
     )

@@ -113,9 +113,7 @@ def reject_low_text(documents: DataFrame, limit: int = LOW_TEXT_CHARS) -> DataFr
 
 def label_blocks(documents: DataFrame, **detector) -> DataFrame:
     """Adds ``block_langs``, aligned with ``blocks``."""
-    return documents.withColumn(
-        "block_langs", F.transform("blocks", lambda b: tx.block_language(b, **detector))
-    )
+    return documents.withColumn("block_langs", tx.block_languages(F.col("blocks"), **detector))
 
 
 def best_split(langs: Column) -> Column:
@@ -129,30 +127,32 @@ def best_split(langs: Column) -> Column:
     known = F.filter(indexed, lambda b: b["lang"].isin("vi", "en"))
     n_vi = F.size(F.filter(langs, lambda x: x == "vi"))
     n_en = F.size(F.filter(langs, lambda x: x == "en"))
+    # The totals are part of the running state: inside the step they would be counted per block.
     start = F.struct(
-        F.lit(0).alias("vi"), F.lit(0).alias("en"), F.lit(0).alias("correct"),
-        F.lit(None).cast("int").alias("cut"),
+        n_vi.alias("all_vi"), n_en.alias("all_en"), F.lit(0).alias("vi"), F.lit(0).alias("en"),
+        F.lit(0).alias("correct"), F.lit(None).cast("int").alias("cut"),
     )
 
     def step(acc: Column, block: Column) -> Column:
-        score = F.greatest(acc["vi"] + n_en - acc["en"], acc["en"] + n_vi - acc["vi"])
+        score = F.greatest(acc["vi"] + acc["all_en"] - acc["en"], acc["en"] + acc["all_vi"] - acc["vi"])
         better = (acc["vi"] + acc["en"] > 0) & (score > acc["correct"])
         return F.struct(
+            acc["all_vi"].alias("all_vi"), acc["all_en"].alias("all_en"),
             (acc["vi"] + (block["lang"] == "vi").cast("int")).alias("vi"),
             (acc["en"] + (block["lang"] == "en").cast("int")).alias("en"),
             F.when(better, score).otherwise(acc["correct"]).alias("correct"),
             F.when(better, block["idx"]).otherwise(acc["cut"]).alias("cut"),
         )
 
-    enough = n_vi + n_en >= MIN_KNOWN_BLOCKS
-    return F.aggregate(
-        known, start, step,
-        lambda acc: F.struct(
-            F.when(enough, acc["cut"]).alias("split_index"),
-            F.when(enough, acc["correct"]).otherwise(0).alias("correct"),
-            (n_vi + n_en).alias("known"),
-        ),
-    )
+    def finish(acc: Column) -> Column:
+        n = acc["all_vi"] + acc["all_en"]
+        return F.struct(
+            F.when(n >= MIN_KNOWN_BLOCKS, acc["cut"]).alias("split_index"),
+            F.when(n >= MIN_KNOWN_BLOCKS, acc["correct"]).otherwise(0).alias("correct"),
+            n.alias("known"),
+        )
+
+    return F.aggregate(known, start, step, finish)
 
 
 def _chars_of(lang: str) -> Column:

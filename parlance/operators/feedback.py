@@ -234,8 +234,8 @@ def gap_trend(pairs: DataFrame, order: list[Column], bucket: Column) -> DataFram
     scored = pairs.filter(F.col("e_overall").isNotNull() & F.col("a_overall").isNotNull()).withColumn(
         "__gap", F.abs(F.col("e_overall") - F.col("a_overall"))
     )
-    placed = ordered.positions(scored, ["workspace_id"], order, bucket, "__pos", "__total")
-    first = F.col("__pos") <= F.floor(F.col("__total") / 2)
+    placed = ordered.positions(scored, ["workspace_id"], order, bucket, "place", "n_placed")
+    first = F.col("place") <= F.floor(F.col("n_placed") / 2)
 
     def mean(condition: Column) -> Column:
         chosen = F.when(condition, F.col("__gap"))

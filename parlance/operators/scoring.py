@@ -159,7 +159,7 @@ def verbatim(
     kinds = {row[0] for row in distinct.select("__kind").distinct().collect()}   # at most five values
 
     texts = documents.select(*keys, "doc_id", tx.squash(F.col("text")).alias("__doc"))
-    words = F.split("__doc", " ")
+    words = F.col("__words")
 
     def emitted(name: str) -> Column:
         if name == "run":
@@ -175,11 +175,13 @@ def verbatim(
             lambda i: F.substring(F.col("__doc"), i, F.lit(n)),
         )
 
-    anchors = [
-        texts.select(*keys, "doc_id", F.explode(F.array_distinct(
-            F.transform(emitted(name), lambda a, name=name: F.xxhash64(F.lit(name), a)))).alias("__anchor"))
-        for name in sorted(kinds)
-    ]
+    def anchors_of(name: str) -> DataFrame:
+        hashed = F.transform(emitted(name), lambda a: F.xxhash64(F.lit(name), a))
+        return texts.withColumn("__words", F.split("__doc", " ")).select(
+            *keys, "doc_id", F.explode(F.array_distinct(hashed)).alias("__anchor")
+        )
+
+    anchors = [anchors_of(name) for name in sorted(kinds)]
     result = [*candidates.columns, "is_verbatim", "n_documents", "first_doc_id"]
     if not anchors:
         return candidates.withColumns({
