@@ -6,8 +6,6 @@ and returns the written rows; its oracle is the batch statement.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +14,12 @@ from ..session import run_dir
 from ..streaming import audit as sa
 from ..streaming import documents as sd
 from .audit import ALLOWED, allowed
+from .glossary import FOLD as STANDING_FOLD
 from .registry import query
 
+# the same fold, without terms that were there before
+FOLD = STANDING_FOLD.replace("s.term_vi_norm = r.term_key", "s.term_vi_norm = r.term_key AND false")
+
 
 def as_stream(t, df: DataFrame, order: str, files: int = 4) -> DataFrame:
     """A table as a file stream whose files are ordered ranges of ``order``."""
@@ -37,17 +39,6 @@ def drained(t, stream: DataFrame, mode: str = "append") -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def with_state_store(t, run: Callable[[], DataFrame]) -> DataFrame:
-    """Runs with the RocksDB state store, which arbitrary state needs."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(key)
-    t.spark.conf.set(key, sa.ROCKSDB)
-    try:
-        return run()
-    finally:
-        t.spark.conf.set(key, before)
-
-
 def timed(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
 
@@ -81,23 +72,29 @@ def consented_requests(t):
 def admitted_calls(t):
     calls = timed(t["fx_calls"], "ts").filter(F.col("operation_id").isNotNull()).join(allowed(t), au.CALL_KEY, "left").select(
         "id", "ts", *au.CALL_KEY, F.coalesce("allowed_calls", F.lit(0)).cast("int").alias("allowed_calls"))
-    return with_state_store(t, lambda: drained(t, sa.admitted_calls(as_stream(t, calls, "ts"))))
+    return drained(t, sa.admitted_calls(as_stream(t, calls, "ts")))
 
 
 @query("st4_first_arrivals", """
     SELECT workspace_id, sha256(text) AS content_hash, 1 AS n FROM fx_documents GROUP BY 1, 2""")
 def first_arrivals(t):
     arrivals = t["fx_documents"].select(
-        "workspace_id", "text", F.timestamp_seconds(F.col("doc_id") / 1000).alias("arrived_at"), "doc_id")
+        "workspace_id", "text", F.timestamp_seconds(1_700_000_000 + F.col("doc_id") / 1000).alias("arrived_at"), "doc_id")
     rows = drained(t, sd.first_arrivals(as_stream(t, arrivals, "doc_id"), "arrived_at"))
     return rows.groupBy("workspace_id", "content_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st5_glossary_stream")
+@query("st5_glossary_stream", f"""
+    WITH {FOLD}
+    SELECT workspace_id, term_key AS term_vi_norm, arg_min(term_vi, seq) AS term_vi,
+           coalesce(max(CASE WHEN outcome = 'updated' THEN term_en END), max(CASE WHEN outcome = 'added' THEN term_en END)) AS term_en,
+           coalesce(max(CASE WHEN outcome = 'updated' THEN confidence END), max(CASE WHEN outcome = 'added' THEN confidence END)) AS confidence,
+           'auto' AS status, 1 + count(*) FILTER (outcome IN ('bumped', 'updated')) AS frequency
+    FROM judged GROUP BY 1, 2""")
 def glossary_stream(t):
     folder = run_dir(t.spark, "glossary")
     table = sd.GlossaryTable(f"{folder}/table", buckets=8)
     source = as_stream(t, t["fx_candidates"], "seq", 3)
     started = sd.upsert_stream(source, table, f"{folder}/state").trigger(availableNow=True).start()
     started.awaitTermination()
-    return table.read(t.spark).drop("bucket", "version", "id")
+    return table.read(t.spark).select("workspace_id", "term_vi_norm", "term_vi", "term_en", "confidence", "status", "frequency")

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import CALL_KEY, attempted
 
@@ -47,40 +45,32 @@ def consented(requests: DataFrame, grants: DataFrame, keys: tuple[str, ...] = ("
     return r.join(g, condition, "left_semi")
 
 
-class BudgetProcessor(StatefulProcessor):
-    """Counts the admitted calls of one (operation, destination, provider).
-
-    The state is one number and expires with the operation.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", StructType([StructField("used", IntegerType())]), BUDGET_TTL_MS)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        used = self.used.get()[0] if self.used.exists() else 0
-        calls = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], ignore_index=True)
-        number = used + 1 + calls.index.to_numpy()
-        admitted = number <= calls["allowed_calls"].to_numpy()
-        self.used.update((int(used + admitted.sum()),))
-        yield pd.DataFrame({
-            "id": calls["id"], "operation_id": key[0], "destination": key[1], "provider": key[2], "admitted": admitted,
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def admitted_calls(calls: DataFrame) -> DataFrame:
+def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Admitted calls of one (operation, destination, provider); the state is one number."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    used = state.get[0] if state.exists else 0
+    calls = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], ignore_index=True)
+    # calls of a key share one budget, so the admitted ones are simply the first that fit
+    admitted = used + 1 + calls.index.to_numpy() <= calls["allowed_calls"].to_numpy()
+    state.update((int(used + admitted.sum()),))
+    end = int(calls["ts"].iloc[-1].timestamp() * 1000) + BUDGET_TTL_MS
+    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({
+        "id": calls["id"], "operation_id": key[0], "destination": key[1], "provider": key[2], "admitted": admitted,
+    })
+
+
+def admitted_calls(calls: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Budget admission of a call stream. calls: CALL_KEY, id, ts, allowed_calls.
 
     Calls of one key are counted in arrival order of the micro-batches and by
-    (ts, id) inside one. Needs the RocksDB state store.
+    (ts, id) inside one. A key is forgotten when event time passes the life of
+    an operation after its last call.
     """
-    return calls.groupBy(*CALL_KEY).transformWithStateInPandas(
-        statefulProcessor=BudgetProcessor(),
+    return calls.withWatermark("ts", lateness).groupBy(*CALL_KEY).applyInPandasWithState(
+        _admit,
         outputStructType="id bigint, operation_id string, destination string, provider string, admitted boolean",
-        outputMode="Append", timeMode="ProcessingTime",
+        stateStructType="used int", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
