@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import unnest
 from ..operators import chunking
 from ..operators import documents as docs
 from ..plans import flows
@@ -48,7 +49,7 @@ def stored_names(t):
     WITH {BLOCKS}, {LANGS}
     SELECT doc_id, i - 1 AS block_idx, lang FROM labelled""")
 def block_language(t):
-    return docs.label_blocks(blocks_of(t)).select("doc_id", F.posexplode("block_langs").alias("block_idx", "lang"))
+    return unnest(docs.label_blocks(blocks_of(t)), ["doc_id"], F.col("block_langs"), "lang", "block_idx")
 
 
 @query("d8_document_language", f"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import documents as docs
 from ..operators import glossary as gl
+from ..sources import tables
 from .registry import query
 from .sqltext import squash, strip, term_key
 
@@ -45,7 +46,7 @@ def term_keys(t):
 
 @query("t1_text_keys", f"SELECT doc_id, sha256({term_key('text')}) AS key_hash FROM documents")
 def text_keys(t):
-    return t["documents"].select("doc_id", F.sha2(tx.term_key(F.col("text")), 256).alias("key_hash"))
+    return tables.spread(t["documents"].select("doc_id", "text")).select("doc_id", F.sha2(tx.term_key(F.col("text")), 256).alias("key_hash"))
 
 
 @query("t2_clean_candidates", """

@@ -16,10 +16,19 @@ def clamp_score(value: Column) -> Column:
     return F.round(bounded, 1).cast(SCORE)
 
 
+def tenths(column: Column) -> Column:
+    """A one-decimal number as a count of tenths: sums of long numbers stay fast and exact."""
+    return (column * 10).cast("bigint")
+
+
+def rounded_mean(sum_of_tenths: Column, n: Column, digits: int) -> Column:
+    """Mean from a sum of tenths, rounded half up; NULL without values."""
+    return F.round(sum_of_tenths.cast("decimal(20,0)") / (F.nullif(n, F.lit(0)) * 10), digits).cast("double")
+
+
 def mean_of(column: Column, digits: int) -> Column:
     """Exact decimal mean, rounded half up, as double. NULL without values."""
-    total = F.sum(column.cast("decimal(14,1)"))
-    return F.round(total / F.nullif(F.count(column), F.lit(0)), digits).cast("double")
+    return rounded_mean(F.sum(tenths(column)), F.count(column), digits)
 
 
 def row_mean(columns: list[Column], digits: int = 1) -> Column:

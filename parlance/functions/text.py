@@ -17,6 +17,10 @@ from pyspark.sql.types import StringType
 NON_WORD = r"[^\p{L}\p{N}_\s]"
 SENTENCE_BREAK = r"(?<=[.!?…])\s+(?=[A-ZĐÀ-Ỹ0-9“\"(])"
 SENTENCE_END = r"[.!?…]+(?:\s|$)"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 PLAUSIBLE_CLASS = r"\x20-\x7EÀ-ɏḀ-ỿ\s"
 PLAUSIBLE_MIN_LENGTH = 12
 PLAUSIBLE_MIN_SHARE = 0.85
@@ -63,7 +67,7 @@ def nfc(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks as ``trim`` does."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def unix_newlines(text: Column) -> Column:
@@ -76,9 +80,11 @@ def normalise_text(text: Column) -> Column:
 
 
 def squash(text: Column) -> Column:
-    """Lower case, punctuation to blanks, runs of white space to one blank."""
-    blanked = F.regexp_replace(F.lower(text), NON_WORD, " ")
-    return F.trim(F.regexp_replace(blanked, r"(?U)\s+", " "))
+    """Lower case, punctuation to blanks, runs of white space to one blank.
+
+    Both steps together turn every run of other characters into one blank.
+    """
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def term_key(text: Column) -> Column:
@@ -129,7 +135,7 @@ def sentences(text: Column) -> Column:
 def is_plausible_line(line: Column) -> Column:
     """Long enough and mostly made of characters found in real text."""
     body = strip(line)
-    good = F.length(F.regexp_replace(body, f"[^{PLAUSIBLE_CLASS}]", ""))
+    good = F.length(F.regexp_replace(body, f"[^{PLAUSIBLE_CLASS}]+", ""))
     return (F.length(body) >= PLAUSIBLE_MIN_LENGTH) & (
         good >= PLAUSIBLE_MIN_SHARE * F.length(body)
     )
@@ -164,8 +170,8 @@ def block_languages(
     bodies = F.transform(F.transform(texts, strip), lambda b: F.struct(F.length(b).alias("n"), F.lower(b).alias("low")))
     measured = F.transform(bodies, lambda b: F.struct(
         b["n"].alias("n"),
-        F.length(F.regexp_replace(b["low"], r"[^\p{L}]", "")).alias("letters"),
-        F.length(F.regexp_replace(b["low"], f"[^{VIETNAMESE_LETTERS}]", "")).alias("marked"),
+        F.length(F.regexp_replace(b["low"], r"[^\p{L}]+", "")).alias("letters"),
+        F.length(F.regexp_replace(b["low"], f"[^{VIETNAMESE_LETTERS}]+", "")).alias("marked"),
         F.filter(F.split(b["low"], r"[^\p{L}]+"), lambda w: w != "").alias("tokens"),
     ))
     return F.transform(measured, lambda m: _language(

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.text import SENTENCE_BREAK
 from ..sources.files import PARAGRAPH_LOCATOR
 
@@ -116,7 +117,7 @@ def chunk_documents(
     packed = documents.select(
         "doc_id", "workspace_id", _packer(size, overlap)(F.col("blocks"), F.col("block_langs")).alias("__chunks")
     )
-    rows = packed.select("doc_id", "workspace_id", F.posexplode("__chunks").alias("chunk_idx", "__c"))
+    rows = unnest(packed, ["doc_id", "workspace_id"], F.col("__chunks"), "__c", "chunk_idx")
 
     def locator(index: str) -> Column:
         return F.concat(F.lit(PARAGRAPH_LOCATOR), (F.col(f"__c.{index}") + 1).cast("string"))

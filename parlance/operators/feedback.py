@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as nm
 from ..functions import ordered
 from ..functions import text as tx
+from ..functions.arrays import unnest
 
 # ---- fixed values ----
 CRITERIA = ("meaning", "terminology", "completeness", "expression")
@@ -119,11 +120,12 @@ def _contradictions_in(
         F.explode(F.slice("__carry", F.greatest(F.lit(1), F.size("__carry") - window + 1), window)).alias("__item"),
     )
     everything = marked.unionByName(carried.withColumn("__asks", F.lit(False)))
-    frame = Window.partitionBy(*keys, "__bucket").orderBy("__item").rowsBetween(-window, -1)
-    seen = everything.withColumn("__before", F.collect_list("__item").over(frame)).filter(
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__item")
+    before = F.array_compact(F.array(*[F.lag("__item", i).over(inside) for i in range(1, window + 1)]))
+    seen = everything.withColumn("__before", before).filter(
         F.col("__asks") & (F.abs("__item.direction") >= SIGNIFICANT_GAP)
     )
-    pairs = seen.select("workspace_id", F.col("__item").alias("new"), F.explode("__before").alias("old"))
+    pairs = unnest(seen, ["workspace_id", F.col("__item").alias("new")], F.col("__before"), "old")
     opposite = (F.col("old.direction") * F.col("new.direction") < 0) & (
         F.abs("old.direction") >= SIGNIFICANT_GAP
     )

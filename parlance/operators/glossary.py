@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions import text as tx
+from ..functions.arrays import unnest
 from ..session import cut_lineage
 from . import counts
 
@@ -535,33 +536,38 @@ def pronunciation_map(glossary: DataFrame) -> DataFrame:
     )
 
 
-_WORD = r"[\p{L}\p{N}_]+"
-
-
 def _word_set(text: Column) -> Column:
     tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     return F.array_distinct(tokens)
 
 
+def _with_rarest_word(mapping: DataFrame) -> DataFrame:
+    """Adds ``__word``: the word of the surface that fewest surfaces of the workspace have."""
+    words = unnest(mapping, mapping.columns, F.array_append(_word_set(F.col("surface")), F.lit("")), "__word")
+    used = words.groupBy("workspace_id", "__word").agg(F.count(F.lit(1)).alias("__n"))
+    rank = F.struct((F.col("__word") == "").alias("last"), F.col("__n"), F.col("__word"))
+    return words.join(used, ["workspace_id", "__word"]).groupBy(*mapping.columns).agg(
+        F.min(rank)["__word"].alias("__word")
+    )
+
+
 def apply_pronunciation(texts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Texts with every known surface replaced by its hint: ``spoken`` and ``applied``.
 
     texts: workspace_id, text_id, lang, text. Only Vietnamese texts change.
     Longer surfaces go first, matches are whole words and ignore case.
 
-    A surface can only match where its first word occurs, so surfaces meet
-    texts through that word instead of every text meeting the whole glossary.
-    A hint put into the text may itself hold another surface's first word; the
-    surfaces reachable that way are added before the replacement runs.
+    A surface can only match where all of its words occur, so surfaces meet
+    texts through their rarest word instead of every text meeting the whole
+    glossary. A hint put into the text may itself hold another surface's word;
+    the surfaces reachable that way are added before the replacement runs.
     """
-    first_word = F.regexp_extract(F.lower("surface"), _WORD, 0)
-    surfaces = mapping.withColumn("__word", first_word)
+    surfaces = _with_rarest_word(mapping)
     reach = _reachable(surfaces)
     vi = texts.filter(F.col("lang") == "vi")
     # A surface without any word character has "" as its word and meets every text.
-    tokens = vi.select(
-        "workspace_id", "text_id",
-        F.explode(F.array_append(_word_set(F.col("text")), F.lit(""))).alias("__word"),
+    tokens = unnest(
+        vi, ["workspace_id", "text_id"], F.array_append(_word_set(F.col("text")), F.lit("")), "__word"
     )
     columns = ["workspace_id", "text_id", "surface", "hint", "first_id", "side"]
     direct = tokens.join(surfaces, ["workspace_id", "__word"]).select(*columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions import text as tx
+from ..functions.arrays import unnest
 from . import counts
 
 # ---- fixed values ----
@@ -24,9 +25,7 @@ def plan_queries(plans: DataFrame, limit: int = QUERY_BUDGET) -> DataFrame:
     plans: run_id, queries (array of text).
     """
     trimmed = F.filter(F.transform("queries", tx.strip), lambda q: q != "")
-    return plans.select(
-        "run_id", F.posexplode(F.slice(trimmed, 1, limit)).alias("__i", "query")
-    ).select("run_id", (F.col("__i") + 1).alias("query_no"), "query")
+    return unnest(plans, ["run_id"], F.slice(trimmed, 1, limit), "query", "__i").select("run_id", (F.col("__i") + 1).alias("query_no"), "query")
 
 
 def query_budget(queries: DataFrame, limit: int = QUERY_BUDGET) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import numbers as nm
 from ..functions import ordered
 from ..functions import text as tx
+from ..functions.arrays import unnest
 from .feedback import CRITERIA
 
 # ---- fixed values ----
@@ -177,9 +178,8 @@ def verbatim(
 
     def anchors_of(name: str) -> DataFrame:
         hashed = F.transform(emitted(name), lambda a: F.xxhash64(F.lit(name), a))
-        return texts.withColumn("__words", F.split("__doc", " ")).select(
-            *keys, "doc_id", F.explode(F.array_distinct(hashed)).alias("__anchor")
-        )
+        split = texts.withColumn("__words", F.split("__doc", " "))
+        return unnest(split, [*keys, "doc_id"], F.array_distinct(hashed), "__anchor")
 
     anchors = [anchors_of(name) for name in sorted(kinds)]
     result = [*candidates.columns, "is_verbatim", "n_documents", "first_doc_id"]
@@ -333,28 +333,24 @@ def final_scores(raw: DataFrame, verdicts: DataFrame) -> DataFrame:
 def session_report(turns: DataFrame, attempts: DataFrame) -> DataFrame:
     """Per session: turns, scored attempts, mean per criterion and overall.
 
-    turns: session_id, turn_id, turn_index. attempts: turn_id, a_<criterion>,
+    turns: session_id, turn_id. attempts: turn_id, a_<criterion>,
     a_overall (all attempts with all scores). Sums are taken per turn first, so
-    distinct turns need no second shuffle of the rows and a long session splits.
+    a session with most of the turns is reduced before it meets in one place. The
+    turns of a session have different indexes, so counting turns counts them.
     """
     scored = attempts.filter(F.col("a_overall").isNotNull())
     names = [*CRITERIA, "overall"]
     per_turn = scored.groupBy("turn_id").agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.sum(F.col(f"a_{c}").cast("decimal(14,1)")).alias(f"__s_{c}") for c in names],
-        *[F.count(f"a_{c}").alias(f"__c_{c}") for c in names],
-    )
+        *[F.sum(nm.tenths(F.col(f"a_{c}"))).alias(f"__s_{c}") for c in names],
+        *[F.count(f"a_{c}").alias(f"__c_{c}") for c in CRITERIA],
+    ).withColumn("__c_overall", F.col("__n"))
 
     def mean(c: str) -> Column:
-        return F.round(F.sum(f"__s_{c}").cast("decimal(20,1)") / F.nullif(F.sum(f"__c_{c}"), F.lit(0)), 1).cast("double")
+        return nm.rounded_mean(F.sum(f"__s_{c}"), F.sum(f"__c_{c}"), 1)
 
-    listed = turns.groupBy("session_id", "turn_index", "turn_id").agg(F.lit(1).alias("__one"))
-    per_index = listed.join(per_turn, "turn_id", "left").groupBy("session_id", "turn_index").agg(
-        F.sum("__n").alias("__n"),
-        *[F.sum(f"__s_{c}").alias(f"__s_{c}") for c in names],
-        *[F.sum(f"__c_{c}").alias(f"__c_{c}") for c in names],
-    )
-    return per_index.groupBy("session_id").agg(
+    listed = turns.select("session_id", "turn_id").distinct()
+    return listed.join(per_turn, "turn_id", "left").groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_turns"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n_scored"),
         *[mean(c).alias(f"mean_{c}") for c in CRITERIA], mean("overall").alias("overall"),
     )
@@ -378,10 +374,9 @@ def wrong_terms(scores: DataFrame, keys: Sequence[str], skip_blank: bool = False
     gives no terms. A missing ``correct`` counts as wrong. Partial sums carry
     the count, and ``min_by`` the first expected form.
     """
-    parsed = scores.filter(F.col("term_verdicts").isNotNull()).select(
-        *keys, "seq", F.from_json("term_verdicts", VERDICTS_JSON)["terms"].alias("__terms")
-    )
-    rows = parsed.select(*keys, "seq", F.posexplode("__terms").alias("pos", "v")).filter(
+    terms = F.from_json("term_verdicts", VERDICTS_JSON)["terms"]
+    given = scores.filter(F.col("term_verdicts").isNotNull())
+    rows = unnest(given, [*keys, "seq"], terms, "v", "pos").filter(
         ~F.coalesce(F.col("v.correct"), F.lit(False))
     ).select(*keys, "seq", "pos", F.coalesce("v.term_vi", F.lit("")).alias("term_vi"), "v.expected_en")
     if skip_blank:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import unnest
 
 # ---- fixed values ----
 SUPPORTED_EXTENSIONS = (".pdf", ".docx", ".doc", ".txt", ".md")
@@ -73,7 +74,7 @@ def paragraph_rows(documents: DataFrame, separator: str = PARAGRAPH_BREAK) -> Da
     )
     kept = [c for c in documents.columns if c != "text"]
     return (
-        blocks.select(*kept, F.posexplode("__blocks").alias("block_idx", "text"))
+        unnest(blocks, kept, F.col("__blocks"), "text", "block_idx")
         .withColumn("locator", F.concat(F.lit(PARAGRAPH_LOCATOR), (F.col("block_idx") + 1).cast("string")))
     )
 
