@@ -109,7 +109,7 @@ def missing_permissions(t):
 
 @query("a9_call_budget", f"""
     WITH {ALLOWED}, n AS (SELECT *, row_number() OVER (PARTITION BY operation_id, destination, provider ORDER BY ts, id) AS call_no FROM fx_calls)
-    SELECT n.id, call_no, allowed_calls, coalesce(call_no <= allowed_calls, false) AS within_budget FROM n LEFT JOIN allowed a
+    SELECT n.id, CASE WHEN n.operation_id IS NOT NULL THEN call_no END AS call_no, allowed_calls, coalesce(call_no <= allowed_calls, false) AS within_budget FROM n LEFT JOIN allowed a
     ON a.operation_id = n.operation_id AND a.destination = n.destination AND a.provider = n.provider""")
 def call_budget(t):
     return au.with_budget(t["fx_calls"], allowed(t)).select("id", "call_no", "allowed_calls", "within_budget")

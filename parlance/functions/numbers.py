@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,11 +34,16 @@ def mean_of(column: Column, digits: int) -> Column:
     return rounded_mean(F.sum(tenths(column)), F.count(column), digits)
 
 
-def row_mean(columns: list[Column], digits: int = 1) -> Column:
-    """Mean of the non-null values of one row; NULL when all are NULL."""
-    present = F.array_compact(F.array(*[c.cast(SCORE) for c in columns]))
-    total = F.aggregate(present, F.lit(0).cast("decimal(14,1)"), lambda a, x: (a + x).cast("decimal(14,1)"))
-    return F.round(total / F.nullif(F.size(present), F.lit(0)), digits).cast(SCORE)
+def row_mean(columns: list[Column]) -> Column:
+    """Mean of the non-null scores of one row, one decimal; NULL when all are NULL.
+
+    Whole numbers only: scores are not negative, so adding half and dividing
+    rounds half up.
+    """
+    total = reduce(add, [F.coalesce(tenths(c), F.lit(0)) for c in columns])
+    n = F.nullif(reduce(add, [c.isNotNull().cast("int") for c in columns]), F.lit(0))
+    mean = F.floor((total * 2 + n) / (n * 2)).cast("decimal(10,0)")
+    return (mean / 10).cast(SCORE)
 
 
 def sign_of_change(before: Column, after: Column, band: float, inclusive: bool) -> Column:

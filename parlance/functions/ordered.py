@@ -22,15 +22,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], l
     return df.withColumn(rank_column, F.row_number().over(window)).filter(F.col(rank_column) <= limit)
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that lets NULL match NULL and keeps the left copy of the keys."""
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__r_{key}"))
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
-
-
 def positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -43,7 +34,11 @@ def positions(
 
     ``bucket`` must be a non-decreasing function of the first order column (a
     day for timestamps, ``floor(seq / n)`` for counters). One bucket of one key
-    is the largest thing a task ever sorts.
+    is the largest thing a task ever sorts. Rows with a NULL key get no position.
+
+    The rows are shuffled once, for the numbering inside the buckets; the join
+    with the bucket counts uses the same partitioning. ``df`` is read twice, so
+    an expensive one should be written first (``session.cut_lineage``).
     """
     marked = df.withColumn("__bucket", bucket)
     sizes = marked.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -56,9 +51,10 @@ def positions(
         F.sum("__n").over(per_key).alias("__total"),
     )
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    out = match_keys(marked, offsets, [*keys, "__bucket"]).withColumn(
-        position_column, F.row_number().over(inside) + F.col("__before")
+    numbered = marked.withColumn("__inside", F.row_number().over(inside))
+    out = numbered.join(offsets, [*keys, "__bucket"], "left").withColumn(
+        position_column, F.col("__inside") + F.col("__before")
     )
     if total_column:
         out = out.withColumn(total_column, F.col("__total"))
-    return out.drop("__bucket", "__before", "__total")
+    return out.drop("__bucket", "__before", "__total", "__inside")

@@ -95,9 +95,9 @@ def _latest_expiry(requests: DataFrame, grants: DataFrame, keys: Sequence[str],
         Window.unboundedPreceding, 0
     )
     return (
-        ordered.match_keys(stacked, carried, [*keys, "__bucket"])
-        .withColumn("__until", F.greatest(F.max("__end").over(inside), F.col("__carry")))
-        .filter(F.col("__order") == 1).select("id", "__until")
+        stacked.withColumn("__until", F.max("__end").over(inside)).filter(F.col("__order") == 1)
+        .join(carried, [*keys, "__bucket"], "left")
+        .select("id", F.greatest("__until", "__carry").alias("__until"))
     )
 
 

@@ -9,6 +9,7 @@ from ..functions import numbers as nm
 from ..functions import ordered
 from ..functions import text as tx
 from ..functions.arrays import unnest
+from ..session import cut_lineage
 
 # ---- fixed values ----
 CRITERIA = ("meaning", "terminology", "completeness", "expression")
@@ -90,7 +91,9 @@ def contradictions(
     verdicts see the same neighbours. ``all_have_category`` saves the second
     pass, the one over whole workspaces.
     """
-    usable = verdicts.filter(has_reason() & F.col("direction").isNotNull())
+    usable = cut_lineage(verdicts.filter(has_reason() & F.col("direction").isNotNull()).select(
+        "workspace_id", "category", "verdict_id", "direction", *order
+    ))      # read four times below
     with_category = _contradictions_in(
         usable.filter(F.col("category").isNotNull()), ["workspace_id", "category"], order, bucket, window
     )
@@ -233,15 +236,17 @@ def timeline(pairs: DataFrame) -> DataFrame:
 
 def gap_trend(pairs: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
     """Mean absolute gap of the first half of a workspace's verdicts against the rest."""
-    scored = pairs.filter(F.col("e_overall").isNotNull() & F.col("a_overall").isNotNull()).withColumn(
-        "__gap", F.abs(F.col("e_overall") - F.col("a_overall"))
-    )
-    placed = ordered.positions(scored, ["workspace_id"], order, bucket, "place", "n_placed")
+    names = [F.col(f"__o{i}") for i in range(len(order))]
+    scored = cut_lineage(pairs.filter(F.col("e_overall").isNotNull() & F.col("a_overall").isNotNull()).select(
+        "workspace_id", F.abs(F.col("e_overall") - F.col("a_overall")).alias("__gap"), bucket.alias("__part"),
+        *[o.alias(f"__o{i}") for i, o in enumerate(order)],
+    ))      # numbering reads it twice
+    placed = ordered.positions(scored, ["workspace_id"], names, F.col("__part"), "place", "n_placed")
     first = F.col("place") <= F.floor(F.col("n_placed") / 2)
 
     def mean(condition: Column) -> Column:
         chosen = F.when(condition, F.col("__gap"))
-        return F.sum(chosen.cast("decimal(14,1)")) / F.nullif(F.count(chosen), F.lit(0))
+        return F.sum(nm.tenths(chosen)).cast("decimal(20,0)") / (F.nullif(F.count(chosen), F.lit(0)) * 10)
 
     halves = placed.groupBy("workspace_id").agg(
         F.count(F.lit(1)).alias("n"), mean(first).alias("early"), mean(~first).alias("late")

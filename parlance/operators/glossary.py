@@ -570,7 +570,12 @@ def apply_pronunciation(texts: DataFrame, mapping: DataFrame) -> DataFrame:
         vi, ["workspace_id", "text_id"], F.array_append(_word_set(F.col("text")), F.lit("")), "__word"
     )
     columns = ["workspace_id", "text_id", "surface", "hint", "first_id", "side"]
-    direct = tokens.join(surfaces, ["workspace_id", "__word"]).select(*columns)
+    met = tokens.join(surfaces, ["workspace_id", "__word"]).select(*columns)
+    # The rarest word is there; keep the surfaces whose other words are there too.
+    lowered = vi.select("workspace_id", "text_id", F.lower("text").alias("__low"))
+    direct = met.join(lowered, ["workspace_id", "text_id"]).filter(
+        F.forall(_word_set(F.col("surface")), lambda w: F.contains(F.col("__low"), w))
+    ).select(*columns)
     indirect = direct.select("workspace_id", "text_id", F.col("surface").alias("__from")).join(
         reach, ["workspace_id", "__from"]
     ).select(*columns)
