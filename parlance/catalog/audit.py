@@ -61,9 +61,8 @@ def summary(t):
     SELECT w.workspace_id, p.label, count(a.id) AS n_attempted FROM w CROSS JOIN p LEFT JOIN fx_audit a
     ON a.workspace_id = w.workspace_id AND a.provider = p.provider AND a.status LIKE 'attempt%' GROUP BY 1, 2""")
 def by_provider(t):
-    providers = t.spark.createDataFrame(
-        [("p_llm", "Model"), ("p_search", "Search"), ("p_tts1", "Voice"), ("p_tts2", "Voice"), ("p_none", "Unused")], "provider string, label string")
-    return au.by_provider(t["fx_audit"], providers)
+    labels = {"p_llm": "Model", "p_search": "Search", "p_tts1": "Voice", "p_tts2": "Voice", "p_none": "Unused"}
+    return au.by_provider(t["fx_audit"], labels)
 
 
 @query("a5_by_destination", """

@@ -224,10 +224,9 @@ def term_edits(t):
     SELECT f.workspace_id, f.seq, f.term_vi_norm, g.id IS NULL AND f.seq = first_seq AS accepted
     FROM f LEFT JOIN fx_glossary g ON g.workspace_id = f.workspace_id AND g.term_vi_norm = f.term_vi_norm""")
 def term_creates(t):
-    lowest = t["fx_glossary"].agg(F.min("term_vi").alias("__lowest"))
-    edits = t["fx_term_edits"].join(F.broadcast(lowest)).withColumn(
-        "term_vi", F.when(F.col("seq") % 4 == 0, F.col("__lowest")).otherwise(
-            F.concat(F.lit("new "), F.col("id").cast("string")))).withColumn("term_en", F.lit("x"))
+    edits = t.sql("""SELECT workspace_id, seq, action, pronunciation, definition, category, 'x' AS term_en,
+                     CASE WHEN seq % 4 = 0 THEN (SELECT min(term_vi) FROM {fx_glossary}) ELSE 'new ' || CAST(id AS STRING) END AS term_vi
+                     FROM {fx_term_edits}""")
     return gl.create_terms(t["fx_glossary"], edits).select("workspace_id", "seq", "term_vi_norm", "accepted")
 
 

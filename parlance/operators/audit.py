@@ -44,19 +44,19 @@ def summary(log: DataFrame) -> DataFrame:
     )
 
 
-def by_provider(log: DataFrame, providers: DataFrame) -> DataFrame:
-    """Attempts per workspace and provider, with a zero row for a provider never used.
+def by_provider(log: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """Attempts per workspace and provider label, with a zero row for a label never used.
 
-    providers: provider, label. The dimension has a handful of rows and is not
-    joined to the log but to the counts.
+    labels: provider to label, the registered providers. Attempts are counted
+    in one column per label, which become rows at the end: one aggregation.
     """
-    used = log.groupBy("workspace_id", "provider").agg(F.count_if(attempted()).alias("n"))
-    grid = log.select("workspace_id").distinct().withColumn("__one", F.lit(1)).join(
-        providers.withColumn("__one", F.lit(1)), "__one"
-    )
-    return grid.join(used, ["workspace_id", "provider"], "left").groupBy("workspace_id", "label").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_attempted")
-    )
+    shown = sorted(set(labels.values()))
+    tallies = [
+        F.count_if(attempted() & F.col("provider").isin(*[p for p, l in labels.items() if l == label])).alias(f"__{i}")
+        for i, label in enumerate(shown)
+    ]
+    rows = F.array(*[F.struct(F.lit(l).alias("label"), F.col(f"__{i}").alias("n_attempted")) for i, l in enumerate(shown)])
+    return log.groupBy("workspace_id").agg(*tallies).select("workspace_id", F.inline(rows))
 
 
 def by_destination(log: DataFrame) -> DataFrame:

@@ -74,9 +74,10 @@ def pack(blocks: Iterable[str], langs: Iterable[str], size: int, overlap: int) -
     for last, (block, lang) in enumerate(zip(blocks, langs)):
         for piece in pieces_of(block, size):
             if parts and used + len(piece) > size:
-                tail = close(last)[-overlap:] if overlap > 0 else None
-                parts = [] if tail is None else [(tail, *parts[-1][1:])]
-                used, start = len(tail or ""), last
+                closed = close(last)
+                tail = closed[-overlap:] if overlap > 0 else ""
+                parts = [(tail, *parts[-1][1:])] if overlap > 0 else []
+                used, start = len(tail), last
             if not parts:
                 start = last
             parts.append((piece, last, lang))

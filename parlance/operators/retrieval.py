@@ -110,6 +110,8 @@ def cell_topk(
             .drop("__nq", "__nc")
         )
 
+    # own column identities: questions may be selected from the chunks themselves
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     if "scope" not in queries.columns:
         queries = queries.withColumn("scope", F.lit(None).cast("array<bigint>"))
     left = blocked(queries.select(*keys, "query_id", "embedding", "scope"),
@@ -173,12 +175,13 @@ def _signature(planes: np.ndarray):
 
 def nearest_approximate(
     queries: DataFrame, chunks: DataFrame, k: int, dimensions: int,
-    tables: int = 8, planes: int = 6, seed: int = 17, **cells,
+    tables: int = 16, planes: int = 4, seed: int = 17, **cells,
 ) -> DataFrame:
     """Like :func:`nearest`, but only chunks that share a random-plane bucket are compared.
 
-    Each of ``tables`` hash tables splits the space with ``planes`` hyperplanes.
-    A crowded bucket is cut into cells like everything else.
+    Each of ``tables`` hash tables splits the space with ``planes`` hyperplanes:
+    more planes compare less, more tables find more. A crowded bucket is cut
+    into cells like everything else.
     """
     normals = np.random.default_rng(seed).standard_normal((tables, planes, dimensions))
     signature = _signature(normals)
