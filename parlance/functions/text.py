@@ -33,6 +33,9 @@ VIETNAMESE_LETTERS = (
     "ỳýỷỹỵ"
     "đ"
 )
+# The same letters as a class for lower-case text. Java tests single characters
+# one by one, so the block that holds only these letters is given as a range.
+VIETNAMESE_CLASS = "àáâãèéêìíòóôõùúýăđĩũơưạ-ỹ"
 VIETNAMESE_MIN_SHARE = 0.012
 DETECT_MIN_CHARS = 25
 WORDS_PER_MINUTE = {"vi": 228, "en": 158}
@@ -171,7 +174,7 @@ def block_languages(
     measured = F.transform(bodies, lambda b: F.struct(
         b["n"].alias("n"),
         F.length(F.regexp_replace(b["low"], r"[^\p{L}]+", "")).alias("letters"),
-        F.length(F.regexp_replace(b["low"], f"[^{VIETNAMESE_LETTERS}]+", "")).alias("marked"),
+        F.length(F.regexp_replace(b["low"], f"[^{VIETNAMESE_CLASS}]+", "")).alias("marked"),
         F.filter(F.split(b["low"], r"[^\p{L}]+"), lambda w: w != "").alias("tokens"),
     ))
     return F.transform(measured, lambda m: _language(

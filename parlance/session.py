@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only, so they can be applied to a session that exists.
 SETTINGS = {
@@ -49,9 +49,14 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{os.urandom(6).hex()}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder (never on executor disks)."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder and read back.
+
+    For frames that an operator reads several times: the files outlive lost
+    executors, and the optimiser knows their size. They stay until the folder
+    is cleaned.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = run_dir(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -34,6 +34,13 @@ def test_normalised_text_drops_the_mark_and_carriage_returns(spark):
     assert values(spark, tx.normalise_text, "﻿a\r\nb\rc", "ệ") == ["a\nb\nc", "ệ"]
 
 
+def test_the_letter_class_is_the_letter_list():
+    import re
+
+    lower = {c for c in map(chr, range(0x20, 0x1F00)) if c == c.lower()}
+    assert {c for c in lower if re.match(f"[{tx.VIETNAMESE_CLASS}]", c)} == set(tx.VIETNAMESE_LETTERS)
+
+
 def test_block_language(spark):
     got = values(spark, tx.block_language, "ngắn quá", "Dự án hỗ trợ người nghèo ở xã Thu Cúc", "The people of the commune are with the project and its aim",
                  "1234567890 1234567890 1234567890", "Das ist ein Satz ohne bekannte Wörter darin")
