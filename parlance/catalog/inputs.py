@@ -10,11 +10,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Larger tables that come as one unsplittable file; see ``tables.spread``.
+SINGLE_FILE = ("lineitem", "documents")
+
 VIEWS: dict[str, str] = {
     "fx_vectors": """
         SELECT vec_id AS chunk_id, CAST(label AS BIGINT) AS document_id, vec_id % 4 AS workspace_id, embedding
@@ -173,7 +178,8 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.sql(VIEWS[name])
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(scan) if name in SINGLE_FILE else scan
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{name: self.table(name) for name in set(_NAME.findall(text))})

@@ -43,10 +43,9 @@ def test_top_terms_are_cut_before_the_shuffle(spark):
 
 
 def test_document_labels_need_no_shuffle(spark):
-    from parlance.catalog.inputs import Inputs
     from parlance.operators import chunking, documents
 
-    rows = Inputs(spark, FOLDER)["fx_documents"].select("doc_id", "workspace_id", "text")
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", F.lit(1).alias("workspace_id"), "text")
     classified = documents.classify(documents.with_blocks(rows, r"\n+"))
     assert "Exchange" not in plan(classified, "simple")
     assert "Exchange" not in plan(chunking.chunk_documents(classified), "simple")
