@@ -10,9 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parlance.llm import catalog, decontaminate, packing, simhash
-from parlance.llm.common import ready, written
+from parlance.llm import catalog, decontaminate, packing, quality, simhash, toxicity
+from parlance.llm.common import fold, ready, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that fail the base rules or of which most words stand on boilerplate lines."""
+    return quality.only_good(docs, catalog.table(ready(spark), sf_dir, "labels"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go; one fold of the labels is not learned from."""
+    return toxicity.without_toxic(docs, catalog.table(ready(spark), sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +44,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic),
     ("near_copies", near_copies),
     ("decontamination", decontamination),
     ("packing", packed),

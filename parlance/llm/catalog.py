@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, simhash, tokens
-from .common import ready
+from . import decontaminate, languages, likelihood, packing, pages, quality, sharding, simhash, tokens, toxicity
+from .common import fold, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,6 +51,18 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extracted(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    classifier = toxicity.fitted(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    return toxicity.scored(docs, classifier).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op6_sharding")
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -62,12 +74,36 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_likelihood")
+def likelihoods(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    found = likelihood.scored(docs, ~held_out, tokenizer("piece_bpe_32k.model"))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_packing")
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
+@query("op9_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.judged(docs, quality.fitted(docs, table(spark, folder, "labels"))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"
+    )
+
+
+@query("op10_language")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = languages.fitted(docs, where=~held_out)
+    return languages.predicted(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -48,14 +48,6 @@ def chance(id_column: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.coalesce(id_column.cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def lower_ascii(text: str) -> str:
-    """A-Z in lower case, every other character as it is."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
-
-
 def slices(text: str, border: re.Pattern, size: int = 1 << 20) -> Iterator[str]:
     """The text in parts of about ``size`` characters that end only where ``border`` matches."""
     start = 0
@@ -69,17 +61,45 @@ def slices(text: str, border: re.Pattern, size: int = 1 << 20) -> Iterator[str]:
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and keeps a bounded number of short keys."""
+    """A dictionary that computes what it lacks and keeps a bounded number of short keys.
+
+    When it is full, its keys become the old generation; those that are asked for
+    again return from there, so frequent keys stay.
+    """
 
     def __init__(self, compute, limit: int = 200_000, longest: int = 64, start: dict | None = None):
         super().__init__(start or {})
-        self.compute, self.start, self.limit, self.longest = compute, start or {}, limit + len(start or {}), longest
+        self.compute, self.start, self.longest, self.old = compute, start or {}, longest, {}
+        self.limit = limit // 2 + len(self.start)
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
                 self.update(self.start)
             self[key] = value
         return value
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, salt: int,
+                    key: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
+    """About ``limit`` labelled rows of ``docs``: key, text and label; for fitting small models.
+
+    Ids are chosen by a hash, with a threshold that follows from the number of
+    labels, so the choice is reproducible and needs no sort. The chosen ids are
+    few, whatever the input, and may be broadcast. Of a repeated id one row stays;
+    of contradicting labels the larger.
+    """
+    known = labels.select(F.col(key).alias("__id"), F.col(label).cast("double").alias("__label")).filter("__id IS NOT NULL AND __label IS NOT NULL")
+    if where is not None:
+        known = known.filter(where)
+    total = known.count()
+    chosen = known.filter(chance(F.col("__id"), salt) < F.lit(limit / max(total, 1))).groupBy("__id").agg(F.max("__label").alias("__label"))
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
+    met = rows.join(F.broadcast(chosen), "__id")
+    one = met.groupBy("__id", "__label").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"))
+    return one.select(F.col("__id").alias("key"), F.col("__text").alias("text"), F.col("__label").alias("label"))
