@@ -12,6 +12,7 @@ task had all of it or nothing is gained.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,10 +31,17 @@ PER_TASK = 100_000
 #: Times that pieces are given back and packed again, at most.
 ROUNDS = 4
 SLICE = 1 << 20
+#: Punctuation that the tokenizer keeps apart from letters before it, and the last letter taken as plain.
+TAIL, PLAIN = string.punctuation.replace("'", ""), "\u024f"
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit numbers."""
+    """Ids of a text as little-endian unsigned 32-bit numbers.
+
+    The tokenizer puts letters in lower case and cuts a word where letters meet
+    punctuation, so a word is looked up in lower case, and a word of plain letters
+    with a tail of punctuation is its letters and its tail.
+    """
 
     def __init__(self, definition: bytes, end_id: int):
         from tokenizers import Tokenizer
@@ -41,13 +49,22 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_buffer(definition)
         self.end = np.array([end_id], "<u4").tobytes()
         self.ids = Memo(self._encode, limit=300_000)
+        #: What the tokenizer looks for as it is written, before it lowers anything.
+        self.special = tuple(token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values())
 
     def _encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        body = text.rstrip(TAIL)
+        if body != text and body.isalpha() and max(body) <= PLAIN:
+            return self.ids[body.encode()] + self.ids[text[len(body) :].encode()]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Words are cut at ASCII white space only; all other characters go to the tokenizer."""
         data = (text or "").encode()
+        lowered = data.lower()
+        if not any(token in lowered for token in self.special):
+            data = lowered
         if len(data) <= SLICE:
             return b"".join(map(self.ids.__getitem__, data.split())) + self.end
         parts, start = [], 0
