@@ -9,10 +9,11 @@ weights; the expected piece counts over the lattices of all different rare words
 the training texts, times the words' counts, give the final ones.
 
 Pieces alone spell frequent words too dearly. So the lattice of a frequent training
-word has one more edge, for the word as a whole, with a weight from its counts. It
-depends on a hidden class of the text, for a corpus is a mixture of languages and
-kinds. The probability of a text is the sum over the classes and over all
-segmentations. All this is one distribution: probabilities of texts add up to one at most.
+word has one more edge, for the word as a whole, with a weight from its counts. All
+weights depend on a hidden class of the text, for a corpus is a mixture of languages
+and kinds. The frequent words of a text choose its class, and the probability is that
+of the class times the sum over all segmentations. So the probabilities of all texts
+add up to one at most.
 
 For comparison there is a base score from smoothed word counts. The frequent words
 go to the tasks as a dictionary of bounded size; each text hands over its other
@@ -69,7 +70,7 @@ class Lattice:
 
     def __post_init__(self):
         self.longest = max(map(len, [*self.first, *self.rest]), default=1)
-        self.words = Memo(self.word, limit=200_000)
+        self.words = Memo(self.word, limit=40_000)
 
     def spelled(self, character: str) -> float:
         return sum(self.bytes[b] for b in character.encode())
@@ -90,8 +91,8 @@ class Lattice:
             ahead.append(_logsum(terms))
         return ahead[-1] + self.stop
 
-    def expect(self, word: str, weight: float, total: "Expected") -> None:
-        """Adds the expected counts of the pieces of a word that counts ``weight`` times."""
+    def expect(self, word: str, weights: list[float], totals: list["Expected"]) -> None:
+        """Adds the expected counts of the pieces of a word to each class, as often as it counts there."""
         string = MARK + word
         ahead, edges = [0.0], [[]]
         for end in range(1, len(string) + 1):
@@ -101,6 +102,7 @@ class Lattice:
                 here.append((end - 1, None, self.spelled(string[end - 1])))
             edges.append(here)
             ahead.append(_logsum([ahead[start] + log for start, _, log in here]))
+        used = [(weight, totals[k]) for k, weight in enumerate(weights) if weight]
         # From the end back, the share of all segmentations that pass a position.
         passing = [0.0] * len(string) + [1.0]
         for end in range(len(string), 0, -1):
@@ -109,13 +111,15 @@ class Lattice:
             for start, piece, log in edges[end]:
                 share = passing[end] * math.exp(ahead[start] + log - ahead[end])
                 passing[start] += share
-                if piece is None:
-                    for b in string[end - 1].encode():
-                        total.bytes[b] += weight * share
-                else:
-                    side = total.rest if start else total.first
-                    side[piece] = side.get(piece, 0.0) + weight * share
-        total.words += weight
+                for weight, total in used:
+                    if piece is None:
+                        for b in string[end - 1].encode():
+                            total.bytes[b] += weight * share
+                    else:
+                        side = total.rest if start else total.first
+                        side[piece] = side.get(piece, 0.0) + weight * share
+        for weight, total in used:
+            total.words += weight
 
 
 @dataclass
@@ -125,6 +129,11 @@ class Expected:
     bytes: list[float] = field(default_factory=lambda: [0.0] * 256)
     words: float = 0.0
 
+    def plus(self, other: "Expected", times: float) -> "Expected":
+        """These counts and a multiple of others."""
+        both = lambda a, b: {p: a.get(p, 0.0) + times * n for p, n in b.items()} | {p: n for p, n in a.items() if p not in b}
+        return Expected(both(self.first, other.first), both(self.rest, other.rest), [a + times * b for a, b in zip(self.bytes, other.bytes)], self.words + times * other.words)
+
     def lattice(self, first: list[str], rest: list[str]) -> Lattice:
         """Smoothed relative frequencies."""
         begun = self.words + SMOOTHING * len(first)
@@ -251,27 +260,30 @@ def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFram
     return words, sums.filter("word IS NULL").select(per_class.alias("texts"))
 
 
-def expected_counts(counts: DataFrame, lattice: Lattice) -> Expected:
-    """Expected piece counts over all words of a table; tasks sum up before anything is shuffled."""
+def expected_counts(counts: DataFrame, lattice: Lattice, number: int) -> list[Expected]:
+    """Expected piece counts per class over all words of a table; tasks sum up before anything is shuffled."""
     shared = counts.sparkSession.sparkContext.broadcast((lattice.first, lattice.rest, lattice.bytes, lattice.stop))
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, total = Lattice(*shared.value), Expected()
+        here, totals = Lattice(*shared.value), [Expected() for _ in range(number)]
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                here.expect(word, n, total)
-        rows = [("first", p, n) for p, n in total.first.items()] + [("rest", p, n) for p, n in total.rest.items()]
-        rows += [("byte", str(b), n) for b, n in enumerate(total.bytes) if n] + [("words", "", total.words)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["side", "piece", "n"])
-
-    out = Expected()
-    for side, piece, n in counts.select("word", "n").mapInArrow(expect, "side string, piece string, n double").groupBy("side", "piece").agg(F.sum("n")).collect():
+            for word, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                here.expect(word, weights, totals)
+        rows = [(k, "words", "", total.words) for k, total in enumerate(totals)]
+        for k, total in enumerate(totals):
+            rows += [(k, "first", p, n) for p, n in total.first.items()] + [(k, "rest", p, n) for p, n in total.rest.items()]
+            rows += [(k, "byte", str(b), n) for b, n in enumerate(total.bytes) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["k", "side", "piece", "n"])
+
+    out = [Expected() for _ in range(number)]
+    parts = counts.select("word", "per_class").mapInArrow(expect, "k long, side string, piece string, n double")
+    for k, side, piece, n in parts.groupBy("k", "side", "piece").agg(F.sum("n")).collect():
         if side == "words":
-            out.words += n
+            out[k].words += n
         elif side == "byte":
-            out.bytes[int(piece)] = n
+            out[k].bytes[int(piece)] = n
         else:
-            getattr(out, side)[piece] = n
+            getattr(out[k], side)[piece] = n
     return out
 
 
@@ -287,55 +299,62 @@ def cut_of(counts: DataFrame, most: int) -> int:
 
 @dataclass
 class TextModel:
-    """What the tasks need: frequent words with counts and log10 weights per class, the lattice of the others."""
+    """What the tasks need: frequent words with counts and log10 weights per class, and the others' lattices."""
 
     place: dict[str, int]
     counts: np.ndarray
     logs: np.ndarray
     shares: np.ndarray
-    lattice: tuple
-    rare: float
-    end: float
+    lattices: list[tuple]
+    rare: np.ndarray
+    end: np.ndarray
 
-    def total(self, places: list[int], times: list[int], other: float) -> float:
-        """log10 probability of a text: frequent words by place, the summed log of the others, and the end."""
-        per_class = self.shares.copy()
+    def chosen(self, places: list[int], times: list[int]) -> tuple[int, float]:
+        """The class that the frequent words of a text choose, and the log10 of their and its probability."""
+        per_class = self.shares + self.end
         if places:
-            per_class += np.array(times, "float64") @ self.logs[places]
-        top = per_class.max()
-        return float(top + math.log10(np.exp((per_class - top) * TEN).sum()) + other + self.end)
+            per_class = per_class + np.array(times, "float64") @ self.logs[places]
+        k = int(np.argmax(per_class))
+        return k, float(per_class[k])
 
 
 def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, float]], most: int, steps: int) -> tuple[TextModel, int]:
     """The model of a count table, and the count from which words are frequent."""
-    cut = cut_of(counts, most)
-    rare_words, lattice = counts.filter(F.col("n") < cut), from_scores(pieces)
-    first, rest = list(lattice.first), list(lattice.rest)
+    cut, k = cut_of(counts, most), len(texts)
+    rare_words, start = counts.filter(F.col("n") < cut), from_scores(pieces)
+    first, rest = list(start.first), list(start.rest)
+    lattices = [start] * k
     for _ in range(steps):
-        expected = expected_counts(rare_words, lattice)
-        lattice = expected.lattice(first, rest) if expected.words else lattice
-    parts = (lattice.first, lattice.rest, lattice.bytes, lattice.stop)
+        expected = expected_counts(rare_words, start, k)
+        together = Expected()
+        for one in expected:
+            together = together.plus(one, 1.0)
+        if not together.words:
+            break
+        start = together.lattice(first, rest)
+        lattices = [one.plus(together, SHARED / together.words).lattice(first, rest) for one in expected]
+    parts = [(one.first, one.rest, one.bytes, one.stop) for one in lattices]
     shared = counts.sparkSession.sparkContext.broadcast(parts)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Lattice(*shared.value)
+        here = [Lattice(*one) for one in shared.value]
         for batch in batches:
-            logs = pa.array([here.word(word) for word in batch.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, logs], names=["word", "n", "per_class", "log"])
-
-    top = counts.filter(F.col("n") >= cut).mapInArrow(weigh, "word string, n long, per_class array<long>, log double").collect()
-    top.sort(key=lambda r: r.word)
-    ends, n = float(texts.sum()), np.array([r.n for r in top], "float64")
-    whole = n.sum() + (rare_sum := counts.filter(F.col("n") < cut).agg(F.sum("n")).first()[0] or 0) + ends
-    # One place for what was never seen, so that it has some chance even in a closed corpus.
-    rare, end = (rare_sum + 1) / (whole + 2), (ends + 1) / (whole + 2)
-    k = len(texts)
-    by_class = np.array([r.per_class for r in top], "float64").reshape(-1, k)
+            logs = pa.array([[one.word(word) for one in here] for word in batch.column(0).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, logs], names=["word", "n", "per_class", "logs"])
+
+    top = counts.filter(F.col("n") >= cut).mapInArrow(weigh, "word string, n long, per_class array<long>, logs array<double>").toArrow().sort_by("word")
+    n = top.column("n").to_numpy().astype("float64")
+    by_class, by_lattice = (top.column(name).combine_chunks().flatten().to_numpy().astype("float64").reshape(-1, k) for name in ("per_class", "logs"))
+    sums = rare_words.agg(*[F.coalesce(F.sum(F.col("per_class")[i]), F.lit(0)) for i in range(k)]).first()
+    rare_sum = np.array(list(sums), "float64")
+    # One place more for what was never seen, so that it has some chance even in a closed corpus.
+    whole = by_class.sum(axis=0) + rare_sum + texts + 2
+    rare, end = (rare_sum + 1) / whole, (texts + 1) / whole
     weight = (by_class + SHARED * (n / max(n.sum(), 1))[:, None]) / (by_class.sum(axis=0) + SHARED)
-    in_pieces = np.exp(np.array([r.log for r in top]))[:, None] * rare
+    in_pieces = np.exp(by_lattice) * rare
     logs = np.log10((1 - rare - end) * weight + in_pieces)
-    shares = np.log10((texts + 1) / (ends + k))
-    return TextModel({r.word: i for i, r in enumerate(top)}, n.astype("int64"), logs, shares, parts, math.log10(rare), math.log10(end)), cut
+    shares = np.log10((texts + 1) / (texts.sum() + k))
+    return TextModel({word: i for i, word in enumerate(top.column("word").to_pylist())}, n.astype("int64"), logs, shares, parts, np.log10(rare), np.log10(end)), cut
 
 
 def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id", text: str = "text",
@@ -345,8 +364,8 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
     The rows that ``learn`` marks are learned from. A text is its words and one end;
     a null or empty text is the end alone. n_known counts tokens seen in training;
     base_score sums log10 of the add-one smoothed frequencies of words and end, with
-    one more place for all unseen words; score is log10 of the marginal probability
-    over lattice and classes. With nothing to learn from, all words are spelled by
+    one more place for all unseen words; score is log10 of the probability of the
+    text's class and of the sum over all segmentations. With nothing to learn from, all words are spelled by
     the vocabulary's own weights. Classes are found on about SAMPLE texts; all counts
     cover all texts.
     """
@@ -368,12 +387,12 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
         from pyspark import TaskContext
 
         model = shared.value
-        lattice, place, seen = _lattice_of(model), model.place, model.counts
+        lattices, place, seen = _lattices_of(model), model.place, model.counts
         row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = [[] for _ in range(7)]
             for one in batch.column(1).to_pylist():
-                n_tokens, n_known, base, other = 1, int(n_training > 0), base_end, 0.0
+                n_tokens, n_known, base = 1, int(n_training > 0), base_end
                 places, times, rest = [], [], Counter()
                 for words in words_of(one):
                     n_tokens += len(words)
@@ -381,14 +400,16 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
                         at = place.get(word)
                         if at is None:
                             rest[word] += n
-                            other += n * (lattice.words[word] / TEN + model.rare)
                         else:
                             places.append(at)
                             times.append(n)
                 if places:
                     n_known += sum(times)
                     base += float(np.array(times) @ np.log10(seen[places] + 1.0))
-                for column, value in zip(out, (row_id, n_tokens, n_known, base, model.total(places, times, other), list(rest), list(rest.values()))):
+                kind, log = model.chosen(places, times)
+                words, rare = lattices[kind].words, float(model.rare[kind])
+                log += sum(n * (words[word] / TEN + rare) for word, n in rest.items())
+                for column, value in zip(out, (row_id, n_tokens, n_known, base, log, list(rest), list(rest.values()))):
                     column.append(value)
                 row_id += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
@@ -431,12 +452,12 @@ def _sampled(texts: DataFrame, each: int = 400) -> list[Counter]:
     return [Counter(dict(zip(r.words, r.times))) for r in texts.mapInArrow(count, "words array<string>, times array<long>").collect()]
 
 
-_LATTICES: dict[int, Lattice] = {}
+_LATTICES: dict[int, list[Lattice]] = {}
 
 
-def _lattice_of(model: TextModel) -> Lattice:
-    """One lattice per worker and broadcast model, so that its memo serves several tasks."""
+def _lattices_of(model: TextModel) -> list[Lattice]:
+    """The lattices of a broadcast model, once per worker, so that their memos serve several tasks."""
     if id(model) not in _LATTICES:
         _LATTICES.clear()
-        _LATTICES[id(model)] = Lattice(*model.lattice)
+        _LATTICES[id(model)] = [Lattice(*one) for one in model.lattices]
     return _LATTICES[id(model)]

@@ -132,55 +132,57 @@ def fires_of(votes: np.ndarray, number: int) -> np.ndarray:
     return (votes[:, None] >> np.arange(number) & 1).astype("float64")
 
 
-def _sums(patterns: DataFrame, model: LabelModel, joint: bool) -> tuple[np.ndarray, ...]:
-    """Totals over all vote patterns, per class: texts, firings, labels seen, labels 1, and firings of two."""
+def _sums(patterns: DataFrame, model: LabelModel) -> tuple[np.ndarray, ...]:
+    """Totals over all vote patterns, per class: texts, labels seen, labels 1, and firings of two voters (of one: the diagonal)."""
     m = len(model.discounts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, m + 3 + m * m * joint))
+        total = np.zeros((2, 3 + m * m))
         for batch in batches:
             votes, seen, n = (batch.column(i).to_numpy(zero_copy_only=False).astype("int64") for i in range(3))
             fires = fires_of(votes, m)
             p = 1 / (1 + np.exp(-np.clip(model.logit(fires, seen), -500, 500)))
             for side, weight in enumerate((n * (1 - p), n * p)):
-                parts = [[weight.sum()], weight @ fires, [(weight * (seen >= 0)).sum(), (weight * (seen == 1)).sum()]]
-                if joint:
-                    parts.append((fires.T * weight @ fires).ravel())
-                total[side] += np.concatenate(parts)
+                firsts = [weight.sum(), (weight * (seen >= 0)).sum(), (weight * (seen == 1)).sum()]
+                total[side] += np.concatenate([firsts, (fires.T * weight @ fires).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "n"])
 
     rows = patterns.select("votes", "seen", "n").mapInArrow(add, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(2 * (m + 3 + m * m * joint))
+    total = np.zeros(2 * (3 + m * m))
     for row in rows:
         total[row["at"]] = row.n
     total = total.reshape(2, -1)
-    return total[:, 0], total[:, 1 : m + 1], total[:, m + 1], total[:, m + 2], total[:, m + 3 :].reshape(2, m, m) if joint else None
+    return total[:, 0], total[:, 1], total[:, 2], total[:, 3:].reshape(2, m, m)
 
 
 def estimated(patterns: DataFrame, number: int, steps: int = 8) -> LabelModel:
     """The label model of all vote patterns (votes, seen, n), by expectation maximisation.
 
-    Each step is one pass that brings a few numbers per voter to the driver. Last,
-    a voter's say is divided by one plus its positive correlations with the others, given the class.
+    Each step is one pass that brings a few numbers per pair of voters to the
+    driver. It gives new rates, and correlations of the voters within a class: a
+    voter's say in the next step is divided by one plus its positive correlations.
     """
     model = LabelModel(0.1, np.vstack([np.full(number, 0.01), np.full(number, 0.3)]), np.ones(number), np.array([0.03, 0.9]))
-    for step in range(steps):
-        texts, fired, seen, ones, both = _sums(patterns, model, step == steps - 1)
+    for _ in range(steps):
+        texts, seen, ones, both = _sums(patterns, model)
         if not texts.sum():
             return model
+        fired = np.stack([np.diag(side) for side in both])
         rates = (fired + np.array([[0.01], [0.3]]) * 2) / (texts[:, None] + 2)
         # A voter speaks for class 1: it fires there at least as often.
         rates[1] = np.maximum(rates[1], rates[0])
         labels = (ones + np.array([0.03, 0.9]) * 10) / (seen + 10)
-        model = LabelModel(float(np.clip(texts[1] / texts.sum(), 1e-4, 0.5)), np.clip(rates, 1e-6, 1 - 1e-6), model.discounts, np.clip(labels, 1e-3, 1 - 1e-3))
-    together = np.zeros((number, number))
-    for side in (0, 1):
-        mean = fired[side] / max(texts[side], 1e-9)
-        spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
-        correlation = (both[side] / max(texts[side], 1e-9) - np.outer(mean, mean)) / np.outer(spread, spread)
-        together = np.maximum(together, np.where(np.outer(fired[side], fired[side]) > 0, correlation, 0.0))
-    np.fill_diagonal(together, 0.0)
-    model.discounts = 1 / (1 + np.clip(together, 0, 1).sum(axis=1))
+        together = np.zeros((number, number))
+        for side in (0, 1):
+            mean = fired[side] / max(texts[side], 1e-9)
+            spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+            correlation = (both[side] / max(texts[side], 1e-9) - np.outer(mean, mean)) / np.outer(spread, spread)
+            together = np.maximum(together, np.where(np.outer(fired[side], fired[side]) > 0, correlation, 0.0))
+        np.fill_diagonal(together, 0.0)
+        model = LabelModel(
+            float(np.clip(texts[1] / texts.sum(), 1e-4, 0.5)), np.clip(rates, 1e-6, 1 - 1e-6),
+            1 / (1 + np.clip(together, 0, 1).sum(axis=1)), np.clip(labels, 1e-3, 1 - 1e-3),
+        )
     return model
 
 
