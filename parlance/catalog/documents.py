@@ -93,11 +93,61 @@ def sentence_stats(t):
         "doc_id", F.size(parts).alias("n_sentences"), F.array_max(F.transform(parts, F.length)).alias("longest"))
 
 
-@query("d13_chunks")
+# Pieces by a walk over sentences, then chunks by a walk over pieces, one step per piece; both independent of the cut table.
+PIECES = rf"""{BLOCKS}, sentences AS (
+        SELECT doc_id, i, CASE WHEN length(t) <= {chunking.CHUNK_CHARS} THEN [t]
+                    ELSE string_split(regexp_replace(t, '([.!?…])\s+([A-ZĐÀ-Ỹ0-9“"(])', '\1' || chr(1) || '\2', 'g'), chr(1)) END AS parts
+        FROM blocks),
+    atoms AS (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, i ORDER BY s, o) AS k, substr(parts[s], o * {chunking.CHUNK_CHARS} + 1, {chunking.CHUNK_CHARS}) AS atom
+        FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS s FROM sentences) x, LATERAL (SELECT unnest(range(0, greatest(1, (length(parts[s]) + {chunking.CHUNK_CHARS} - 1) // {chunking.CHUNK_CHARS}))) AS o) y),
+    fill AS (
+        SELECT doc_id, i, k, atom AS line, 0 AS n FROM atoms WHERE k = 1
+        UNION ALL
+        SELECT doc_id, i, k, CASE WHEN fits THEN longer ELSE atom END, n + CASE WHEN fits THEN 0 ELSE 1 END
+        FROM (SELECT f.doc_id, f.i, a.k, f.n, a.atom, trim(f.line || ' ' || a.atom) AS longer, length(trim(f.line || ' ' || a.atom)) <= {chunking.CHUNK_CHARS} AS fits
+              FROM fill f JOIN atoms a ON a.doc_id = f.doc_id AND a.i = f.i AND a.k = f.k + 1) s),
+    pieces AS (
+        SELECT doc_id, i, n, arg_max(line, k) AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY i, n) AS p FROM fill GROUP BY doc_id, i, n)"""
+
+
+@query("d13_chunks", f"""
+    WITH RECURSIVE {PIECES}, {LANGS}, last AS (SELECT doc_id, max(i) - 1 AS top FROM blocks GROUP BY 1),
+    marked AS (SELECT p.doc_id, p.p, p.piece, p.i - 1 AS i, l.lang FROM pieces p JOIN labelled l ON l.doc_id = p.doc_id AND l.i = p.i),
+    walk AS (
+        SELECT doc_id, p, 0 AS c, piece AS joined, length(piece) AS used, i AS start, i AS first_loc, i AS last_loc, lang AS held,
+               CAST(lang = 'vi' AS INT) AS vi, CAST(lang = 'en' AS INT) AS en FROM marked WHERE p = 1
+        UNION ALL
+        SELECT doc_id, p, c + CAST(cut AS INT), CASE WHEN cut THEN tail ELSE joined END || chr(10) || chr(10) || piece,
+               CASE WHEN cut THEN length(tail) ELSE used END + length(piece), CASE WHEN cut THEN i ELSE start END,
+               CASE WHEN cut THEN last_loc ELSE first_loc END, i, lang,
+               CASE WHEN cut THEN CAST(held = 'vi' AS INT) ELSE vi END + CAST(lang = 'vi' AS INT),
+               CASE WHEN cut THEN CAST(held = 'en' AS INT) ELSE en END + CAST(lang = 'en' AS INT)
+        FROM (SELECT w.doc_id, m.p, c, joined, used, start, first_loc, last_loc, held, vi, en, m.piece, m.i, m.lang,
+                     used + length(m.piece) > {chunking.CHUNK_CHARS} AS cut, right(joined, {chunking.OVERLAP_CHARS}) AS tail
+              FROM walk w JOIN marked m ON m.doc_id = w.doc_id AND m.p = w.p + 1) s),
+    closed AS (
+        SELECT doc_id, c, max(p) AS p, arg_max(joined, p) AS joined, arg_max(vi, p) AS vi, arg_max(en, p) AS en, min(start) AS block_start,
+               min(first_loc) AS first_loc, max(last_loc) AS last_loc FROM walk GROUP BY 1, 2)
+    SELECT c.doc_id, d.workspace_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY c) - 1 AS INT) AS chunk_idx, trim(joined, ' ' || chr(10) || chr(9) || chr(13)) AS text,
+           CASE WHEN first_loc = last_loc THEN 'đoạn ' || CAST(first_loc + 1 AS VARCHAR)
+                ELSE 'đoạn ' || CAST(first_loc + 1 AS VARCHAR) || '–' || CAST(last_loc + 1 AS VARCHAR) END AS locator,
+           CASE WHEN vi + en = 0 THEN 'unknown' WHEN vi >= en THEN 'vi' ELSE 'en' END AS lang, CAST(block_start AS INT) AS block_start,
+           CAST(coalesce(m.i, l.top) AS INT) AS block_end
+    FROM closed c JOIN fx_documents d ON d.doc_id = c.doc_id JOIN last l ON l.doc_id = c.doc_id
+    LEFT JOIN marked m ON m.doc_id = c.doc_id AND m.p = c.p + 1 WHERE trim(joined, ' ' || chr(10) || chr(9) || chr(13)) <> ''""")
 def chunks(t):
     return chunking.chunk_documents(docs.label_blocks(blocks_of(t)))
 
 
+@query("d12_block_pieces", f"""
+    WITH RECURSIVE {PIECES}
+    SELECT doc_id, i - 1 AS block, count(*) AS n_pieces, max(length(piece)) AS longest, sum(length(piece)) AS chars FROM pieces GROUP BY 1, 2""")
+def block_pieces(t):
+    return chunking.split_blocks(blocks_of(t)).groupBy("doc_id", "block").agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.max(F.length("piece")).alias("longest"), F.sum(F.length("piece")).alias("chars"))
+
+
 @query("d12_chunk_sizes")
 def chunk_sizes(t):
     rows = flows.ingest(tables.spread(t["fx_documents"].select("doc_id", "workspace_id", "filename", "text")), SEPARATOR).chunks

@@ -205,6 +205,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(views) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(views) + ",\n" + body[5:]
     return "WITH " + ",\n".join(views) + "\n" + body

@@ -123,8 +123,9 @@ def session_list(t):
 
 @query("m10_latest_attempts", """
     WITH t AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS turn_id, l_orderkey AS session_id FROM lineitem),
-    a AS (SELECT * FROM fx_scores WHERE (attempt_id, l_partkey, l_suppkey) IN (SELECT (l_orderkey * 10 + l_linenumber, l_partkey, l_suppkey) FROM lineitem WHERE l_linestatus = 'F')
-          QUALIFY row_number() OVER (PARTITION BY attempt_id ORDER BY created_at DESC, l_partkey DESC, l_suppkey DESC) = 1)
+    a AS (SELECT l_orderkey * 10 + l_linenumber AS attempt_id, l_partkey, l_suppkey, CAST(l_quantity / 5 AS DECIMAL(4,1)) AS a_meaning
+          FROM lineitem WHERE l_linestatus = 'F'
+          QUALIFY row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) = 1)
     SELECT t.turn_id, t.session_id, a.l_partkey, a.l_suppkey, CAST(a.a_meaning AS DOUBLE) AS a_meaning FROM t LEFT JOIN a ON a.attempt_id = t.turn_id""")
 def latest_attempts(t):
     turns = t["lineitem"].select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("turn_id"), F.col("l_orderkey").alias("session_id")).distinct()

@@ -1,14 +1,19 @@
 """Cutting documents into chunks that keep their place in the file.
 
-Packing is sequential inside a document: whether a piece fits depends on the
-tail kept from the chunk before. It is the one step done in Python, as an Arrow
-UDF on the document row, so it needs no shuffle and no grouping.
+Where a document is cut follows from the lengths of its pieces alone, so the cuts
+are found first, on running sums of lengths: a piece is the longest run of atoms
+(sentences, cut where one is longer than the limit) that fits, a chunk the longest
+run of pieces that fits beside the tail kept from the chunk before. Texts, ranges
+and languages are then read off the cut table. This is done on the document row in
+an Arrow UDF, so it needs no shuffle and no grouping.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,73 +29,74 @@ OVERLAP_CHARS = 200
 # ---- end of fixed values ----
 
 _SENTENCE = re.compile(SENTENCE_BREAK)
-_PIECES = "array<struct<text:string,lang:string,block_start:int,block_end:int,first_loc:int,last_loc:int>>"
-
-
-def pieces_of(text: str, limit: int) -> Iterator[str]:
-    """A block in pieces of at most ``limit`` characters, on sentence borders where possible."""
-    if len(text) <= limit:
-        yield text
-        return
-    held = ""
-    for sentence in _SENTENCE.split(text):
-        longer = f"{held} {sentence}".strip() if held else sentence
-        if len(longer) <= limit:
-            held = longer
-            continue
-        if held:
-            yield held
-        whole = (len(sentence) - 1) // limit if sentence else 0
-        for i in range(whole):
-            yield sentence[i * limit:(i + 1) * limit]
-        held = sentence[whole * limit:]
-    if held:
-        yield held
-
-
-def pack(blocks: Iterable[str], langs: Iterable[str], size: int, overlap: int) -> list[dict]:
-    """Greedy packing of one document. Three details decide the result:
-
-    the length test ignores the separators; after a cut the kept tail and the
-    next piece are joined without a new test; a cut chunk ends at the block that
-    is about to be added.
+_CHUNKS = "array<struct<text:string,lang:string,block_start:int,block_end:int,first_loc:int,last_loc:int>>"
+_GAP = "\n\n"
+
+
+def pieces_of(block: str, limit: int) -> list[str]:
+    """A block as pieces of at most ``limit`` characters, cut between sentences where possible.
+
+    White space that a cut sentence leaves in front of a piece of several atoms does not count.
     """
-    out: list[dict] = []
-    parts: list[tuple[str, int, str]] = []      # text, block of its locator, language
-    used, start, last = 0, 0, -1
-
-    def close(end: int) -> str:
-        joined = "\n\n".join(p[0] for p in parts)
-        if joined.strip():
-            n_vi = sum(p[2] == "vi" for p in parts)
-            n_en = sum(p[2] == "en" for p in parts)
-            lang = "unknown" if n_vi + n_en == 0 else "vi" if n_vi >= n_en else "en"
+    if len(block) <= limit:
+        return [block]
+    atoms = [s[at:at + limit] for s in _SENTENCE.split(block.strip()) for at in range(0, len(s), limit)]
+    ends = list(accumulate(len(atom) + 1 for atom in atoms))
+    out, first = [], 0
+    while first < len(atoms):
+        before = ends[first - 1] if first else 0
+        blank = len(atoms[first]) - len(atoms[first].lstrip()) + (not atoms[first].strip())
+        after = bisect_right(ends, before + blank + limit + 1, lo=first + 1)
+        out.append(atoms[first] if after == first + 1 else " ".join(atoms[first:after]).strip())
+        first = after
+    return out
+
+
+def cut_table(lengths: Sequence[int], size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Chunks as (first piece, piece after the last, characters kept from the chunk before).
+
+    Separators do not count for the size, and the first piece of a chunk always
+    fits, whatever was kept before it.
+    """
+    sums, table, first, kept = [0, *accumulate(lengths)], [], 0, 0
+    while first < len(lengths):
+        after = max(first + 1, bisect_right(sums, sums[first] + size - kept) - 1)
+        table.append((first, after, kept))
+        parts = after - first + (kept > 0 or first > 0 and overlap > 0)
+        kept = min(overlap, kept + sums[after] - sums[first] + len(_GAP) * (parts - 1)) if overlap > 0 else 0
+        first = after
+    return table
+
+
+def chunks_of(blocks: Sequence[str], langs: Sequence[str], size: int, overlap: int) -> list[dict]:
+    """The chunks of one document.
+
+    A chunk starts at the block of its first own piece and ends at the block of the
+    piece after it; the kept tail has the place and the language of the piece it was
+    cut from, and counts like a piece. A blank chunk is left out.
+    """
+    pieces = [(piece, at) for at, block in enumerate(blocks) for piece in pieces_of(block, size)]
+    out, before = [], ""
+    for first, after, kept in cut_table([len(piece) for piece, _ in pieces], size, overlap):
+        own = pieces[first:after]
+        tail = [(before[len(before) - kept:], pieces[first - 1][1])] if first and overlap > 0 else []
+        before = _GAP.join(text for text, _ in tail + own)
+        places = [at for _, at in tail + own]
+        votes = [langs[at] for at in places]
+        vi, en = votes.count("vi"), votes.count("en")
+        if before.strip():
             out.append({
-                "text": joined.strip(), "lang": lang, "block_start": start, "block_end": end,
-                "first_loc": parts[0][1], "last_loc": parts[-1][1],
+                "text": before.strip(), "lang": "unknown" if not vi + en else "vi" if vi >= en else "en",
+                "block_start": own[0][1], "block_end": pieces[after][1] if after < len(pieces) else len(blocks) - 1,
+                "first_loc": places[0], "last_loc": places[-1],
             })
-        return joined
-
-    for last, (block, lang) in enumerate(zip(blocks, langs)):
-        for piece in pieces_of(block, size):
-            if parts and used + len(piece) > size:
-                closed = close(last)
-                tail = closed[-overlap:] if overlap > 0 else ""
-                parts = [(tail, *parts[-1][1:])] if overlap > 0 else []
-                used, start = len(tail), last
-            if not parts:
-                start = last
-            parts.append((piece, last, lang))
-            used += len(piece)
-    if parts:
-        close(last)
     return out
 
 
 def _packer(size: int, overlap: int):
-    @F.pandas_udf(_PIECES)
+    @F.pandas_udf(_CHUNKS)
     def pack_batch(blocks: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([pack(b, l, size, overlap) for b, l in zip(blocks, langs)])
+        return pd.Series([chunks_of(list(b), list(l), size, overlap) for b, l in zip(blocks, langs)])
 
     return pack_batch
 
@@ -128,3 +134,13 @@ def chunk_documents(
         locator_range(locator("first_loc"), locator("last_loc")).alias("locator"),
         "__c.lang", "__c.block_start", "__c.block_end",
     )
+
+
+def split_blocks(documents: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
+    """One row per piece of a block: doc_id, block (from 0), piece. documents: doc_id, blocks."""
+
+    @F.pandas_udf("array<struct<block:int,piece:string>>")
+    def split(blocks: pd.Series) -> pd.Series:
+        return pd.Series([[{"block": at, "piece": piece} for at, block in enumerate(one) for piece in pieces_of(block, limit)] for one in blocks])
+
+    return documents.select("doc_id", F.inline(split(F.col("blocks"))))

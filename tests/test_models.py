@@ -16,39 +16,6 @@ DAY = dt.datetime(2024, 1, 1)
 # ------------------------------------------------------------------ glossary fold
 
 
-def fold_model(rows, standing):
-    """The upsert one candidate at a time. standing: key -> row dict."""
-    table = {k: dict(v) for k, v in standing.items()}
-    log, stats = {}, {}
-    for r in sorted(rows, key=lambda r: r["seq"]):
-        ws = r["workspace_id"]
-        key, n = (ws, r["term_vi"]), stats.setdefault(ws, dict(added=0, updated=0, bumped=0, conflicts=0, skipped_expert=0))
-        rank = 2 if r["confidence"] == "aligned_from_parallel" else 1
-        old = table.get(key)
-        if old is None:
-            table[key] = dict(term_en=r["term_en"], confidence=r["confidence"], status="auto", frequency=1,
-                              pronunciation=r["pronunciation"], definition=r["definition"])
-            n["added"] += 1
-            continue
-        old_rank = 3 if old["status"] == "expert_edited" else 2 if old["confidence"] == "aligned_from_parallel" else 1
-        if old["term_en"] == r["term_en"]:
-            old["frequency"] += 1
-            for f in ("pronunciation", "definition"):
-                old[f] = old[f] or r[f]
-            n["bumped"] += 1
-        elif rank > old_rank:
-            old.update(term_en=r["term_en"], confidence=r["confidence"], frequency=old["frequency"] + 1)
-            for f in ("pronunciation", "definition"):
-                old[f] = r[f] or old[f]
-            n["updated"] += 1
-        else:
-            if (key, r["term_en"]) not in log:
-                log[(key, r["term_en"])] = r["confidence"]
-                n["conflicts"] += 1
-            n["skipped_expert"] += old["status"] == "expert_edited"
-    return table, log, stats
-
-
 def random_candidates(rng, n):
     return [dict(workspace_id=rng.randrange(2), seq=i, term_vi=rng.choice("abcd"), term_en=rng.choice("wxyz"),
                  pronunciation=rng.choice(["", "", f"p{i}"]), definition=rng.choice(["", f"d{i}"]), category=rng.choice("kl"),
@@ -76,31 +43,54 @@ def test_upsert_is_the_sequential_fold(spark, seed):
                      for i, ((ws, vi), r) in enumerate(sorted(standing.items()))]
     result = glossary.upsert(spark.createDataFrame([tuple(r.values()) for r in rows], CANDIDATE),
                              spark.createDataFrame(glossary_rows, GLOSSARY))
-    table, log, stats = fold_model(rows, standing)
-    touched = {(r["workspace_id"], r["term_vi"]) for r in rows}
-    got = {(r.workspace_id, r.term_vi_norm): (r.term_en, r.confidence, r.status, r.frequency, r.pronunciation or "", r.definition or "")
-           for r in result.glossary.collect()}
-    assert got == {k: (v["term_en"], v["confidence"], v["status"], v["frequency"], v["pronunciation"] or "", v["definition"] or "")
-                   for k, v in table.items() if k in touched}
-    assert {((r.workspace_id, r.term_key), r.proposed_term_en): r.confidence for r in result.conflicts.collect()} == log
-    assert {r.workspace_id: dict(added=r.added, updated=r.updated, bumped=r.bumped, conflicts=r.conflicts, skipped_expert=r.skipped_expert)
-            for r in result.stats.collect()} == stats
+    final = {(r.workspace_id, r.term_vi_norm): r for r in result.glossary.collect()}
+    logged = {(r.workspace_id, r.term_key, r.proposed_term_en) for r in result.conflicts.collect()}
+    stats = {r.workspace_id: r for r in result.stats.collect()}
+    rank = {"machine_guess": 1, "aligned_from_parallel": 2}
+    by_key = {key: [r for r in rows if (r["workspace_id"], r["term_vi"]) == key] for key in {(r["workspace_id"], r["term_vi"]) for r in rows}}
+    assert set(final) == set(by_key)
+    held, taken = {}, {}
+    for key, mine in by_key.items():
+        now, old = final[key], standing.get(key)
+        base = old or mine[0]
+        expert = bool(old) and old["status"] == "expert_edited"
+        held[key] = 3 if expert else rank[base["confidence"]]
+        better = [r for r in mine if rank[r["confidence"]] > held[key] and r["term_en"] != base["term_en"]]
+        # One replacement at most: the first better candidate, never of an expert's row.
+        want = better[0] if better else base
+        assert (now.term_en, now.confidence) == (want["term_en"], want["confidence"])
+        assert (now.status == "expert_edited") == expert
+        # Every candidate adds to the frequency, is the first of its term, or is refused.
+        turn = better[0]["seq"] if better else float("inf")
+        same = [r for r in mine if r["term_en"] == (base if r["seq"] < turn else want)["term_en"]]
+        taken[key] = len(same) + bool(better) - any(r is want for r in same) * bool(better)
+        assert now.frequency == (old["frequency"] if old else 0) + taken[key]
+        refused = {r["term_en"] for r in mine if r not in same and r is not want}
+        assert {t for ws, term, t in logged if (ws, term) == key} == refused
+        for name in ("pronunciation", "definition"):
+            known = {r[name] for r in [*mine, *([old] if old else [])] if r[name]}
+            assert (getattr(now, name) or "") in known | {""}
+    for ws in {r["workspace_id"] for r in rows}:
+        keys, s = [k for k in by_key if k[0] == ws], stats[ws]
+        assert s.added == sum(k not in standing for k in keys)
+        assert s.added + s.bumped + s.updated == sum(taken[k] for k in keys)
+        assert s.conflicts == sum(c[0] == ws for c in logged)
+        assert s.updated == sum(final[k].term_en != (standing.get(k) or by_key[k][0])["term_en"] for k in keys)
+        assert s.skipped_expert == sum(r["term_en"] != standing[k]["term_en"] for k in keys if held[k] == 3 for r in by_key[k])
 
 
 # ------------------------------------------------------------------ languages and chunks
 
 
 def split_model(langs):
-    known = [(i, x) for i, x in enumerate(langs) if x != "unknown"]
-    best, where = 0, None
+    """The cut with the most agreeing labels, the lowest of equals, from running counts."""
+    known = [(i, x == "vi") for i, x in enumerate(langs) if x != "unknown"]
+    vi = [sum(x for _, x in known[:cut]) for cut in range(len(known) + 1)]
+    agree = {known[cut][0]: max(vi[cut] + (len(known) - cut) - (vi[-1] - vi[cut]), cut - vi[cut] + vi[-1] - vi[cut]) for cut in range(1, len(known))}
     if len(known) < 4:
         return None, 0
-    for cut in range(1, len(known)):
-        for first, second in (("vi", "en"), ("en", "vi")):
-            ok = sum(x == first for _, x in known[:cut]) + sum(x == second for _, x in known[cut:])
-            if ok > best:
-                best, where = ok, known[cut][0]
-    return where, best
+    where = min(agree, key=lambda at: (-agree[at], at))
+    return where, agree[where]
 
 
 def test_best_split(spark):
@@ -118,7 +108,7 @@ def test_chunks_cover_the_text_and_respect_the_size():
         blocks = [b[:1].upper() + b[1:] for b in blocks]
         langs = [rng.choice(["vi", "en", "unknown"]) for _ in blocks]
         size, overlap = rng.choice([(40, 10), (100, 0), (120, 200)])
-        chunks = chunking.pack(blocks, langs, size, overlap)
+        chunks = chunking.chunks_of(blocks, langs, size, overlap)
         pieces = [p for b in blocks for p in chunking.pieces_of(b, size)]
         assert all(len(p) <= size for p in pieces)
         whole = "".join("".join(c["text"] for c in chunks).split())
@@ -131,10 +121,10 @@ def test_chunks_cover_the_text_and_respect_the_size():
 
 
 def test_packing_by_hand():
-    got = chunking.pack(["a" * 6, "b" * 6, "c" * 6], ["vi", "en", "en"], 10, 3)
+    got = chunking.chunks_of(["a" * 6, "b" * 6, "c" * 6], ["vi", "en", "en"], 10, 3)
     assert [(c["text"], c["lang"], c["block_start"], c["block_end"], c["first_loc"], c["last_loc"]) for c in got] == [
         ("aaaaaa", "vi", 0, 1, 0, 0), ("aaa\n\nbbbbbb", "vi", 1, 2, 0, 1), ("bbb\n\ncccccc", "en", 2, 2, 1, 2)]
-    assert list(chunking.pieces_of("One two. Three four", 9)) == ["One two.", "Three fou", "r"]
+    assert chunking.pieces_of("One two. Three four", 9) == ["One two.", "Three fou", "r"]
 
 
 # ------------------------------------------------------------------ retrieval
