@@ -24,7 +24,7 @@ from .common import Memo, chance, written
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Documents per language that are counted, about; table rows kept per language and length; languages.
-SAMPLE, ROWS, LANGUAGES = 20_000, 20_000, 1_000
+SAMPLE, ROWS, LANGUAGES = 5_000, 20_000, 1_000
 UNKNOWN = "und"
 
 
@@ -39,36 +39,47 @@ def runs(word: str, length: int) -> list[str]:
 
 
 def gram_counts(sample: DataFrame) -> DataFrame:
-    """(lang, length, gram, n) of a sample (lang, text); length 0 stands for whole words."""
+    """(lang, length, gram, n) of a sample (lang, text); length 0 stands for whole words.
+
+    Words are counted first; the runs of each different word are then taken once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out: Counter = Counter()
-            for (lang, word), n in words.items():
-                out[lang, 0, word] += n
-                for length in range(1, LONGEST + 1):
-                    for run in runs(word, length):
-                        out[lang, length, run] += n
-            words.clear()
-            keys = list(out)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())],
-                names=["lang", "length", "gram", "n"],
-            )
-
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words.update((lang, word) for word in words_of(text))
-                if len(words) > 50_000:
-                    yield flush()
-        yield flush()
+                if len(words) > 200_000:
+                    yield _batch(words, ("lang", "word"))
+        yield _batch(words, ("lang", "word"))
 
-    return (
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: Counter = Counter()
+        for batch in batches:
+            for lang, word, n in zip(*(column.to_pylist() for column in batch.columns)):
+                for length in range(1, LONGEST + 1):
+                    for run in runs(word, length):
+                        grams[lang, length, run] += n
+                if len(grams) > 500_000:
+                    yield _batch(grams, ("lang", "length", "gram"))
+        yield _batch(grams, ("lang", "length", "gram"))
+
+    words = written(
         sample.select("lang", F.coalesce("text", F.lit("")).alias("text"))
-        .mapInArrow(count, "lang string, length int, gram string, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+        .mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
+    grams = words.mapInArrow(cut, "lang string, length int, gram string, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+    return grams.unionByName(words.select("lang", F.lit(0).alias("length"), F.col("word").alias("gram"), "n"))
+
+
+def _batch(counts: Counter, names: tuple[str, ...]) -> pa.RecordBatch:
+    """A counter of tuples as a batch; the counter is emptied."""
+    kinds = [pa.int32() if name == "length" else pa.string() for name in names]
+    columns = zip(*counts) if counts else [()] * len(names)
+    arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+    out = pa.RecordBatch.from_arrays([*arrays, pa.array(counts.values(), pa.int64())], names=[*names, "n"])
+    counts.clear()
+    return out
 
 
 class LanguageModel:
