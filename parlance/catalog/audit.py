@@ -38,7 +38,7 @@ def decisions(t):
 
 
 @query("a1_log_rows", f"""
-    WITH {DECISIONS} SELECT id, workspace_id, operation_id, destination, provider, status, error_class, CASE WHEN status = 'blocked' THEN 0 ELSE n_chars END AS n_chars_sent FROM decided""")
+    WITH {DECISIONS} SELECT id, workspace_id, operation_id, destination, provider, status, error_class, n_chars FROM decided""")
 def log_rows(t):
     return au.append_rows(decisions(t)).drop("created_at")
 

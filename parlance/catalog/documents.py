@@ -7,7 +7,6 @@ from ..functions.arrays import unnest
 from ..operators import chunking
 from ..operators import documents as docs
 from ..plans import flows
-from ..sources import tables
 from .registry import query
 from .sqltext import BLOCKS, CLASSES, LANGS, SPLITS
 
@@ -15,7 +14,7 @@ SEPARATOR = r"\n+"      # the fixture texts have no blank lines
 
 
 def blocks_of(t):
-    rows = tables.spread(t["fx_documents"].select("doc_id", "workspace_id", "text"))
+    rows = t["fx_documents"].select("doc_id", "workspace_id", "text")
     return docs.with_blocks(rows, SEPARATOR)
 
 
@@ -36,12 +35,17 @@ def duplicates(t):
 
 
 @query("d3_stored_names", """
-    WITH n AS (SELECT seq, workspace_id, replace(filename, 'src', 'src:') AS filename,
-                      row_number() OVER (PARTITION BY workspace_id, filename ORDER BY seq) AS k FROM fx_documents)
-    SELECT seq, workspace_id, CASE WHEN k = 1 THEN replace(filename, ':', '_')
-           ELSE replace(replace(filename, ':', '_'), '.txt', '') || ' (' || CAST(k AS VARCHAR) || ').txt' END AS stored_name FROM n""")
+    WITH f AS (SELECT seq, workspace_id, CASE WHEN seq % 50 = 7 THEN replace(filename, '.txt', ' (' || CAST(seq % 9 AS VARCHAR) || ').txt') ELSE filename END AS filename FROM fx_documents),
+    n AS (SELECT seq, workspace_id, replace(replace(filename, 'src', 'src_'), '.txt', '') AS name, row_number() OVER (PARTITION BY workspace_id, filename ORDER BY seq) AS k FROM f),
+    free AS (SELECT workspace_id, name, k, row_number() OVER (PARTITION BY workspace_id, name ORDER BY k) + 1 AS turn
+             FROM (SELECT DISTINCT workspace_id, name FROM n) x, (SELECT unnest(range(2, (SELECT max(k) FROM n) + 12)) AS k) r
+             WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.workspace_id = x.workspace_id AND n.name = x.name || ' (' || CAST(r.k AS VARCHAR) || ')'))
+    SELECT seq, n.workspace_id, CASE WHEN n.k = 1 THEN n.name || '.txt' ELSE n.name || ' (' || CAST(free.k AS VARCHAR) || ').txt' END AS stored_name
+    FROM n LEFT JOIN free ON free.workspace_id = n.workspace_id AND free.name = n.name AND free.turn = n.k""")
 def stored_names(t):
-    uploads = t["fx_documents"].select("seq", "workspace_id", F.regexp_replace("filename", "src", "src:").alias("filename"))
+    own = F.regexp_replace("filename", F.lit(r"\.txt$"), F.concat(F.lit(" ("), (F.col("seq") % 9).cast("string"), F.lit(").txt")))
+    names = F.when(F.col("seq") % 50 == 7, own).otherwise(F.col("filename"))
+    uploads = t["fx_documents"].select("seq", "workspace_id", F.regexp_replace(names, "src", "src:").alias("filename"))
     return docs.stored_names(uploads, bucket_rows=100).select("seq", "workspace_id", "stored_name")
 
 
@@ -89,7 +93,7 @@ def parallel_texts(t):
     SELECT doc_id, len(parts) AS n_sentences, list_max(list_transform(parts, lambda p: length(p))) AS longest FROM s""")
 def sentence_stats(t):
     parts = tx.sentences(F.col("text"))
-    return tables.spread(t["documents"].select("doc_id", "text")).select(
+    return t["documents"].select("doc_id", "text").select(
         "doc_id", F.size(parts).alias("n_sentences"), F.array_max(F.transform(parts, F.length)).alias("longest"))
 
 
@@ -150,7 +154,7 @@ def block_pieces(t):
 
 @query("d12_chunk_sizes")
 def chunk_sizes(t):
-    rows = flows.ingest(tables.spread(t["fx_documents"].select("doc_id", "workspace_id", "filename", "text")), SEPARATOR).chunks
+    rows = flows.ingest(t["fx_documents"].select("doc_id", "workspace_id", "filename", "text"), SEPARATOR).chunks
     return rows.groupBy("workspace_id", "lang").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("text")).alias("longest"),
         F.sum(F.length("text")).alias("chars"))

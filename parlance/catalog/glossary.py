@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import documents as docs
 from ..operators import glossary as gl
-from ..sources import tables
 from .registry import query
 from .sqltext import squash, strip, term_key
 
@@ -46,7 +45,7 @@ def term_keys(t):
 
 @query("t1_text_keys", f"SELECT doc_id, sha256({term_key('text')}) AS key_hash FROM documents")
 def text_keys(t):
-    return tables.spread(t["documents"].select("doc_id", "text")).select("doc_id", F.sha2(tx.term_key(F.col("text")), 256).alias("key_hash"))
+    return t["documents"].select("doc_id", "text").select("doc_id", F.sha2(tx.term_key(F.col("text")), 256).alias("key_hash"))
 
 
 @query("t2_clean_candidates", """
@@ -277,12 +276,27 @@ def pronunciation_map(t):
     return gl.pronunciation_map(t["fx_glossary"])
 
 
-@query("t17_apply_pronunciation")
+# One fold per text over the surfaces of its workspace, the longest first, on the running text.
+@query("t17_apply_pronunciation", rf"""
+    WITH {SPOKEN},
+    rules AS (SELECT workspace_id, list({{'spoken': surface, 'applied': hint}} ORDER BY length(surface) DESC, first_id, side, surface) AS r
+              FROM (SELECT * FROM spoken UNION ALL SELECT DISTINCT p_partkey % 7, substr(p_brand, 7) || ' end', 'fin', 0, 2 FROM part) m GROUP BY 1),
+    texts AS (SELECT p_partkey % 7 AS workspace_id, p_partkey AS text_id, p_size % 5 <> 0 AS vi,
+                     p_type || ' ' || upper(p_name) || ', ' || p_name || ' ' || CAST(p_partkey AS VARCHAR) || ' end.' AS text FROM part),
+    folded AS (SELECT t.workspace_id, text_id, list_reduce(list_prepend({{'spoken': text, 'applied': ''}}, CASE WHEN vi THEN coalesce(r, []) ELSE [] END), lambda a, x:
+        CASE WHEN contains(lower(a.spoken), lower(x.spoken)) AND regexp_matches(a.spoken, '(?i)\b' || regexp_escape(x.spoken) || '\b')
+             THEN {{'spoken': regexp_replace(a.spoken, '(?i)\b' || regexp_escape(x.spoken) || '\b', x.applied, 'g'),
+                   'applied': CASE WHEN a.applied = '' THEN '' ELSE a.applied || '|' END || x.spoken}} ELSE a END) AS f
+        FROM texts t LEFT JOIN rules ON rules.workspace_id = t.workspace_id)
+    SELECT workspace_id, text_id, f.spoken AS spoken, f.applied AS applied FROM folded""")
 def apply_pronunciation(t):
-    """Part lists as Vietnamese texts, spoken with the hints of their workspace."""
+    """Part lists as Vietnamese texts, spoken with the hints of their workspace; some surfaces span a hint and a word of the text."""
     texts = t["part"].select(
         (F.col("p_partkey") % 7).alias("workspace_id"), F.col("p_partkey").alias("text_id"),
         F.when(F.col("p_size") % 5 == 0, "en").otherwise("vi").alias("lang"),
-        F.concat("p_type", F.lit(" "), F.upper("p_name"), F.lit(", "), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".")).alias("text"))
-    spoken = gl.apply_pronunciation(texts, gl.pronunciation_map(t["fx_glossary"]))
+        F.concat("p_type", F.lit(" "), F.upper("p_name"), F.lit(", "), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" end.")).alias("text"))
+    across = t["part"].select(
+        (F.col("p_partkey") % 7).alias("workspace_id"), F.concat(F.substring("p_brand", 7, 99), F.lit(" end")).alias("surface"),
+        F.lit("fin").alias("hint"), F.lit(0).cast("bigint").alias("first_id"), F.lit(2).alias("side")).distinct()
+    spoken = gl.apply_pronunciation(texts, gl.pronunciation_map(t["fx_glossary"]).unionByName(across))
     return spoken.select("workspace_id", "text_id", "spoken", F.array_join("applied", "|").alias("applied"))

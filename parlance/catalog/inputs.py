@@ -10,16 +10,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import spread
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# Larger tables that come as one unsplittable file; see ``tables.spread``.
-SINGLE_FILE = ("lineitem", "documents")
-
 VIEWS: dict[str, str] = {
     "fx_vectors": """
         SELECT vec_id AS chunk_id, CAST(label AS BIGINT) AS document_id, vec_id % 4 AS workspace_id, embedding
@@ -39,10 +34,6 @@ VIEWS: dict[str, str] = {
                CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.PDF' WHEN 'de' THEN '.tar.gz' ELSE '' END AS filename,
                CASE WHEN n_chars < 60 THEN 0 ELSE n_chars * 5000 END AS size_bytes
         FROM {documents}""",
-    "fx_page_chunks": """
-        SELECT page_id AS doc_id, CAST(page_id % 7 AS INT) AS chunk_idx, substr(html, 1, 400) AS text,
-               CASE WHEN page_id % 3 = 0 THEN 'vi' WHEN page_id % 3 = 1 THEN 'en' ELSE 'unknown' END AS lang
-        FROM {pages}""",
     "fx_turn_chunks": """
         SELECT conv_id AS doc_id, CAST(turn AS INT) AS chunk_idx, text,
                CASE WHEN role = 'user' THEN 'vi' WHEN turn % 5 = 3 THEN 'unknown' ELSE 'en' END AS lang
@@ -114,7 +105,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE CAST(10 - l_quantity / 10 AS DECIMAL(4,1)) END AS e_expression,
                CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'reason ' || CAST(l_suppkey % 10 AS STRING) END AS note,
                CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE 'c' || CAST(l_suppkey % 8 AS STRING) END AS related_category
-        FROM {lineitem} WHERE l_returnflag <> 'N'""",
+        FROM {lineitem}""",
     "fx_profiles": """
         SELECT o_orderkey AS id, o_custkey % 50 AS workspace_id, o_custkey AS entity_id,
                CASE WHEN o_custkey % 3 = 0 THEN 'client' ELSE 'partner' END AS entity_role, o_orderdate AS created_at
@@ -151,7 +142,7 @@ VIEWS: dict[str, str] = {
         FROM {fx_audit} WHERE status <> 'blocked'""",
     "fx_results": """
         SELECT page_id % 5 AS run_id, page_id % 12 AS query_idx, page_id AS rank, split_part(url, '/', 3) AS url,
-               CASE WHEN page_id % 6 = 0 THEN '' ELSE url END AS title, substr(html, 1, 600) AS snippet
+               CASE WHEN page_id % 6 = 0 THEN '' ELSE url END AS title, html AS snippet
         FROM {pages}""",
     "fx_turns": """
         SELECT conv_id * 1000 + turn AS turn_id, conv_id AS session_id, turn AS turn_index,
@@ -178,8 +169,7 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.sql(VIEWS[name])
-        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(scan) if name in SINGLE_FILE else scan
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{name: self.table(name) for name in set(_NAME.findall(text))})

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import feedback as fb
 from ..operators import scoring as sc
-from ..sources import tables
 from .registry import query
 from .sqltext import half_up, mean, row_mean_tenths, squash, strip, term_key
 
@@ -82,7 +81,7 @@ def script_report(t):
     FROM b LEFT JOIN h ON h.item_id = b.item_id""")
 def verbatim(t):
     candidates = t["benchmark"].select(F.col("item_id").alias("candidate_id"), "text")
-    found = sc.verbatim(candidates, tables.spread(t["documents"].select("doc_id", "text")))
+    found = sc.verbatim(candidates, t["documents"].select("doc_id", "text"))
     return found.drop("text")
 
 
@@ -104,7 +103,7 @@ def first_parallel(t):
     SELECT item_id, CASE WHEN claimed AND norm <> '' AND EXISTS (SELECT 1 FROM d WHERE contains(d.norm, b.norm)) THEN 'verbatim_parallel' ELSE 'ai' END AS tier FROM b""")
 def reference_tier(t):
     candidates = t["benchmark"].select(F.col("item_id").alias("candidate_id"), "text")
-    found = sc.verbatim(candidates, tables.spread(t["documents"].select("doc_id", "text")))
+    found = sc.verbatim(candidates, t["documents"].select("doc_id", "text"))
     tier = sc.reference_tier(F.length("text") % 2 == 0, F.col("is_verbatim"))
     return found.select(F.col("candidate_id").alias("item_id"), tier.alias("tier"))
 

@@ -40,7 +40,7 @@ def batch_counts(t):
     WITH {BLOCKS}
     SELECT doc_id, workspace_id, i - 1 AS block_idx, 'đoạn ' || CAST(i AS VARCHAR) AS locator, t AS text FROM blocks""")
 def paragraphs(t):
-    rows = tables.spread(t["fx_documents"].select("doc_id", "workspace_id", "text"))
+    rows = t["fx_documents"].select("doc_id", "workspace_id", "text")
     return files.paragraph_rows(rows, r"\n+")
 
 
@@ -89,7 +89,7 @@ def glossary_export(t):
            sha256(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g'))) AS text_hash FROM documents""")
 def normalised_text(t):
     text = tx.normalise_text(F.col("text"))
-    return tables.spread(t["documents"].select("doc_id", "text")).select("doc_id", text.alias("text")).select(
+    return t["documents"].select("doc_id", "text").select("doc_id", text.alias("text")).select(
         "doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
@@ -101,7 +101,7 @@ def normalised_text(t):
     FROM lines GROUP BY 1""")
 def plausible_lines(t):
     lines = F.split("text", "\n")
-    return tables.spread(t["documents"].select("doc_id", "text")).select(
+    return t["documents"].select("doc_id", "text").select(
         "doc_id", F.size(lines).alias("n_lines"),
         F.size(F.filter(lines, tx.is_plausible_line)).alias("n_plausible"))
 
@@ -111,5 +111,5 @@ def plausible_lines(t):
     SELECT d.doc_id, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS block_chars, coalesce(sum(length(t)), 0) < 120 AS is_low_text
     FROM fx_documents d LEFT JOIN blocks b ON b.doc_id = d.doc_id GROUP BY 1""")
 def low_text(t):
-    rows = docs.with_blocks(tables.spread(t["fx_documents"].select("doc_id", "text")), r"\n+")
+    rows = docs.with_blocks(t["fx_documents"].select("doc_id", "text"), r"\n+")
     return docs.reject_low_text(rows).select("doc_id", "block_chars", "is_low_text")

@@ -22,10 +22,10 @@ FOLD = STANDING_FOLD.replace("s.term_vi_norm = r.term_key", "s.term_vi_norm = r.
 
 
 def as_stream(t, df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """A table as a file stream whose files are ordered ranges of ``order``."""
+    """A table as a file stream whose files are ordered ranges of ``order``, one per micro-batch."""
     folder = f"{run_dir(t.spark, 'stream')}/in"
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
-    return t.spark.readStream.schema(df.schema).parquet(folder)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def drained(t, stream: DataFrame, mode: str = "append") -> DataFrame:

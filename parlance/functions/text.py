@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # ---- fixed values (the rules they belong to give other results with others) ----
-NON_WORD = r"[^\p{L}\p{N}_\s]"
-SENTENCE_BREAK = r"(?<=[.!?…])\s+(?=[A-ZĐÀ-Ỹ0-9“\"(])"
-SENTENCE_END = r"[.!?…]+(?:\s|$)"
+# White space as a class that the JVM and Python read alike: plain \s is ASCII in one and Unicode in the other.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NON_WORD = rf"[^\p{{L}}\p{{N}}_{SPACE}]"
+SENTENCE_BREAK = rf"(?<=[.!?…])[{SPACE}]+(?=[A-ZĐÀ-Ỹ0-9“\"(])"
+SENTENCE_END = rf"[.!?…]+(?:[{SPACE}]|$)"
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-PLAUSIBLE_CLASS = r"\x20-\x7EÀ-ɏḀ-ỿ\s"
+PLAUSIBLE_CLASS = rf"\x20-\x7EÀ-ɏḀ-ỿ{SPACE}"
 PLAUSIBLE_MIN_LENGTH = 12
 PLAUSIBLE_MIN_SHARE = 0.85
 VIETNAMESE_LETTERS = (

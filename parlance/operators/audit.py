@@ -267,11 +267,11 @@ def decide(
 
 
 def append_rows(decisions: DataFrame) -> DataFrame:
-    """Rows for the audit log: one per call, stopped ones included; those sent nothing."""
+    """Rows for the audit log: one per call, stopped ones included, each with the size of its payload."""
     return decisions.select(
         "id", "workspace_id", "operation_id", "destination", "provider", F.col("ts").alias("created_at"),
         "status", "error_class",
-        F.when(F.col("status") == "blocked", 0).otherwise(F.col("n_chars")).alias("n_chars_sent"),
+        "n_chars",
     )
 
 

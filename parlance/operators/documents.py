@@ -58,9 +58,10 @@ def mark_duplicates(items: DataFrame, existing: DataFrame | None = None) -> Data
 
 
 def stored_names(uploads: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
-    """Safe stored name per upload; the n-th one with the same name gets ``" (n)"``.
+    """Safe stored name per upload, no two alike in a workspace.
 
-    uploads: workspace_id, seq, filename.
+    uploads: workspace_id, seq, filename. The first of a name keeps it; later ones
+    get ``" (n)"`` with the next number from 2 on that no upload brought itself.
     """
     named = uploads.withColumn("safe_name", files.safe_filename(F.col("filename")))
     numbered = ordered.positions(
@@ -69,15 +70,26 @@ def stored_names(uploads: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
     )
     suffix = F.regexp_extract("safe_name", r"[^.](\.[^.]+)$", 1)
     stem = F.expr("substring(safe_name, 1, length(safe_name) - length(__suffix))")
+    own = r"^(.*) \((\d{1,9})\)(\.[^.]+)?$"
+    taken = (
+        named.filter(F.rlike("safe_name", F.lit(own)))
+        .select("workspace_id", F.regexp_replace("safe_name", own, "$1$3").alias("safe_name"),
+                F.regexp_extract("safe_name", own, 2).cast("bigint").alias("__k"))
+        .filter("__k > 1").groupBy("workspace_id", "safe_name").agg(F.sort_array(F.collect_set("__k")).alias("__taken"))
+    )
+    number = F.aggregate(
+        F.coalesce("__taken", F.array().cast("array<bigint>")), F.col("name_no").cast("bigint"),
+        lambda n, k: F.when(k <= n, n + 1).otherwise(n),
+    )
     return (
-        numbered.withColumn("__suffix", suffix)
+        numbered.join(taken, ["workspace_id", "safe_name"], "left").withColumn("__suffix", suffix)
         .withColumn(
             "stored_name",
             F.when(F.col("name_no") == 1, F.col("safe_name")).otherwise(
-                F.concat(stem, F.lit(" ("), F.col("name_no").cast("string"), F.lit(")"), F.col("__suffix"))
+                F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), F.col("__suffix"))
             ),
         )
-        .drop("__suffix", "name_no")
+        .select(*named.columns, "stored_name")
     )
 
 

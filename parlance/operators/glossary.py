@@ -551,6 +551,14 @@ def _with_rarest_word(mapping: DataFrame) -> DataFrame:
     )
 
 
+def _with_fixed_words(surfaces: DataFrame) -> DataFrame:
+    """Adds ``__fixed``: the words of the surface that no hint of the workspace has."""
+    brought = surfaces.select("workspace_id", F.explode(_word_set(F.col("hint"))).alias("__w")).distinct()
+    words = unnest(surfaces, surfaces.columns, _word_set(F.col("surface")), "__w")
+    fixed = words.join(brought, ["workspace_id", "__w"], "left_anti").groupBy("workspace_id", "surface").agg(F.collect_set("__w").alias("__fixed"))
+    return surfaces.join(fixed, ["workspace_id", "surface"], "left").withColumn("__fixed", F.coalesce("__fixed", F.array().cast("array<string>")))
+
+
 def apply_pronunciation(texts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Texts with every known surface replaced by its hint: ``spoken`` and ``applied``.
 
@@ -570,12 +578,12 @@ def apply_pronunciation(texts: DataFrame, mapping: DataFrame) -> DataFrame:
         vi, ["workspace_id", "text_id"], F.array_append(_word_set(F.col("text")), F.lit("")), "__word"
     )
     columns = ["workspace_id", "text_id", "surface", "hint", "first_id", "side"]
-    met = tokens.join(surfaces, ["workspace_id", "__word"]).select(*columns)
-    # The rarest word is there; keep the surfaces whose other words are there too.
+    met = tokens.join(_with_fixed_words(surfaces), ["workspace_id", "__word"]).select(*columns, "__fixed")
+    # The rarest word is there; the others must be there too, unless a hint of the workspace may bring them.
     lowered = vi.select("workspace_id", "text_id", F.lower("text").alias("__low"))
     direct = met.join(lowered, ["workspace_id", "text_id"]).filter(
-        F.forall(_word_set(F.col("surface")), lambda w: F.contains(F.col("__low"), w))
-    ).select(*columns)
+        F.forall(F.col("__fixed"), lambda w: F.contains(F.col("__low"), w))
+    ).select(*[c for c in columns if c != "__fixed"])
     indirect = direct.select("workspace_id", "text_id", F.col("surface").alias("__from")).join(
         reach, ["workspace_id", "__from"]
     ).select(*columns)

@@ -13,7 +13,7 @@ SUPPORTED_EXTENSIONS = (".pdf", ".docx", ".doc", ".txt", ".md")
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024
 UNSAFE_NAME = r'[<>:"/\\|?*\x00-\x1f]'
 FALLBACK_NAME = "tai-lieu"
-PARAGRAPH_BREAK = r"\n\s*\n"
+PARAGRAPH_BREAK = rf"\n[{tx.SPACE}]*\n"
 PARAGRAPH_LOCATOR = "đoạn "
 CELL_SEPARATOR = " | "
 # ---- end of fixed values ----

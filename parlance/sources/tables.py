@@ -30,13 +30,3 @@ def scan_vectors(spark: SparkSession, path: str, workspaces: Sequence[int] | Non
     df = scan(spark, path, workspaces)
     return df if documents is None else df.join(documents.select("document_id"), "document_id", "left_semi")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small table comes as one file.
-
-    A table of many files has more splits than cores and is returned unchanged,
-    so nothing is shuffled where it would cost.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
