@@ -135,7 +135,7 @@ def latest_attempts(t):
 
 
 @query("m11_session_state", """
-    WITH a AS (SELECT l_orderkey AS session_id, min(l_shipdate) AS started_at, max(l_shipdate) AS last_at, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+    WITH a AS (SELECT l_orderkey AS session_id, min(l_shipdate) AS started_at, max(l_shipdate) AS last_at, count(*) AS n FROM lineitem GROUP BY 1)
     SELECT o_orderkey AS id, strftime(started_at, '%Y-%m-%d') AS started_day, coalesce(n, 0) AS n_attempts,
            CASE WHEN o_orderstatus = 'F' AND (last_at IS NULL OR o_orderdate + INTERVAL 60 DAY >= last_at) THEN 'completed'
                 WHEN last_at IS NOT NULL THEN 'in_progress' ELSE 'generated' END AS status

@@ -23,9 +23,13 @@ FOLD = STANDING_FOLD.replace("s.term_vi_norm = r.term_key", "s.term_vi_norm = r.
 
 def as_stream(t, df: DataFrame, order: str, files: int = 4) -> DataFrame:
     """A table as a file stream whose files are ordered ranges of ``order``, one per micro-batch."""
-    folder = f"{run_dir(t.spark, 'stream')}/in"
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    base = run_dir(t.spark, "stream")
+    df.repartitionByRange(files, order).sortWithinPartitions(order).withColumn(
+        "__range", F.spark_partition_id()).write.partitionBy("__range").parquet(f"{base}/ranges")
+    ranges = t.spark.read.parquet(f"{base}/ranges").select("__range").distinct().collect()
+    for number in sorted(row[0] for row in ranges):     # one after the other: the source takes the oldest file first
+        t.spark.read.schema(df.schema).parquet(f"{base}/ranges/__range={number}").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
 
 def drained(t, stream: DataFrame, mode: str = "append") -> DataFrame:
