@@ -222,13 +222,19 @@ def with_budget(calls: DataFrame, allowed: DataFrame, eligible: Column | None =
     """Adds ``call_no`` and ``within_budget``; only eligible calls are counted.
 
     calls: id, ts, operation_id, destination, provider. A pair that was not
-    declared has no budget at all.
+    declared has no budget at all. Calls that need no number (not eligible, or with a
+    NULL in their key) are dealt by their id, so they never meet in one task.
     """
-    flagged = calls.withColumn("__eligible", F.lit(True) if eligible is None else eligible)
+    counts = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    for key in CALL_KEY:
+        counts = counts & F.col(key).isNotNull()
+    flagged = calls.withColumn("__eligible", counts).withColumn(
+        "__dealt", F.when(F.col("__eligible"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(4096))).cast("int")
+    )
     numbered = ordered.positions(
-        flagged, [*CALL_KEY, "__eligible"], [F.col("ts"), F.col("id")], F.date_trunc(bucket, F.col("ts")), "call_no"
+        flagged, [*CALL_KEY, "__dealt"], [F.col("ts"), F.col("id")], F.date_trunc(bucket, F.col("ts")), "call_no"
     )
-    counted = numbered.withColumn("call_no", F.when(F.col("__eligible"), F.col("call_no")))
+    counted = numbered.withColumn("call_no", F.when(F.col("__eligible"), F.col("call_no"))).drop("__dealt")
     return (
         counted.join(allowed, CALL_KEY, "left")
         .withColumn("within_budget",
