@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, languages, likelihood, packing, pages, quality, sharding, simhash, tokens, toxicity
 from .common import fold, ready
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -109,4 +110,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
