@@ -22,7 +22,7 @@ from ..session import cut_lineage, prepare
 SPACES = " \t\n\x0b\x0c\r"
 
 #: A batch that goes to Python holds so many rows at most, and about so many bytes.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "128", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -38,6 +38,11 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def dealt(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``rows`` small rows that cost much each, dealt evenly over tasks of about ``each``."""
+    return df.repartition(max(1, -(-rows // each)))
+
+
 def fold(id_column: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % F.lit(folds)
