@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chance, slices, written
+from .common import Memo, chance, dealt, slices, written
 
 MARK = "▁"
 #: Words with an edge of their own and counts in every task, at most.
@@ -41,6 +41,8 @@ FREQUENT = 300_000
 #: Hidden classes; texts they are found on, about, and the words that tell them apart.
 CLASSES, SAMPLE, TELLING = 8, 4_000, 1_000
 SMOOTHING = 0.1
+#: Different words that a task walks through lattices.
+EACH = 25_000
 #: So many words of the whole corpus count in a class beside its own.
 SHARED = 1_000.0
 TEN = math.log(10)
@@ -53,11 +55,6 @@ def words_of(text: str | None) -> Iterator[list[str]]:
         yield [word.decode() for word in part.encode().lower().split()]
 
 
-def _logsum(terms: list[float]) -> float:
-    top = max(terms)
-    return top if len(terms) == 1 else top + math.log(sum([math.exp(term - top) for term in terms]))
-
-
 @dataclass
 class Lattice:
     """Log weights (base e) of beginning pieces, continuing pieces and bytes, and of a word's end."""
@@ -69,39 +66,76 @@ class Lattice:
     words: Memo = field(init=False, repr=False)
 
     def __post_init__(self):
-        self.longest = max(map(len, [*self.first, *self.rest]), default=1)
         self.words = Memo(self.word, limit=40_000)
+        self.begin, self.more = with_prefixes(self.first), with_prefixes(self.rest)
 
     def spelled(self, character: str) -> float:
         return sum(self.bytes[b] for b in character.encode())
 
     def word(self, word: str) -> float:
-        """Log probability of a word over all segmentations into pieces."""
-        rest, first, longest, string = self.rest, self.first, self.longest, MARK + word
-        ahead = [0.0]
-        for end in range(1, len(string) + 1):
-            log = first.get(string[:end]) if end <= longest else None
-            terms = [] if log is None else [log]
-            for start in range(max(1, end - longest), end):
-                log = rest.get(string[start:end])
+        """Log probability of a word over all segmentations into pieces, by the forward recursion."""
+        string, more, log1p, exp = MARK + word, self.more, math.log1p, math.exp
+        n = len(string)
+        ahead: list[float | None] = [None] * (n + 1)
+        for end in range(1, n + 1):
+            log = self.begin.get(string[:end], _NO)
+            if log is _NO:
+                break
+            ahead[end] = log
+        for start in range(1, n):
+            before, end = ahead[start], start + 1
+            if before is None:
+                continue
+            log = more.get(string[start], _NO)
+            if log is _NO or log is None:
+                way, old = before + self.spelled(string[start]), ahead[end]
+                ahead[end] = way if old is None else old + log1p(exp(way - old)) if old > way else way + log1p(exp(old - way))
+            while log is not _NO:
                 if log is not None:
-                    terms.append(ahead[start] + log)
-            if end > 1 and string[end - 1] not in rest:
-                terms.append(ahead[end - 1] + self.spelled(string[end - 1]))
-            ahead.append(_logsum(terms))
-        return ahead[-1] + self.stop
+                    way, old = before + log, ahead[end]
+                    ahead[end] = way if old is None else old + log1p(exp(way - old)) if old > way else way + log1p(exp(old - way))
+                if end == n:
+                    break
+                end += 1
+                log = more.get(string[start:end], _NO)
+        return ahead[n] + self.stop
+
+    def edges(self, string: str) -> list[list[tuple[int, str | None, float]]]:
+        """For each position of a marked word the pieces that end there: (start, piece or None for bytes, log)."""
+        n, more = len(string), self.more
+        out: list[list] = [[] for _ in range(n + 1)]
+        for end in range(1, n + 1):
+            log = self.begin.get(string[:end], _NO)
+            if log is _NO:
+                break
+            if log is not None:
+                out[end].append((0, string[:end], log))
+        for start in range(1, n):
+            end, piece = start + 1, string[start]
+            log = more.get(piece, _NO)
+            if log is _NO or log is None:
+                out[end].append((start, None, self.spelled(piece)))
+            while log is not _NO:
+                if log is not None:
+                    out[end].append((start, piece, log))
+                if end == n:
+                    break
+                end += 1
+                piece = string[start:end]
+                log = more.get(piece, _NO)
+        return out
 
     def expect(self, word: str, weights: list[float], totals: list["Expected"]) -> None:
         """Adds the expected counts of the pieces of a word to each class, as often as it counts there."""
-        string = MARK + word
-        ahead, edges = [0.0], [[]]
-        for end in range(1, len(string) + 1):
-            here = [(0, string[:end], self.first[string[:end]])] if string[:end] in self.first else []
-            here += [(start, string[start:end], self.rest[string[start:end]]) for start in range(max(1, end - self.longest), end) if string[start:end] in self.rest]
-            if end > 1 and string[end - 1] not in self.rest:
-                here.append((end - 1, None, self.spelled(string[end - 1])))
-            edges.append(here)
-            ahead.append(_logsum([ahead[start] + log for start, _, log in here]))
+        string, log1p, exp = MARK + word, math.log1p, math.exp
+        edges, ahead = self.edges(string), [0.0]
+        for here in edges[1:]:
+            sum_log = None
+            for start, _, log in here:
+                if (before := ahead[start]) is not None:
+                    way = before + log
+                    sum_log = way if sum_log is None else sum_log + log1p(exp(way - sum_log)) if sum_log > way else way + log1p(exp(sum_log - way))
+            ahead.append(sum_log)
         used = [(weight, totals[k]) for k, weight in enumerate(weights) if weight]
         # From the end back, the share of all segmentations that pass a position.
         passing = [0.0] * len(string) + [1.0]
@@ -109,7 +143,9 @@ class Lattice:
             if passing[end] < 1e-12:
                 continue
             for start, piece, log in edges[end]:
-                share = passing[end] * math.exp(ahead[start] + log - ahead[end])
+                if ahead[start] is None:
+                    continue
+                share = passing[end] * exp(ahead[start] + log - ahead[end])
                 passing[start] += share
                 for weight, total in used:
                     if piece is None:
@@ -122,6 +158,20 @@ class Lattice:
             total.words += weight
 
 
+#: Stands for strings that begin no piece.
+_NO = object()
+
+
+def with_prefixes(logs: dict[str, float]) -> dict[str, float | None]:
+    """The pieces, and their beginnings that are no pieces, with None."""
+    out: dict[str, float | None] = {}
+    for piece, log in logs.items():
+        for end in range(1, len(piece)):
+            out.setdefault(piece[:end], None)
+        out[piece] = log
+    return out
+
+
 @dataclass
 class Expected:
     first: dict[str, float] = field(default_factory=dict)
@@ -224,30 +274,25 @@ def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFram
     number = len(classes.shares)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        counts = [Counter() for _ in range(number)]
         ended = [0] * number
 
         def flush() -> pa.RecordBatch:
-            rows = [*counts.items(), (None, ended[:])]
-            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), *(pa.array([n[k] for _, n in rows], pa.int64()) for k in range(number))],
-                                             names=["word", *(f"n{k}" for k in range(number))])
-            counts.clear()
+            words = list(set().union(*counts))
+            columns = [pa.array([one[word] for word in words] + [n], pa.int64()) for one, n in zip(counts, ended)]
+            for one in counts:
+                one.clear()
             ended[:] = [0] * number
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([*words, None], pa.string()), *columns], names=["word", *(f"n{k}" for k in range(number))])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 kind = None
                 for words in words_of(text):
-                    mine = Counter(words)
                     if kind is None:  # A very long text counts by its first part, as a whole.
-                        kind = classes.likeliest(mine)
-                    for word, times in mine.items():
-                        row = counts.get(word)
-                        if row is None:
-                            row = counts[word] = [0] * number
-                        row[kind] += times
-                    if len(counts) > 250_000:
+                        kind = classes.likeliest(Counter(words))
+                    counts[kind].update(words)
+                    if len(counts[kind]) > 200_000:
                         yield flush()
                 ended[kind or 0] += 1
         yield flush()
@@ -322,6 +367,7 @@ def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, flo
     """The model of a count table, and the count from which words are frequent."""
     cut, k = cut_of(counts, most), len(texts)
     rare_words, start = counts.filter(F.col("n") < cut), from_scores(pieces)
+    rare_words = dealt(rare_words, rare_words.count(), EACH)
     first, rest = list(start.first), list(start.rest)
     lattices = [start] * k
     for _ in range(steps):
@@ -342,7 +388,7 @@ def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, flo
             logs = pa.array([[one.word(word) for one in here] for word in batch.column(0).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, logs], names=["word", "n", "per_class", "logs"])
 
-    top = counts.filter(F.col("n") >= cut).mapInArrow(weigh, "word string, n long, per_class array<long>, logs array<double>").toArrow().sort_by("word")
+    top = dealt(counts.filter(F.col("n") >= cut), most, EACH).mapInArrow(weigh, "word string, n long, per_class array<long>, logs array<double>").toArrow().sort_by("word")
     n = top.column("n").to_numpy().astype("float64")
     by_class, by_lattice = (top.column(name).combine_chunks().flatten().to_numpy().astype("float64").reshape(-1, k) for name in ("per_class", "logs"))
     sums = rare_words.agg(*[F.coalesce(F.sum(F.col("per_class")[i]), F.lit(0)) for i in range(k)]).first()
