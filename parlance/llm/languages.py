@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, chance, written
+from .common import Memo, chance, dealt, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -68,7 +68,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
         sample.select("lang", F.coalesce("text", F.lit("")).alias("text"))
         .mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
-    grams = words.mapInArrow(cut, "lang string, length int, gram string, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+    grams = dealt(words, words.count()).mapInArrow(cut, "lang string, length int, gram string, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
     return grams.unionByName(words.select("lang", F.lit(0).alias("length"), F.col("word").alias("gram"), "n"))
 
 
