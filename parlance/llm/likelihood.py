@@ -277,13 +277,12 @@ def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFram
         counts = [Counter() for _ in range(number)]
         ended = [0] * number
 
-        def flush() -> pa.RecordBatch:
-            words = list(set().union(*counts))
-            columns = [pa.array([one[word] for word in words] + [n], pa.int64()) for one, n in zip(counts, ended)]
-            for one in counts:
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, (one, texts) in enumerate(zip(counts, ended)):
+                words, times = pa.array([*one, None], pa.string()), pa.array([*one.values(), texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([words, pa.array([k] * len(words), pa.int32()), times], names=["word", "k", "n"])
                 one.clear()
             ended[:] = [0] * number
-            return pa.RecordBatch.from_arrays([pa.array([*words, None], pa.string()), *columns], names=["word", *(f"n{k}" for k in range(number))])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -292,14 +291,14 @@ def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFram
                     if kind is None:  # A very long text counts by its first part, as a whole.
                         kind = classes.likeliest(Counter(words))
                     counts[kind].update(words)
-                    if len(counts[kind]) > 200_000:
-                        yield flush()
+                    if len(counts[kind]) > 300_000:
+                        yield from flush()
                 ended[kind or 0] += 1
-        yield flush()
+        yield from flush()
 
     columns = [f"n{k}" for k in range(number)]
-    counted = texts.mapInArrow(count, "word string, " + ", ".join(f"{c} long" for c in columns))
-    sums = written(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]))
+    counted = texts.mapInArrow(count, "word string, k int, n long")
+    sums = written(counted.groupBy("word").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(columns)]))
     per_class = F.array(*columns)
     words = sums.filter("word IS NOT NULL").select("word", F.expr("+".join(columns)).alias("n"), per_class.alias("per_class"))
     return words, sums.filter("word IS NULL").select(per_class.alias("texts"))
@@ -433,7 +432,7 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
         from pyspark import TaskContext
 
         model = shared.value
-        lattices, place, seen = _lattices_of(model), model.place, model.counts
+        lattices, place, gains = _lattices_of(model), model.place, np.log10(model.counts + 1.0)
         row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = [[] for _ in range(7)]
@@ -451,7 +450,7 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
                             times.append(n)
                 if places:
                     n_known += sum(times)
-                    base += float(np.array(times) @ np.log10(seen[places] + 1.0))
+                    base += float(np.array(times) @ gains[places])
                 kind, log = model.chosen(places, times)
                 words, rare = lattices[kind].words, float(model.rare[kind])
                 log += sum(n * (words[word] / TEN + rare) for word, n in rest.items())
