@@ -13,6 +13,7 @@ task had all of it or nothing is gained.
 from __future__ import annotations
 
 import string
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,7 +49,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(definition)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.ids = Memo(self._encode, limit=300_000)
+        self.ids = Memo(self._encode, limit=1_000_000)
         #: What the tokenizer looks for as it is written, before it lowers anything.
         self.special = tuple(token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values())
 
@@ -57,7 +58,7 @@ class WordEncoder:
         body = text.rstrip(TAIL)
         if body != text and body.isalpha() and max(body) <= PLAIN:
             return self.ids[body.encode()] + self.ids[text[len(body) :].encode()]
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """Words are cut at ASCII white space only; all other characters go to the tokenizer."""
