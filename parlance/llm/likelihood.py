@@ -15,9 +15,9 @@ and kinds. The frequent words of a text choose its class, and the probability is
 of the class times the sum over all segmentations. So the probabilities of all texts
 add up to one at most.
 
-For comparison there is a base score from smoothed word counts. The frequent words
-go to the tasks as a dictionary of bounded size; each text hands over its other
-words, which are joined with the count table.
+For comparison there is a base score from smoothed word counts. The commonest words
+go to the tasks as a dictionary of bounded size, which is only a cache: each text
+hands over its other words, which are joined with the table of counts and weights.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import Memo, chance, dealt, slices, written
 
 MARK = "▁"
-#: Words with an edge of their own and counts in every task, at most.
+#: Words seen so often have an edge of their own; words seen once stand for the unseen.
+OFTEN = 2
+#: Words with counts and weights in every task, at most; the other words are joined.
 FREQUENT = 300_000
 #: Hidden classes; texts they are found on, about, and the words that tell them apart.
 CLASSES, SAMPLE, TELLING = 8, 4_000, 1_000
@@ -332,41 +334,39 @@ def expected_counts(counts: DataFrame, lattice: Lattice, number: int) -> list[Ex
 
 
 def cut_of(counts: DataFrame, most: int) -> int:
-    """The least count, 2 or more, that leaves ``most`` words at most: words seen once stand for the unseen."""
+    """The least count, OFTEN or more, that leaves ``most`` words at most."""
     taken, steps = 0, counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()
     for n, words in sorted(((r.n, r.words) for r in steps), reverse=True):
         taken += words
         if taken > most:
-            return max(n + 1, 2)
-    return 2
+            return max(n + 1, OFTEN)
+    return OFTEN
 
 
 @dataclass
 class TextModel:
-    """What the tasks need: frequent words with counts and log10 weights per class, and the others' lattices."""
+    """What the tasks need: the commonest words with counts and log10 weights per class, and the lattices of words without an edge."""
 
     place: dict[str, int]
     counts: np.ndarray
     logs: np.ndarray
-    shares: np.ndarray
     lattices: list[tuple]
     rare: np.ndarray
-    end: np.ndarray
-
-    def chosen(self, places: list[int], times: list[int]) -> tuple[int, float]:
-        """The class that the frequent words of a text choose, and the log10 of their and its probability."""
-        per_class = self.shares + self.end
-        if places:
-            per_class = per_class + np.array(times, "float64") @ self.logs[places]
-        k = int(np.argmax(per_class))
-        return k, float(per_class[k])
-
-
-def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, float]], most: int, steps: int) -> tuple[TextModel, int]:
-    """The model of a count table, and the count from which words are frequent."""
-    cut, k = cut_of(counts, most), len(texts)
-    rare_words, start = counts.filter(F.col("n") < cut), from_scores(pieces)
-    rare_words = dealt(rare_words, rare_words.count(), EACH)
+    #: Per class, log10 of its share and of a text's end.
+    start: np.ndarray
+
+
+def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, float]], most: int, steps: int) -> tuple[TextModel, DataFrame]:
+    """The model of a count table, and (word, n, logs) of the words it does not hold; logs is null without an edge."""
+    k = len(texts)
+    rare_words, start = counts.filter(F.col("n") < OFTEN), from_scores(pieces)
+    sums = lambda name: [F.coalesce(F.sum(F.col(name)[i]), F.lit(0)) for i in range(k)]
+    often = F.col("n") >= OFTEN
+    parts = {r.often: r for r in counts.groupBy(often.alias("often")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.array(*sums("per_class")).alias("sums")).collect()}
+    of = lambda side: np.array(parts[side].sums if side in parts else [0] * k, "float64")
+    rare_sum, often_sum = of(False), of(True)
+    n_often, n_rare = (parts[side].words if side in parts else 0 for side in (True, False))
+    rare_words = dealt(rare_words, n_rare, EACH)
     first, rest = list(start.first), list(start.rest)
     lattices = [start] * k
     for _ in range(steps):
@@ -378,28 +378,35 @@ def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, flo
             break
         start = together.lattice(first, rest)
         lattices = [one.plus(together, SHARED / together.words).lattice(first, rest) for one in expected]
-    parts = [(one.first, one.rest, one.bytes, one.stop) for one in lattices]
-    shared = counts.sparkSession.sparkContext.broadcast(parts)
+    # One place more for what was never seen, so that it has some chance even in a closed corpus.
+    whole = often_sum + rare_sum + texts + 2
+    rare, end = (rare_sum + 1) / whole, (texts + 1) / whole
+    everything = float(max(parts[True].n if True in parts else 0, 1))
+    parts_of = [(one.first, one.rest, one.bytes, one.stop) for one in lattices]
+    shared = counts.sparkSession.sparkContext.broadcast(parts_of)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = [Lattice(*one) for one in shared.value]
         for batch in batches:
-            logs = pa.array([[one.word(word) for one in here] for word in batch.column(0).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, logs], names=["word", "n", "per_class", "logs"])
-
-    top = dealt(counts.filter(F.col("n") >= cut), most, EACH).mapInArrow(weigh, "word string, n long, per_class array<long>, logs array<double>").toArrow().sort_by("word")
-    n = top.column("n").to_numpy().astype("float64")
-    by_class, by_lattice = (top.column(name).combine_chunks().flatten().to_numpy().astype("float64").reshape(-1, k) for name in ("per_class", "logs"))
-    sums = rare_words.agg(*[F.coalesce(F.sum(F.col("per_class")[i]), F.lit(0)) for i in range(k)]).first()
-    rare_sum = np.array(list(sums), "float64")
-    # One place more for what was never seen, so that it has some chance even in a closed corpus.
-    whole = by_class.sum(axis=0) + rare_sum + texts + 2
-    rare, end = (rare_sum + 1) / whole, (texts + 1) / whole
-    weight = (by_class + SHARED * (n / max(n.sum(), 1))[:, None]) / (by_class.sum(axis=0) + SHARED)
-    in_pieces = np.exp(by_lattice) * rare
-    logs = np.log10((1 - rare - end) * weight + in_pieces)
-    shares = np.log10((texts + 1) / (texts.sum() + k))
-    return TextModel({word: i for i, word in enumerate(top.column("word").to_pylist())}, n.astype("int64"), logs, shares, parts, np.log10(rare), np.log10(end)), cut
+            if not batch.num_rows:
+                continue
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype("float64")
+            by_class = np.array(batch.column(2).to_pylist(), "float64")
+            weight = (by_class + SHARED * (n / everything)[:, None]) / (often_sum + SHARED)
+            in_pieces = np.exp([[one.word(word) for one in here] for word in words]) * rare
+            logs = np.log10((1 - rare - end) * weight + in_pieces)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(logs), pa.list_(pa.float64()))], names=["word", "n", "logs"])
+
+    weighed = written(dealt(counts.filter(often), n_often, EACH).mapInArrow(weigh, "word string, n long, logs array<double>"))
+    cut = cut_of(counts, most)
+    top = weighed.filter(F.col("n") >= cut).toArrow().sort_by("word")
+    others = weighed.filter(F.col("n") < cut).unionByName(counts.filter(~often).select("word", "n", F.lit(None).cast("array<double>").alias("logs")))
+    model = TextModel(
+        {word: i for i, word in enumerate(top.column("word").to_pylist())}, top.column("n").to_numpy().astype("int64"),
+        top.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, k), parts_of, np.log10(rare),
+        np.log10((texts + 1) / (texts.sum() + k)) + np.log10(end),
+    )
+    return model, others
 
 
 def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id", text: str = "text",
@@ -422,22 +429,22 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
     classes = found_classes(_sampled(part))
     counts, ended = word_counts(training.select(F.coalesce(F.col(text), F.lit(""))), classes)
     texts = np.array((ended.first() or [[0] * len(classes.shares)])[0], "float64")
-    model, cut = text_model(counts, texts, pieces, most, steps)
+    model, table = text_model(counts, texts, pieces, most, steps)
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = (sums.n or 0) + n_training, sums.v + (n_training > 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    log_all, base_end = math.log10(tokens + types + 1), math.log10(n_training + 1)
+    log_all, base_end, k = math.log10(tokens + types + 1), math.log10(n_training + 1), len(texts)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model = shared.value
-        lattices, place, gains = _lattices_of(model), model.place, np.log10(model.counts + 1.0)
+        place, gains = model.place, np.log10(model.counts + 1.0)
         row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = [[] for _ in range(7)]
             for one in batch.column(1).to_pylist():
-                n_tokens, n_known, base = 1, int(n_training > 0), base_end
+                n_tokens, n_known, base, sums = 1, int(n_training > 0), base_end, model.start
                 places, times, rest = [], [], Counter()
                 for words in words_of(one):
                     n_tokens += len(words)
@@ -451,33 +458,48 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
                 if places:
                     n_known += sum(times)
                     base += float(np.array(times) @ gains[places])
-                kind, log = model.chosen(places, times)
-                words, rare = lattices[kind].words, float(model.rare[kind])
-                log += sum(n * (words[word] / TEN + rare) for word, n in rest.items())
-                for column, value in zip(out, (row_id, n_tokens, n_known, base, log, list(rest), list(rest.values()))):
+                    sums = sums + np.array(times, "float64") @ model.logs[places]
+                for column, value in zip(out, (row_id, n_tokens, n_known, base, sums.tolist(), list(rest), list(rest.values()))):
                     column.append(value)
                 row_id += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(values, kind) for values, kind in zip(out, kinds))],
-                names=[key, "__row", "n_tokens", "__known", "__base", "score", "__words", "__times"],
+                names=[key, "__row", "n_tokens", "__known", "__base", "__sums", "__words", "__times"],
             )
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The class that all words with an edge choose, and the other words in its lattice."""
+        model = shared.value
+        lattices = _lattices_of(model)
+        for batch in batches:
+            scores = []
+            for sums, words, times, edged, more in zip(*(batch.column(i).to_pylist() for i in range(4, 9))):
+                per_class = np.array(sums) + np.array(more) if more else np.array(sums)
+                kind, edged = int(np.argmax(per_class)), set(edged or ())
+                memo, rare = lattices[kind].words, float(model.rare[kind])
+                scores.append(float(per_class[kind]) + sum(n * (memo[word] / TEN + rare) for word, n in zip(words, times) if word not in edged))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())], names=[key, "n_tokens", "n_known", "__gained", "score"])
+
     kind = docs.schema[key].dataType.simpleString()
     rows = written(docs.select(key, F.col(text).alias("__text")).mapInArrow(
-        look, f"`{key}` {kind}, __row long, n_tokens long, __known long, __base double, score double, __words array<string>, __times array<long>"
+        look, f"`{key}` {kind}, __row long, n_tokens long, __known long, __base double, __sums array<double>, __words array<string>, __times array<long>"
     ))
     others = rows.select("__row", F.inline(F.arrays_zip(F.col("__words").alias("word"), F.col("__times").alias("times"))))
     found = (
-        others.join(counts.filter(F.col("n") < cut).select("word", "n"), "word")
-        .groupBy("__row").agg(F.sum("times").alias("__more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("__gain"))
+        others.join(table, "word").groupBy("__row").agg(
+            F.sum("times").alias("__more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("__gain"),
+            F.array(*[F.coalesce(F.sum(F.col("times") * F.col("logs")[i]), F.lit(0.0)) for i in range(k)]).alias("__logs"),
+            F.collect_list(F.when(F.col("logs").isNotNull(), F.col("word"))).alias("__edged"),
+        )
+    )
+    joined = rows.join(found, "__row", "left").select(
+        key, "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
+        (F.col("__base") + F.coalesce("__gain", F.lit(0.0))).alias("__gained"), "__sums", "__words", "__times", "__edged", "__logs",
     )
-    return rows.drop("__words", "__times").join(found, "__row", "left").select(
-        key, "n_tokens",
-        (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("__base") + F.coalesce("__gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
-        "score",
+    return joined.mapInArrow(finish, f"`{key}` {kind}, n_tokens long, n_known long, __gained double, score double").select(
+        key, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("__gained") - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), "score",
     )
 
 

@@ -115,3 +115,12 @@ def test_better_than_word_counts_on_held_out_documents(llm):
     got = catalog.queries()["op7_likelihood"](llm, "/root/testdata/sf0.1").filter("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
     assert np.isfinite(got.score).all()
+
+
+def test_words_beyond_the_dictionary_keep_their_edge(llm, small, odd):
+    """The dictionary is a cache: its size changes no score."""
+    for docs in (small, odd):
+        docs = docs.select("doc_id", "text").withColumn("doc_id", F.xxhash64("doc_id", "text"))
+        whole, cached = (sorted((r.doc_id, r.n_known, r.score) for r in scored(docs, fold(F.col("doc_id"), 7) != 2, PATH, most=most).collect()) for most in (300_000, 50))
+        assert [r[:2] for r in whole] == [r[:2] for r in cached]
+        assert np.allclose([r[2] for r in whole], [r[2] for r in cached], rtol=1e-9)
