@@ -119,13 +119,13 @@ def within_budget(results: DataFrame, budget: int = MAX_WEB_CHARS) -> DataFrame:
 
     results: run_id, position (1-based, in order), title, snippet. Reading stops
     at the first block that would overflow; running sums only grow, so that is
-    the same as keeping the rows whose running sum fits. No block is shorter
-    than its frame, hence only a bounded number of leading rows can ever fit:
+    the same as keeping the rows whose running sum fits. A null title or snippet
+    is the empty text. No block is shorter than its frame, hence only a bounded number of leading rows can ever fit:
     they are picked first (pruned before the shuffle) and summed afterwards.
     """
     block = F.concat(
-        F.lit("[Nguồn "), F.col("position").cast("string"), F.lit("] "), F.col("title"), F.lit("\n"),
-        F.col("snippet"),
+        F.lit("[Nguồn "), F.col("position").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"),
+        F.coalesce("snippet", F.lit("")),
     )
     shortest = len("[Nguồn 1] \n")
     head = ordered.first_per_key(results, ["run_id"], [F.col("position")], budget // shortest + 1, "__n")

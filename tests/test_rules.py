@@ -263,3 +263,11 @@ def test_repaired_output(spark):
     valid, rejected = scoring.repair_output(df, "a int, b string", ["a"])
     assert [(r.output_id, r.parsed.a, r.parsed.b) for r in valid.collect()] == [(0, 1, "x"), (3, 2, None)]
     assert [r.output_id for r in rejected.collect()] == [1, 2, 4]
+
+
+def test_null_titles_and_snippets_use_up_no_budget(spark):
+    rows = [(1, i, None, None) for i in range(1, 1201)] + [(1, 1201, "t", "s"), (2, 1, "t", None), (2, 2, None, "s")]
+    results = spark.createDataFrame(rows, "run_id int, position int, title string, snippet string")
+    got = sorted((r.run_id, r.position, r.block, r.running_chars) for r in glossary.within_budget(results, budget=60).collect())
+    frames = [(1, i, f"[Nguồn {i}] \n", 11 * i) for i in range(1, 6)]
+    assert got == [*frames, (2, 1, "[Nguồn 1] t\n", 12), (2, 2, "[Nguồn 2] \ns", 24)]
