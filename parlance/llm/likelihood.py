@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chance, dealt, slices, written
+from .common import Memo, dealt, slices, written
 
 MARK = "▁"
 #: Words seen so often have an edge of their own; words seen once stand for the unseen.
 OFTEN = 2
 #: Words with counts and weights in every task, at most; the other words are joined.
 FREQUENT = 300_000
-#: Hidden classes; texts they are found on, about, and the words that tell them apart.
-CLASSES, SAMPLE, TELLING = 8, 4_000, 1_000
+#: Hidden classes, and the words that tell them apart.
+CLASSES, TELLING = 8, 1_000
+#: A task hands over a word that is at least this share of its words when telling words are chosen.
+TOLD = 1e-5
 SMOOTHING = 0.1
 #: Different words that a task walks through lattices.
 EACH = 25_000
@@ -237,8 +239,40 @@ class Classes:
         return int(np.argmax(total))
 
 
+def estimated(place: dict[str, int], number: int, steps: int, sums: Callable, best: Callable) -> Classes:
+    """A mixture of word distributions by expectation maximisation over all texts.
+
+    Texts are rows of counts of the telling words. ``sums(f)`` adds up the array f(rows)
+    over all texts, None without texts; ``best(f)`` is the row for which f(rows) is largest.
+    """
+    shape = lambda x: np.sqrt(x / x.sum(axis=1, keepdims=True))
+    whole = sums(lambda x: np.concatenate([[len(x)], x.sum(axis=0), shape(x).sum(axis=0)]))
+    if whole is None:
+        return Classes({}, np.zeros(1), np.zeros((0, 1)))
+    n, width = int(round(whole[0])), len(place)
+    overall, mean = whole[1 : width + 1] / whole[1 : width + 1].sum(), whole[width + 1 :] / n
+    # Starts: the text nearest to the mean, then the text farthest from all starts so far.
+    starts = shape(best(lambda x: shape(x) @ mean)[None, :])
+    while len(starts) < min(number, n):
+        starts = np.vstack([starts, shape(best(lambda x, at=starts: -(shape(x) @ at.T).max(axis=1))[None, :])])
+    k = len(starts)
+    belongs = lambda x: np.eye(k)[np.argmax(shape(x) @ starts.T, axis=1)]
+    for _ in range(steps):
+        found = sums(lambda x, of=belongs: (lambda b: np.concatenate([b.sum(axis=0), (b.T @ x).ravel()]))(of(x)))
+        shares = np.log((found[:k] + 1) / (n + k))
+        rows = found[k:].reshape(k, width) + 50 * overall
+        logs = np.log(rows / rows.sum(axis=1, keepdims=True) + 1e-12)
+
+        def belongs(x: np.ndarray, logs=logs, shares=shares) -> np.ndarray:
+            score = x @ logs.T + shares
+            out = np.exp(score - score.max(axis=1, keepdims=True))
+            return out / out.sum(axis=1, keepdims=True)
+
+    return Classes(place, shares, logs.T.copy())
+
+
 def found_classes(texts: list[Counter], number: int = CLASSES, telling: int = TELLING, steps: int = 25) -> Classes:
-    """A mixture of word distributions by expectation maximisation, from the sample's commonest words."""
+    """The classes of texts in memory."""
     together: Counter = Counter()
     for one in texts:
         together.update(one)
@@ -250,25 +284,90 @@ def found_classes(texts: list[Counter], number: int = CLASSES, telling: int = TE
             if word in place:
                 x[i, place[word]] = times
     x = x[x.sum(axis=1) > 0]
-    if not len(x):
-        return Classes({}, np.zeros(1), np.zeros((0, 1)))
-    shape = np.sqrt(x / x.sum(axis=1, keepdims=True))
-    # Starts: the text nearest to the mean, then the text farthest from all starts so far.
-    starts = [int(np.argmax(shape @ shape.mean(axis=0)))]
-    nearest = shape @ shape[starts[0]]
-    while len(starts) < min(number, len(x)):
-        starts.append(int(np.argmin(nearest)))
-        nearest = np.maximum(nearest, shape @ shape[starts[-1]])
-    belongs = np.eye(len(starts))[np.argmax(shape @ shape[starts].T, axis=1)]
-    overall = x.sum(axis=0) / x.sum()
-    for _ in range(steps):
-        shares = np.log((belongs.sum(axis=0) + 1) / (len(x) + len(starts)))
-        rows = belongs.T @ x + 50 * overall
-        logs = np.log(rows / rows.sum(axis=1, keepdims=True) + 1e-12)
-        score = x @ logs.T + shares
-        belongs = np.exp(score - score.max(axis=1, keepdims=True))
-        belongs /= belongs.sum(axis=1, keepdims=True)
-    return Classes(place, shares, logs.T.copy())
+    return estimated(place, number, steps, lambda f: f(x) if len(x) else None, lambda f: x[int(np.argmax(f(x)))])
+
+
+def classes_of(texts: DataFrame, number: int = CLASSES, telling: int = TELLING, steps: int = 25) -> Classes:
+    """The classes of the texts of the only column, all of which count in every step.
+
+    Telling words are the commonest, by counts that lack TOLD of all words at most.
+    Only sums and the texts to start from, as counts of telling words, come to the driver.
+    """
+
+    def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            least = TOLD * sum(counts.values())
+            kept = [(word, n) for word, n in counts.items() if n >= least]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for words in words_of(text):
+                    counts.update(words)
+                    if len(counts) > 300_000:
+                        yield flush()
+        yield flush()
+
+    sums_of = texts.mapInArrow(commonest, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    place = {r.word: i for i, r in enumerate(sums_of.orderBy(F.desc("n"), "word").limit(telling).collect())}
+    width = len(place)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                told: Counter = Counter()
+                for words in words_of(text):
+                    told.update(filter(place.__contains__, words))
+                if told:
+                    rows.append(sorted((place[word], n) for word, n in told.items()))
+            yield pa.RecordBatch.from_arrays([pa.array([[p[i] for p in row] for row in rows], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64()))], names=["at", "times"])
+
+    told = written(texts.mapInArrow(tell, "at array<int>, times array<long>"))
+
+    def dense(batch: pa.RecordBatch) -> np.ndarray:
+        at, times = batch.column(0), batch.column(1)
+        x = np.zeros((batch.num_rows, width))
+        x[np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = times.flatten().to_numpy()
+        return x
+
+    def sums(f: Callable) -> np.ndarray | None:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    here = f(dense(batch))
+                    total = here if total is None else total + here
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "value"])
+
+        rows = told.mapInArrow(add, "i long, value double").groupBy("i").agg(F.sum("value").alias("value")).collect()
+        return np.array([r.value for r in sorted(rows)]) if rows else None
+
+    def best(f: Callable) -> np.ndarray:
+        """Among equals the text with most telling words, and the first by its counts."""
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = dense(batch)
+                    score, n = np.round(f(x), 12), x.sum(axis=1)
+                    for i in np.flatnonzero(score == score.max()):
+                        here = (-float(score[i]), -float(n[i]), batch.column(0)[int(i)].as_py(), batch.column(1)[int(i)].as_py())
+                        top = here if top is None else min(top, here)
+            if top is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in zip(top, (pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["score", "n", "at", "times"])
+
+        row = told.mapInArrow(least, "score double, n double, at array<int>, times array<long>").orderBy("score", "n", "at", "times").first()
+        x = np.zeros(width)
+        x[row.at] = row.times
+        return x
+
+    return estimated(place, number, steps, sums, best)
 
 
 def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFrame]:
@@ -288,14 +387,17 @@ def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFram
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                kind = None
+                told, parts = Counter(), 0
                 for words in words_of(text):
-                    if kind is None:  # A very long text counts by its first part, as a whole.
-                        kind = classes.likeliest(Counter(words))
+                    told.update(filter(classes.words.__contains__, words))
+                    parts += 1
+                # All parts of a very long text choose its class, so it is read again.
+                kind = classes.likeliest(told)
+                for words in [words] if parts == 1 else words_of(text):
                     counts[kind].update(words)
                     if len(counts[kind]) > 300_000:
                         yield from flush()
-                ended[kind or 0] += 1
+                ended[kind] += 1
         yield from flush()
 
     columns = [f"n{k}" for k in range(number)]
@@ -418,16 +520,16 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
     base_score sums log10 of the add-one smoothed frequencies of words and end, with
     one more place for all unseen words; score is log10 of the probability of the
     text's class and of the sum over all segmentations. With nothing to learn from, all words are spelled by
-    the vocabulary's own weights. Classes are found on about SAMPLE texts; all counts
+    the vocabulary's own weights. Classes and all counts
     cover all texts.
     """
     with open(model_path, "rb") as file:
         pieces = vocabulary(file.read())
     training = docs.filter(learn)
     n_training = training.count()
-    part = training.filter(chance(F.col(key), 7) < F.lit(SAMPLE / max(n_training, 1))).select(F.coalesce(F.col(text), F.lit("")))
-    classes = found_classes(_sampled(part))
-    counts, ended = word_counts(training.select(F.coalesce(F.col(text), F.lit(""))), classes)
+    learned = training.select(F.coalesce(F.col(text), F.lit("")))
+    classes = classes_of(learned)
+    counts, ended = word_counts(learned, classes)
     texts = np.array((ended.first() or [[0] * len(classes.shares)])[0], "float64")
     model, table = text_model(counts, texts, pieces, most, steps)
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -503,22 +605,6 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
     )
 
 
-def _sampled(texts: DataFrame, each: int = 400) -> list[Counter]:
-    """The word counts of a bounded sample of texts; of each text its ``each`` commonest words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                mine: Counter = Counter()
-                for words in words_of(text):
-                    mine.update(words)
-                found.append(sorted(mine.items(), key=lambda p: (-p[1], p[0]))[:each])
-            yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))], names=["words", "times"])
-
-    return [Counter(dict(zip(r.words, r.times))) for r in texts.mapInArrow(count, "words array<string>, times array<long>").collect()]
-
-
 _LATTICES: dict[int, list[Lattice]] = {}
 
 

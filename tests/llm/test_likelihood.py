@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import catalog
 from parlance.llm.common import fold
-from parlance.llm.likelihood import MARK, Expected, Lattice, found_classes, from_scores, scored, vocabulary, words_of
+from parlance.llm.likelihood import MARK, Expected, Lattice, classes_of, found_classes, from_scores, scored, vocabulary, word_counts, words_of
 
 PATH = catalog.tokenizer("piece_bpe_32k.model")
 
@@ -124,3 +124,15 @@ def test_words_beyond_the_dictionary_keep_their_edge(llm, small, odd):
         whole, cached = (sorted((r.doc_id, r.n_known, r.score) for r in scored(docs, fold(F.col("doc_id"), 7) != 2, PATH, most=most).collect()) for most in (300_000, 50))
         assert [r[:2] for r in whole] == [r[:2] for r in cached]
         assert np.allclose([r[2] for r in whole], [r[2] for r in cached], rtol=1e-9)
+
+
+def test_classes_over_all_texts_and_all_parts(llm):
+    """A kind of 8 texts in 6,000 has a class, and a very long text has the class of its whole."""
+    one, two = ["the of and to"] * 5_992, ["der die und zu"] * 8
+    docs = llm.createDataFrame([(t,) for t in one + two], "text string").repartition(3)
+    classes = classes_of(docs, number=2)
+    kinds = [classes.likeliest(Counter(t.split())) for t in ("the of and to", "der die und zu")]
+    assert kinds[0] != kinds[1]
+    long = llm.createDataFrame([("the of " * 10 + " " * (1 << 20) + " " + "der die und zu " * 1_000,)], "text string")
+    counts, ended = word_counts(long, classes)
+    assert ended.first().texts[kinds[1]] == 1 and {r.word: r.per_class[kinds[1]] for r in counts.collect()}["der"] == 1_000
