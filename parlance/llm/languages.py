@@ -83,9 +83,13 @@ def _batch(counts: Counter, names: tuple[str, ...]) -> pa.RecordBatch:
 
 
 class LanguageModel:
-    """Log frequencies per language; ``tables[length]`` has the known strings and a row of them for each."""
+    """Log frequencies per language; ``tables[length]`` has the known strings and a row of them for each.
 
-    def __init__(self, languages: list[str], documents: list[int], rows: list[tuple[str, int, str, int]]):
+    ``sums`` has the count of all strings by language and length, also of those that
+    ``rows`` leaves out; without it, the rows are all.
+    """
+
+    def __init__(self, languages: list[str], documents: list[int], rows: list[tuple[str, int, str, int]], sums: dict[tuple[str, int], int] | None = None):
         self.languages = languages
         place = {lang: i for i, lang in enumerate(languages)}
         self.prior = np.log(np.array(documents, "float64") / max(sum(documents), 1)) if languages else np.zeros(0)
@@ -96,7 +100,8 @@ class LanguageModel:
             counts = np.zeros((len(index), len(languages)))
             for lang, _, gram, n in part:
                 counts[index[gram], place[lang]] += n
-            self.tables.append((index, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(index) + 1e-9))))
+            whole = counts.sum(axis=0) if sums is None else np.array([sums.get((lang, length), 0) for lang in languages], "float64")
+            self.tables.append((index, np.log((counts + 0.5) / (whole + 0.5 * len(index) + 1e-9))))
         self.scores = Memo(self._backed_off, limit=100_000)
 
     def _backed_off(self, word: str) -> np.ndarray:
@@ -127,9 +132,10 @@ def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A model from the rows with a language, of which ``where`` admits those that may be learned from.
 
     About ``sample`` documents per language are counted, chosen by a hash of the id;
-    the tables keep strings above the count that leaves ``rows`` of them at most
-    per language and length, and the LANGUAGES commonest languages are learned. So the
-    model has a bounded size, whatever the input.
+    each language names strings above the count that leaves ``rows`` of them at most
+    per length, and the LANGUAGES commonest languages are learned. What one language
+    names is kept with its counts in all, and frequencies are shares of all strings.
+    So the model has a bounded size, whatever the input.
     """
     known = docs.filter(where) if where is not None else docs
     known = known.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -148,9 +154,13 @@ def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 break
         least[part] = cut
     cuts = counts.sparkSession.createDataFrame([(*part, cut) for part, cut in least.items()], "lang string, length int, cut long")
-    kept = counts.join(F.broadcast(cuts), ["lang", "length"]).filter("n >= cut").select("lang", "length", "gram", "n").collect()
+    named = counts.join(F.broadcast(cuts), ["lang", "length"]).filter("n >= cut").select("length", "gram").distinct()
+    kept = counts.join(named, ["length", "gram"], "left_semi").select("lang", "length", "gram", "n").collect()
+    sums: Counter = Counter()
+    for r in steps:
+        sums[r.lang, r.length] += r.n * r.strings
     totals = sorted((r.lang, r.docs) for r in sizes.collect())
-    return LanguageModel([t[0] for t in totals], [t[1] for t in totals], sorted(tuple(r) for r in kept))
+    return LanguageModel([t[0] for t in totals], [t[1] for t in totals], sorted(tuple(r) for r in kept), sums)
 
 
 def predicted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -41,3 +41,13 @@ def test_odd_input(odd, nothing, rows):
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
     assert {r.lang_pred for r in predicted(odd, fitted(nothing)).collect()} == {"und"}
     assert predicted(nothing, fitted(odd)).collect() == []
+
+
+def test_a_string_that_one_language_keeps_counts_in_all(llm):
+    """The large language cuts "tail", of which it has five, the small one keeps its single one."""
+    rows = [(i, "aa bb cc aa bb cc" + (" tail" if i < 5 else ""), "large") for i in range(10)]
+    docs = llm.createDataFrame([*rows, (99, "tail xx", "small")], "doc_id long, text string, lang string")
+    model = fitted(docs, rows=3)
+    index, logs = model.tables[0]
+    assert set(index) == {"aa", "bb", "cc", "tail", "xx"}
+    assert np.allclose(np.exp(logs[index["tail"]]), [5.5 / (65 + 2.5), 1.5 / (2 + 2.5)])
