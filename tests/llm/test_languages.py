@@ -51,3 +51,9 @@ def test_a_string_that_one_language_keeps_counts_in_all(llm):
     index, logs = model.tables[0]
     assert set(index) == {"aa", "bb", "cc", "tail", "xx"}
     assert np.allclose(np.exp(logs[index["tail"]]), [5.5 / (65 + 2.5), 1.5 / (2 + 2.5)])
+
+
+def test_a_language_of_6_000_documents_is_counted_whole(llm):
+    words = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    docs = llm.range(6_000).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"))
+    assert len(fitted(docs).tables[0][0]) == 6_000
