@@ -60,3 +60,24 @@ def test_given_pages(llm, nothing):
     odd = llm.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<p>a</p>", None)], "page_id long, html string, n_chars string")
     assert sorted(r.text for r in extracted(odd).collect()) == ["", "", "a"]
     assert extracted(pages.limit(0)).collect() == []
+
+
+HALVES = [f"<p>{BODY[0]}</p>", "".join(f"<p>{p}</p>" for p in BODY[1:] * 3)]
+LOST = {
+    "wrapper with a noise word": f"<body><div class='layout sidebar'>{NAV}<div class='col'><h1>Title</h1>{PARAGRAPHS}</div></div>{FOOT}</body>",
+    "state of the page": f"<body><div class='layout has-sidebar'><h1>Title</h1>{PARAGRAPHS}</div><div class='no-sidebar'>{NAV}</div></body>",
+    "article in a wrapper": f"<body><div class='cookies-accepted'><article><h1>Title</h1>{PARAGRAPHS}</article><div class='comments'><p>{'I do not agree at all. ' * 60}</p></div></div></body>",
+    "form": f"<body><form action='/'>{NAV}<div class='col'><h1>Title</h1>{PARAGRAPHS}</div></form>{FOOT}</body>",
+    "ids of topics": f"<body><article><h1>Title</h1>{PARAGRAPHS.replace('<p>', '<p id=related-work>', 1)}</article></body>",
+}
+
+
+@pytest.mark.parametrize("name", LOST)
+def test_marks_spare_what_holds_the_text(name):
+    assert main_text(LOST[name]) == f"Title {TEXT}"
+
+
+def test_nothing_of_the_text_is_dropped():
+    assert main_text(f"<body>{NAV}<div>{HALVES[0]}</div><div>{HALVES[1]}</div>{FOOT}</body>").startswith("It was a long way")
+    assert "It was a long way" in main_text(f"<body>{NAV}<article>{HALVES[1]}</article><article>{HALVES[0]}</article>{FOOT}</body>")
+    assert "Notice period" in main_text(f"<article><h1>Title</h1>{PARAGRAPHS}<h2 id='notice-period'>Notice period</h2>{PARAGRAPHS}</article>")
