@@ -56,7 +56,8 @@ class WordEncoder:
     def _encode(self, word: bytes) -> bytes:
         text = word.decode()
         body = text.rstrip(TAIL)
-        if body != text and body.isalpha() and max(body) <= PLAIN:
+        # Lower case may end in a mark that joins the punctuation, so it must be letters as well.
+        if body != text and body.lower().isalpha() and max(body) <= PLAIN:
             return self.ids[body.encode()] + self.ids[text[len(body) :].encode()]
         return struct.pack(f"<{len(ids := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *ids)
 

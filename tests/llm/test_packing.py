@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from parlance.llm import catalog
-from parlance.llm.packing import best_fit_decreasing, least_bins, pack, pack_documents, pieces
+from parlance.llm.packing import WordEncoder, best_fit_decreasing, least_bins, pack, pack_documents, pieces
 
 PATH = catalog.tokenizer("word_bpe_49k.json")
 
@@ -32,6 +32,19 @@ def test_pieces_are_those_of_the_tokenizer(odd, small, capacity):
         assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32, r.ids) for r in got) == sorted(slow_pieces(rows, capacity))
 
 
+def test_letters_with_punctuation_tails():
+    """Every letter up to the last plain one, lower and upper case, with several tails."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    with open(PATH, "rb") as file:
+        words = WordEncoder(file.read(), 1)
+    for code in range(0x21, 0x250):
+        for tail in (".", "!!!.", "),", "-", '"', "?!x"):
+            text = chr(code) + tail
+            assert np.frombuffer(words.encode(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def full_check(rows, capacity):
     by = defaultdict(list)
     for r in rows:
