@@ -9,8 +9,11 @@ none of five characters is known, by those of four, and so on down to one.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,15 +24,32 @@ from pyspark.sql import types as T
 
 from .common import Memo, chance, dealt, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Documents per language that are counted, about; table rows kept per language and length; languages.
 SAMPLE, ROWS, LANGUAGES = 20_000, 20_000, 1_000
 UNKNOWN = "und"
 
 
+@cache
+def letters() -> re.Pattern:
+    """A letter and the letters and marks that follow it, by their Unicode categories; no number, also if it looks like a letter."""
+    kinds = [unicodedata.category(chr(code))[0] for code in range(sys.maxunicode + 1)]
+
+    def ranges(wanted: str) -> str:
+        found, start = [], None
+        for code, kind in enumerate([*kinds, ""]):
+            if kind and kind in wanted:
+                start = code if start is None else start
+            elif start is not None:
+                found.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+                start = None
+        return "".join(found)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    return letters().findall(text.lower())
 
 
 def runs(word: str, length: int) -> list[str]:

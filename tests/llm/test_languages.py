@@ -1,11 +1,13 @@
 """Backoff on small tables, held-out accuracy, odd input."""
 
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import catalog
-from parlance.llm.languages import LanguageModel, fitted, gram_counts, predicted, runs
+from parlance.llm.languages import LanguageModel, fitted, gram_counts, predicted, runs, words_of
 
 
 def test_runs_and_counts(llm):
@@ -26,6 +28,12 @@ def test_words_first_then_shorter_and_shorter_runs():
     assert model.predict("12 !") == model.predict(None) == LanguageModel([], [], []).predict("dog") == ("und", 0.0)
 
 
+def test_letters_by_category():
+    assert words_of("½ ² ① Ⅷ \u0301 _ 7") == []
+    assert words_of("a² नमस्ते e\u0301te") == ["a", "नमस्ते", "e\u0301te"]
+    assert LanguageModel(["a"], [1], [("a", 0, "dog", 9)]).predict("½ ② 7") == ("und", 0.0)
+
+
 def test_held_out_accuracy(llm):
     folder = "/root/testdata/sf0.01"
     got = catalog.queries()["op10_language"](llm, folder).join(llm.read.parquet(f"{folder}/documents.parquet"), "doc_id").toPandas()
@@ -38,7 +46,7 @@ def test_odd_input(odd, nothing, rows):
     out = predicted(odd.withColumn("score", F.lit("clash")), fitted(odd, rows=rows)).collect()
     assert len(out) == odd.count() and {r.lang_pred for r in out} <= {"en", "und"}
     for r in out:
-        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+        assert (r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.text or ""))
     assert {r.lang_pred for r in predicted(odd, fitted(nothing)).collect()} == {"und"}
     assert predicted(nothing, fitted(odd)).collect() == []
 
