@@ -605,12 +605,12 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
     )
 
 
-_LATTICES: dict[int, list[Lattice]] = {}
+#: The last model and its lattices; the model is kept, so that no other can be taken for it.
+_LATTICES: list[tuple[TextModel, list[Lattice]]] = []
 
 
 def _lattices_of(model: TextModel) -> list[Lattice]:
     """The lattices of a broadcast model, once per worker, so that their memos serve several tasks."""
-    if id(model) not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[id(model)] = [Lattice(*one) for one in model.lattices]
-    return _LATTICES[id(model)]
+    if not _LATTICES or _LATTICES[0][0] is not model:
+        _LATTICES[:] = [(model, [Lattice(*one) for one in model.lattices])]
+    return _LATTICES[0][1]
