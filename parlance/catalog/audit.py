@@ -11,8 +11,8 @@ AS_OF = dt.datetime(2024, 1, 15, 12, 0, 0)
 STAMP = "TIMESTAMP '2024-01-15 12:00:00'"
 
 CONSENT = """
-    ok AS (SELECT r.id, EXISTS (SELECT 1 FROM fx_grants g WHERE g.workspace_id = r.workspace_id AND g.granted_at <= r.ts AND r.ts < g.expires_at
-                                AND (g.operation_id IS NULL OR g.operation_id = r.operation_id)) AS has_consent FROM fx_calls r)"""
+    ok AS (SELECT r.id, EXISTS (SELECT 1 FROM fx_grants g WHERE g.workspace_id = r.workspace_id AND g.destination = r.destination AND g.provider = r.provider
+                                AND g.granted_at <= r.ts AND r.ts < g.expires_at AND (g.operation_id IS NULL OR g.operation_id = r.operation_id)) AS has_consent FROM fx_calls r)"""
 ALLOWED = """
     allowed AS (SELECT operation_id, destination, provider, max(unit_calls * (retries_each + 1)) AS allowed_calls FROM fx_declares GROUP BY 1, 2, 3)"""
 DECISIONS = f"""
@@ -34,7 +34,7 @@ def allowed(t):
 
 
 def decisions(t):
-    return au.decide(t["fx_calls"], t["fx_grants"], allowed(t), ("workspace_id",))
+    return au.decide(t["fx_calls"], t["fx_grants"], allowed(t))
 
 
 @query("a1_log_rows", f"""
@@ -74,7 +74,7 @@ def by_destination(t):
 
 @query("a6_consent", f"WITH {CONSENT} SELECT * FROM ok")
 def consent(t):
-    return au.with_consent(t["fx_calls"], t["fx_grants"], ("workspace_id",)).select("id", "has_consent")
+    return au.with_consent(t["fx_calls"], t["fx_grants"]).select("id", "has_consent")
 
 
 def operations(t):
@@ -87,9 +87,7 @@ def operations(t):
 
 
 def provider_grants(t):
-    return t.sql("""SELECT g.workspace_id, CASE g.workspace_id % 4 WHEN 0 THEN 'llm' WHEN 1 THEN 'search' ELSE 'tts' END AS destination,
-                    CASE g.workspace_id % 4 WHEN 0 THEN 'p_llm' WHEN 1 THEN 'p_search' WHEN 2 THEN 'p_tts1' ELSE 'p_tts2' END AS provider,
-                    g.operation_id, g.granted_at, g.granted_at + INTERVAL '72' HOUR AS expires_at FROM {fx_grants} g""")
+    return t.sql("""SELECT g.workspace_id, g.destination, g.provider, g.operation_id, g.granted_at, g.granted_at + INTERVAL '72' HOUR AS expires_at FROM {fx_grants} g""")
 
 
 OPERATIONS = """
@@ -98,9 +96,8 @@ OPERATIONS = """
 
 
 @query("a7_missing_permissions", f"""
-    WITH {OPERATIONS}, g AS (SELECT workspace_id, CASE workspace_id % 4 WHEN 0 THEN 'p_llm' WHEN 1 THEN 'p_search' WHEN 2 THEN 'p_tts1' ELSE 'p_tts2' END AS provider, operation_id
-        FROM fx_grants WHERE granted_at <= {STAMP} AND granted_at + INTERVAL '72' HOUR > {STAMP})
-    SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.workspace_id = p.workspace_id AND g.provider = p.provider
+    WITH {OPERATIONS}, g AS (SELECT workspace_id, destination, provider, operation_id FROM fx_grants WHERE granted_at <= {STAMP} AND granted_at + INTERVAL '72' HOUR > {STAMP})
+    SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.workspace_id = p.workspace_id AND g.destination = p.destination AND g.provider = p.provider
         AND (g.operation_id IS NULL OR g.operation_id = p.operation_id))""")
 def missing_permissions(t):
     return au.missing_permissions(operations(t), provider_grants(t), AS_OF)
@@ -152,14 +149,14 @@ def resume(t):
 
 CHALLENGES = """
     ch AS (SELECT event_id AS challenge_id, CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS operation_id, ts + INTERVAL 10 MINUTE AS expires_at,
-                  event_id % 13 = 0 AS used FROM events WHERE event_type = 'click'),
+                  event_id % 13 = 0 AS used FROM events),
     an AS (SELECT event_id AS challenge_id, CASE WHEN event_id % 3 = 0 THEN 'session' WHEN event_id % 3 = 1 THEN 'operation' ELSE 'nonsense' END AS scope,
-                  ts + CASE WHEN event_id % 4 = 0 THEN INTERVAL 11 MINUTE ELSE INTERVAL 2 MINUTE END AS answered_at FROM events WHERE event_type = 'click')"""
+                  ts + CASE WHEN event_id % 4 = 0 THEN INTERVAL 11 MINUTE ELSE INTERVAL 2 MINUTE END AS answered_at FROM events)"""
 
 
 def challenges(t):
     return t.sql("""SELECT event_id AS challenge_id, CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS operation_id,
-                    ts + INTERVAL 10 MINUTE AS expires_at, event_id % 13 = 0 AS used FROM {events} WHERE event_type = 'click'""")
+                    ts + INTERVAL 10 MINUTE AS expires_at, event_id % 13 = 0 AS used FROM {events}""")
 
 
 @query("a13_grants", f"""
@@ -170,7 +167,7 @@ def challenges(t):
     WHERE NOT used AND answered_at < expires_at AND scope IN ('session', 'operation')""")
 def grants(t):
     answers = t.sql("""SELECT event_id AS challenge_id, CASE WHEN event_id % 3 = 0 THEN 'session' WHEN event_id % 3 = 1 THEN 'operation' ELSE 'nonsense' END AS scope,
-                       CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 11 MINUTE ELSE ts + INTERVAL 2 MINUTE END AS answered_at FROM {events} WHERE event_type = 'click'""")
+                       CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 11 MINUTE ELSE ts + INTERVAL 2 MINUTE END AS answered_at FROM {events}""")
     made = au.grants_from_challenges(answers, challenges(t), operations(t))
     millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     return made.withColumn("ttl_ms", millis("expires_at") - millis("granted_at")).drop("granted_at", "expires_at")

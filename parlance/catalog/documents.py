@@ -46,7 +46,7 @@ def stored_names(t):
     own = F.regexp_replace("filename", F.lit(r"\.txt$"), F.concat(F.lit(" ("), (F.col("seq") % 9).cast("string"), F.lit(").txt")))
     names = F.when(F.col("seq") % 50 == 7, own).otherwise(F.col("filename"))
     uploads = t["fx_documents"].select("seq", "workspace_id", F.regexp_replace(names, "src", "src:").alias("filename"))
-    return docs.stored_names(uploads, bucket_rows=100).select("seq", "workspace_id", "stored_name")
+    return docs.stored_names(uploads).select("seq", "workspace_id", "stored_name")
 
 
 @query("d7_block_language", f"""

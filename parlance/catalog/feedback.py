@@ -143,7 +143,7 @@ def timeline(t):
            CASE WHEN n < 4 THEN NULL WHEN s2 * n1 < s1 * n2 - 3 * n1 * n2 THEN 'narrowing' WHEN s2 * n1 > s1 * n2 + 3 * n1 * n2 THEN 'widening' ELSE 'flat' END AS trend FROM h""")
 def gap_trend(t):
     order = [F.col("created_at"), F.col("verdict_id"), F.col("a_overall")]
-    return fb.gap_trend(pairs(t), order, F.date_trunc("month", F.col("created_at")))
+    return fb.gap_trend(pairs(t), order)
 
 
 @query("f12_heaviest_criterion", f"""
@@ -181,8 +181,7 @@ def verdict_history(t):
     from ..functions import ordered
 
     scores = ordered.positions(
-        fb.machine_overall(t["fx_scores"]), ["attempt_id"], [F.col("created_at"), F.col("l_partkey"), F.col("l_suppkey")],
-        F.date_trunc("month", F.col("created_at")), "score_no")
+        fb.machine_overall(t["fx_scores"]), ["attempt_id"], [F.col("created_at"), F.col("l_partkey"), F.col("l_suppkey")], "score_no")
     turns = t["fx_scores"].select("attempt_id", "session_id").distinct()
     order = [F.col("created_at").desc(), F.col("verdict_id").desc()]
     shown = fb.verdict_history(t["fx_verdicts"].drop("session_id"), scores, turns, order)

@@ -90,8 +90,7 @@ def source_routing(t):
 def character_budget(t):
     from ..functions import ordered
 
-    placed = ordered.positions(
-        t["fx_results"], ["run_id"], [F.col("query_idx"), F.col("rank")], F.col("query_idx"), "position")
+    placed = ordered.positions(t["fx_results"], ["run_id"], [F.col("query_idx"), F.col("rank")], "position")
     return gl.within_budget(placed).select("run_id", "position", "rank", "running_chars")
 
 

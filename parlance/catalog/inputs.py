@@ -46,15 +46,16 @@ VIEWS: dict[str, str] = {
                CAST(p_size AS STRING) AS category,
                CASE WHEN p_partkey % 2 = 0 THEN 'document' ELSE 'web' END AS source_type, p_brand AS source_ref
         FROM {part}""",
-    # a glossary that existed before: one row per (workspace, name) that some supplier key names
+    # a glossary that existed before: one row per (workspace, name); only names of many parts are named again
     "fx_standing": """
-        SELECT min(p_partkey) AS id, p_size % 5 AS workspace_id, p_name AS term_vi, p_name AS term_vi_norm,
+        SELECT min(p_partkey) AS id, p_size % 5 AS workspace_id, p_name AS term_vi,
+               CASE WHEN count(*) > 6 THEN p_name ELSE p_name || ' old' END AS term_vi_norm,
                max(p_type) AS term_en, CAST(NULL AS STRING) AS pronunciation, CAST(NULL AS STRING) AS definition,
                'old' AS category,
                CASE WHEN min(p_partkey) % 4 = 1 THEN 'aligned_from_parallel' ELSE 'machine_guess' END AS confidence,
                CASE WHEN min(p_partkey) % 3 = 0 THEN 'expert_edited' ELSE 'auto' END AS status,
                'document' AS source_type, 'old' AS source_ref, count(*) AS frequency
-        FROM {part} GROUP BY p_size % 5, p_name HAVING count(*) > 6""",
+        FROM {part} GROUP BY p_size % 5, p_name""",
     "fx_glossary": """
         SELECT p_partkey AS id, p_partkey % 7 AS workspace_id, p_name || ' ' || CAST(p_partkey AS STRING) AS term_vi,
                p_name || ' ' || CAST(p_partkey AS STRING) AS term_vi_norm, p_type || ' ' || p_name AS term_en,
@@ -125,10 +126,14 @@ VIEWS: dict[str, str] = {
                CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS operation_id
         FROM {events}""",
     "fx_grants": """
-        SELECT event_id AS id, user_id AS workspace_id, ts AS granted_at, ts + INTERVAL '8' HOUR AS expires_at,
+        SELECT event_id AS id, user_id AS workspace_id,
+               CASE WHEN event_id % 10 IN (0, 1) THEN 'llm' WHEN event_id % 10 IN (2, 3) THEN 'search' ELSE 'tts' END AS destination,
+               CASE WHEN event_id % 10 IN (0, 1) THEN 'p_llm' WHEN event_id % 10 IN (2, 3) THEN 'p_search'
+               WHEN event_id % 10 IN (4, 5, 6) THEN 'p_tts1' ELSE 'p_tts2' END AS provider,
+               ts AS granted_at, CASE WHEN event_type = 'signup' THEN ts + INTERVAL '8' HOUR ELSE ts + INTERVAL '15' MINUTE END AS expires_at,
                CASE WHEN event_id % 2 = 0 THEN NULL ELSE CAST(user_id AS STRING) || '-' ||
                CAST(CAST(ts AS DATE) AS STRING) END AS operation_id
-        FROM {events} WHERE event_type = 'signup'""",
+        FROM {events}""",
     "fx_calls": """
         SELECT id, created_at AS ts, workspace_id, provider, destination, n_chars,
                CASE WHEN id % 29 = 0 THEN NULL ELSE operation_id END AS operation_id,

@@ -104,10 +104,10 @@ def latest_profiles(t):
     WITH {LATEST}
     SELECT l.workspace_id, l.entity_id, l.id AS profile_id, f.id AS field_id, f.field_key, f.value, s.s_name AS url
     FROM latest l LEFT JOIN fx_fields f ON f.profile_id = l.id
-    LEFT JOIN (SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS field_id, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R') s ON s.field_id = f.id""")
+    LEFT JOIN (SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS field_id, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) s ON s.field_id = f.id""")
 def profile_view(t):
     sources = t.sql("""SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS field_id, s_name AS url
-                       FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_returnflag = 'R'""")
+                       FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey""")
     return rs.profile_view(t["fx_profiles"], t["fx_fields"], sources).select(
         "workspace_id", "entity_id", "profile_id", "field_id", "field_key", "value", "url")
 
@@ -133,13 +133,13 @@ def profile_text(t):
 
 @query("q11_field_edits", """
     WITH e AS (SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS id, arg_max('edit ' || CAST(l_suppkey AS VARCHAR), l_suppkey) AS v
-               FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 4 <> 0 GROUP BY 1)
+               FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1)
     SELECT f.id, f.field_key, coalesce(e.v, f.value) AS value, f.is_expert_edited OR e.id IS NOT NULL AS is_expert_edited
     FROM fx_fields f LEFT JOIN e ON e.id = f.id""")
 def field_edits(t):
     edits = t.sql("""SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS field_id, l_suppkey AS seq,
                      CASE WHEN l_suppkey % 4 = 0 THEN ' ' ELSE ' edit ' || CAST(l_suppkey AS STRING) END AS value
-                     FROM {lineitem} WHERE l_returnflag = 'A'""")
+                     FROM {lineitem}""")
     fields = t["fx_fields"].select(F.col("id").alias("field_id"), "field_key", "value", "is_expert_edited")
     return rs.edit_fields(fields, edits).withColumnRenamed("field_id", "id")
 

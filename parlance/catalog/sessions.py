@@ -166,7 +166,7 @@ PINNED = r"""
                       CASE WHEN d.lang = 'en' THEN 'en' ELSE 'vi' END AS target_lang, d.text AS user_translation
                FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
     given AS (SELECT doc_id AS attempt_id, split_part(text, ' ', 3) AS term_vi, 'given' AS expected, 'x' AS used, n_chars % 2 = 0 AS correct
-              FROM documents WHERE n_chars > 200
+              FROM documents
               UNION ALL SELECT d.doc_id, split_part(b.text, ' ', 2), 'given', 'y', d.n_chars % 3 = 0 FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
               WHERE d.n_chars % 2 = 1 AND split_part(d.text, ' ', 3) <> split_part(b.text, ' ', 2))"""
 
@@ -179,7 +179,7 @@ def pinned(t):
 
 def given(t):
     return t.sql("""SELECT doc_id AS attempt_id, split_part(text, ' ', 3) AS term_vi, 'given' AS expected, 'x' AS used, n_chars % 2 = 0 AS correct
-                    FROM {documents} WHERE n_chars > 200
+                    FROM {documents}
                     UNION ALL SELECT d.doc_id, split_part(b.text, ' ', 2), 'given', 'y', d.n_chars % 3 = 0 FROM {documents} d JOIN {benchmark} b ON b.item_id = d.doc_id % 40
                     WHERE d.n_chars % 2 = 1 AND split_part(d.text, ' ', 3) <> split_part(b.text, ' ', 2)""")
 

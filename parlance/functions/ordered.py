@@ -1,10 +1,12 @@
-"""Ordered numbering that survives a hot key.
+"""Ordered numbering and running values that survive a hot key.
 
 ``row_number() over (partition by key ...)`` sends a whole key to one task.
 When only the first few rows per key are wanted that is harmless, because Spark
 prunes each partition before the shuffle. When *every* row needs its position,
-the functions below split a key into ordered buckets, count per bucket with a
-normal aggregation, and add the counts of the buckets before it.
+or the running value up to it, the functions below cut the rows into ranges of
+(key, order) of about equal size, whatever the keys are. Each range is scanned
+by itself, and what a key had in the ranges before is carried over the border:
+one row per range, as only the first key of a range can have begun earlier.
 """
 
 from __future__ import annotations
@@ -14,6 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+#: The low bits of ``monotonically_increasing_id``: the place in a partition.
+_PLACE = (1 << 33) - 1
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = 1,
                   rank_column: str = "rank") -> DataFrame:
@@ -22,39 +29,65 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], l
     return df.withColumn(rank_column, F.row_number().over(window)).filter(F.col(rank_column) <= limit)
 
 
-def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    bucket: Column,
-    position_column: str = "position",
-    total_column: str | None = None,
-) -> DataFrame:
-    """1-based position of every row in its key, and the size of the key if asked for.
-
-    ``bucket`` must be a non-decreasing function of the first order column (a
-    day for timestamps, ``floor(seq / n)`` for counters). One bucket of one key
-    is the largest thing a task ever sorts. Rows with a NULL key get no position.
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows in ranges of (keys, order): ``__range`` ascends, ``__row`` counts from 0 in a range.
 
-    The rows are shuffled once, for the numbering inside the buckets; the join
-    with the bucket counts uses the same partitioning. ``df`` is read twice, so
-    an expensive one should be written first (``session.cut_lineage``).
+    Written once, so that the numbers stay what they are. ``order`` should end
+    with a column that tells rows of a key apart, as equal rows share a range.
+    ``df`` is evaluated twice (Spark samples it for the borders); an expensive
+    one should be written first.
     """
-    marked = df.withColumn("__bucket", bucket)
-    sizes = marked.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    per_key = Window.partitionBy(*keys)
-    before = per_key.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys,
-        "__bucket",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(per_key).alias("__total"),
+    columns = [*[F.col(k) for k in keys], *order]
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return cut_lineage(placed.withColumns({
+        "__range": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)),
+    }))
+
+
+def _carried(rows: DataFrame, keys: Sequence[str], value: Column, how) -> DataFrame:
+    """(__range, __first, __carry): first key of every range and its value in all ranges before."""
+    key = F.struct(*[F.col(k) for k in keys])
+    ends = rows.groupBy("__range").agg(F.min_by(key, "__row").alias("__first"), F.max_by(key, "__row").alias("__last"))
+    # One row per range, so never more than there are shuffle partitions.
+    of_last = rows.join(F.broadcast(ends), "__range").filter(key.eqNullSafe(F.col("__last"))).groupBy("__range").agg(
+        F.first("__first").alias("__first"), F.first("__last").alias("__last"), how(value).alias("__value")
     )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    numbered = marked.withColumn("__inside", F.row_number().over(inside))
-    out = numbered.join(offsets, [*keys, "__bucket"], "left").withColumn(
-        position_column, F.col("__inside") + F.col("__before")
+    through = Window.partitionBy("__last").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__range")
+    return (
+        of_last.withColumn("__through", how("__value").over(through))
+        .select("__range", "__first", F.lag("__last").over(before).alias("__previous"), F.lag("__through").over(before).alias("__carry"))
+        .filter(F.col("__previous").eqNullSafe(F.col("__first"))).drop("__previous")
     )
-    if total_column:
-        out = out.withColumn(total_column, F.col("__total"))
-    return out.drop("__bucket", "__before", "__total", "__inside")
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, result: str,
+            how=F.max) -> DataFrame:
+    """Adds the maximum (or the sum, ``how=F.sum``) of ``value`` from the first row of the key to this one.
+
+    NULL values do not count; a NULL in a key is a key like any other. Rows that
+    are equal in keys and order are taken in any order.
+    """
+    rows = ranged(df.withColumn("__value_of_row", value), keys, order)
+    inside = Window.partitionBy("__range", *keys).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = rows.withColumn("__inside", how("__value_of_row").over(inside))
+    carried = _carried(rows, keys, F.col("__value_of_row"), how)
+    met = scanned.join(F.broadcast(carried), "__range", "left")
+    same = F.struct(*[F.col(k) for k in keys]).eqNullSafe(F.col("__first"))
+    carry = F.when(same, F.col("__carry"))
+    if how is F.max:
+        total = F.greatest("__inside", carry)
+    elif how is F.sum:
+        total = F.when(F.col("__inside").isNotNull() | carry.isNotNull(), F.coalesce("__inside", F.lit(0)) + F.coalesce(carry, F.lit(0)))
+    else:
+        raise ValueError("running values are maxima (F.max) or sums (F.sum)")
+    return met.withColumn(result, total).select(*[F.col(c) for c in df.columns if c != result], result)
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], position_column: str = "position") -> DataFrame:
+    """1-based position of every row in its key. Rows with a NULL key get no position."""
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    counted = running(df, keys, order, F.lit(1).cast("bigint"), position_column, F.sum)
+    return counted.withColumn(position_column, F.when(known, F.col(position_column)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from ..session import cut_lineage
 
 # ---- fixed values ----
 OVERSIZED_CHARS = 40_000
@@ -71,53 +72,36 @@ def by_destination(log: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ consent
 
 
-def _latest_expiry(requests: DataFrame, grants: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
-    """(id, __until): latest expiry among the grants given up to each request.
-
-    A request is covered when some grant given before it ends after it, and
-    that is so exactly when the latest end seen so far lies after it. A running
-    maximum over both tables in time order therefore replaces the interval
-    join: no request ever meets a grant, however many a workspace has. Time
-    buckets split a busy key; the maximum of the earlier buckets is carried in.
-    """
-    at, end_type = "__at", dict(grants.dtypes)["expires_at"]
-    stacked = requests.select(
-        *keys, F.col("ts").alias(at), F.col("id"), F.lit(1).alias("__order"),
-        F.lit(None).cast(end_type).alias("__end"),
-    ).unionByName(grants.select(
-        *keys, F.col("granted_at").alias(at), F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("__order"),
-        F.col("expires_at").alias("__end"),
-    )).withColumn("__bucket", F.date_trunc(bucket, F.col(at)))
-    per_bucket = stacked.groupBy(*keys, "__bucket").agg(F.max("__end").alias("__m"))
-    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(*keys, "__bucket", F.max("__m").over(earlier).alias("__carry"))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(at, "__order").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    return (
-        stacked.withColumn("__until", F.max("__end").over(inside)).filter(F.col("__order") == 1)
-        .join(carried, [*keys, "__bucket"], "left")
-        .select("id", F.greatest("__until", "__carry").alias("__until"))
-    )
-
-
 def with_consent(
     requests: DataFrame, grants: DataFrame, keys: Sequence[str] = ("workspace_id", "destination", "provider"),
-    bucket: str = "day",
 ) -> DataFrame:
     """Adds ``has_consent``: a grant for the same keys and this operation, or for any, is in force.
 
     requests: id (unique), ts, operation_id and keys. grants: granted_at,
-    expires_at, operation_id (NULL for any operation) and keys. In force means
-    granted_at <= ts < expires_at.
+    expires_at, operation_id (NULL for any operation) and keys; a NULL key
+    opens nothing. In force means granted_at <= ts < expires_at.
+
+    A request is covered when some grant given before it ends after it, and
+    that is so exactly when the latest end seen so far lies after it. A running
+    maximum over both tables in time order therefore replaces the interval
+    join: no request ever meets a grant, however many a workspace has. A
+    request stands in it twice, once for grants to any operation and once for
+    those to its own.
     """
-    keys = list(keys)
-    for_any = _latest_expiry(requests, grants.filter(F.col("operation_id").isNull()), keys, bucket)
-    for_one = _latest_expiry(
-        requests.filter(F.col("operation_id").isNotNull()),
-        grants.filter(F.col("operation_id").isNotNull()), [*keys, "operation_id"], bucket,
+    keys, end_type = list(keys), dict(grants.dtypes)["expires_at"]
+    scopes = F.when(F.col("operation_id").isNull(), F.array(F.col("operation_id"))).otherwise(
+        F.array(F.lit(None), F.col("operation_id"))
     )
-    until = for_any.unionByName(for_one).groupBy("id").agg(F.max("__until").alias("__until"))
+    stacked = requests.select(
+        *keys, F.explode(scopes).alias("__scope"), F.col("ts").alias("__at"), F.lit(1).alias("__order"), "id",
+        F.lit(None).cast(end_type).alias("__end"),
+    ).unionByName(grants.dropna(subset=keys).select(
+        *keys, F.col("operation_id").alias("__scope"), F.col("granted_at").alias("__at"), F.lit(0).alias("__order"),
+        F.lit(None).cast(requests.schema["id"].dataType).alias("id"), F.col("expires_at").alias("__end"),
+    ))
+    order = [F.col("__at"), F.col("__order"), F.col("id"), F.col("__end")]
+    scanned = ordered.running(stacked, [*keys, "__scope"], order, F.col("__end"), "__until")
+    until = scanned.filter(F.col("__order") == 1).groupBy("id").agg(F.max("__until").alias("__until"))
     return requests.join(until, "id", "left").withColumn(
         "has_consent", F.coalesce(F.col("__until") > F.col("ts"), F.lit(False))
     ).drop("__until")
@@ -218,23 +202,20 @@ def allowed_calls(declares: DataFrame) -> DataFrame:
 CALL_KEY = ["operation_id", "destination", "provider"]
 
 
-def with_budget(calls: DataFrame, allowed: DataFrame, eligible: Column | None = None, bucket: str = "day") -> DataFrame:
+def with_budget(calls: DataFrame, allowed: DataFrame, eligible: Column | None = None) -> DataFrame:
     """Adds ``call_no`` and ``within_budget``; only eligible calls are counted.
 
-    calls: id, ts, operation_id, destination, provider. A pair that was not
-    declared has no budget at all. Calls that need no number (not eligible, or with a
-    NULL in their key) are dealt by their id, so they never meet in one task.
+    calls: id (unique), ts, operation_id, destination, provider. A pair that was
+    not declared has no budget at all, nor has a call with a NULL in its key.
     """
     counts = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
     for key in CALL_KEY:
         counts = counts & F.col(key).isNotNull()
-    flagged = calls.withColumn("__eligible", counts).withColumn(
-        "__dealt", F.when(F.col("__eligible"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(4096))).cast("int")
-    )
-    numbered = ordered.positions(
-        flagged, [*CALL_KEY, "__dealt"], [F.col("ts"), F.col("id")], F.date_trunc(bucket, F.col("ts")), "call_no"
+    flagged = calls.withColumn("__eligible", counts)
+    numbered = ordered.running(
+        flagged, CALL_KEY, [F.col("ts"), F.col("id")], F.col("__eligible").cast("bigint"), "call_no", F.sum
     )
-    counted = numbered.withColumn("call_no", F.when(F.col("__eligible"), F.col("call_no"))).drop("__dealt")
+    counted = numbered.withColumn("call_no", F.when(F.col("__eligible"), F.col("call_no")))
     return (
         counted.join(allowed, CALL_KEY, "left")
         .withColumn("within_budget",
@@ -255,7 +236,7 @@ def decide(
     budget, provider. A call stopped by an earlier gate spends no budget; one
     the provider fails does.
     """
-    checked = with_consent(calls, grants, consent_keys)
+    checked = cut_lineage(with_consent(calls, grants, consent_keys))
     orphan = F.col("operation_id").isNull()
     too_large = F.col("n_chars") > MAX_PAYLOAD_CHARS
     refused = F.col("is_confidential") & ~F.col("has_consent")

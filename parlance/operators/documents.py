@@ -57,17 +57,14 @@ def mark_duplicates(items: DataFrame, existing: DataFrame | None = None) -> Data
     ).drop("first")
 
 
-def stored_names(uploads: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
+def stored_names(uploads: DataFrame) -> DataFrame:
     """Safe stored name per upload, no two alike in a workspace.
 
     uploads: workspace_id, seq, filename. The first of a name keeps it; later ones
     get ``" (n)"`` with the next number from 2 on that no upload brought itself.
     """
     named = uploads.withColumn("safe_name", files.safe_filename(F.col("filename")))
-    numbered = ordered.positions(
-        named, ["workspace_id", "safe_name"], [F.col("seq")],
-        F.floor(F.col("seq") / bucket_rows), "name_no",
-    )
+    numbered = ordered.positions(named, ["workspace_id", "safe_name"], [F.col("seq")], "name_no")
     suffix = F.regexp_extract("safe_name", r"[^.](\.[^.]+)$", 1)
     stem = F.expr("substring(safe_name, 1, length(safe_name) - length(__suffix))")
     own = r"^(.*) \((\d{1,9})\)(\.[^.]+)?$"

@@ -234,14 +234,15 @@ def timeline(pairs: DataFrame) -> DataFrame:
     ).orderBy("workspace_id", "created_at")
 
 
-def gap_trend(pairs: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
+def gap_trend(pairs: DataFrame, order: list[Column]) -> DataFrame:
     """Mean absolute gap of the first half of a workspace's verdicts against the rest."""
     names = [F.col(f"__o{i}") for i in range(len(order))]
     scored = cut_lineage(pairs.filter(F.col("e_overall").isNotNull() & F.col("a_overall").isNotNull()).select(
-        "workspace_id", F.abs(F.col("e_overall") - F.col("a_overall")).alias("__gap"), bucket.alias("__part"),
+        "workspace_id", F.abs(F.col("e_overall") - F.col("a_overall")).alias("__gap"),
         *[o.alias(f"__o{i}") for i, o in enumerate(order)],
-    ))      # numbering reads it twice
-    placed = ordered.positions(scored, ["workspace_id"], names, F.col("__part"), "place", "n_placed")
+    ))      # counting and numbering read it
+    sizes = scored.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_placed"))
+    placed = ordered.positions(scored, ["workspace_id"], names, "place").join(sizes, "workspace_id")
     first = F.col("place") <= F.floor(F.col("n_placed") / 2)
 
     def mean(condition: Column) -> Column:
