@@ -55,23 +55,26 @@ def latest_score(t):
 
 
 @query("f5_contradictions", f"""
-    WITH l AS (SELECT attempt_id, ({row_mean_tenths(A)}) AS a_tenths FROM fx_scores
-               QUALIFY row_number() OVER (PARTITION BY attempt_id ORDER BY created_at DESC, l_partkey DESC, l_suppkey DESC) = 1),
-    u AS (SELECT v.*, ({row_mean_tenths(E)}) - a_tenths AS dir FROM fx_verdicts v JOIN l ON l.attempt_id = v.attempt_id
-          WHERE trim(coalesce(note, '')) <> '' AND ({row_mean_tenths(E)}) IS NOT NULL),
+    WITH sc AS (SELECT attempt_id, created_at AS scored_at, l_partkey AS s_part, l_suppkey AS s_supp, CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE ({row_mean_tenths(A)}) END AS a_tenths FROM fx_scores),
+    l AS (SELECT attempt_id, a_tenths FROM sc QUALIFY row_number() OVER (PARTITION BY attempt_id ORDER BY scored_at DESC, s_part DESC, s_supp DESC) = 1),
+    r AS (SELECT *, ({row_mean_tenths(E)}) AS e_tenths FROM fx_verdicts WHERE trim(coalesce(note, '')) <> '' AND ({row_mean_tenths(E)}) IS NOT NULL),
+    n AS (SELECT r.*, e_tenths - a_tenths AS dir FROM r JOIN l ON l.attempt_id = r.attempt_id WHERE abs(e_tenths - a_tenths) >= 10),
+    o AS (SELECT r.*, e_tenths - a_tenths AS dir, scored_at, s_part, s_supp FROM r JOIN sc ON sc.attempt_id = r.attempt_id),
     p AS (SELECT n.workspace_id, n.verdict_id, n.dir AS new_dir, o.verdict_id AS old_verdict_id, o.dir AS old_dir,
-                 row_number() OVER (PARTITION BY n.verdict_id ORDER BY o.created_at DESC, o.verdict_id DESC) AS k
-          FROM u n JOIN u o ON o.workspace_id = n.workspace_id AND (n.related_category IS NULL OR o.related_category = n.related_category)
-               AND (o.created_at, o.verdict_id) < (n.created_at, n.verdict_id) WHERE abs(n.dir) >= 10)
+                 row_number() OVER (PARTITION BY n.verdict_id ORDER BY o.created_at DESC, o.verdict_id DESC, scored_at DESC, s_part DESC, s_supp DESC) AS k
+          FROM n JOIN o ON o.workspace_id = n.workspace_id AND (n.related_category IS NULL OR o.related_category = n.related_category)
+               AND (o.created_at, o.verdict_id) < (n.created_at, n.verdict_id))
     SELECT workspace_id, verdict_id, old_verdict_id, old_dir / 10.0 AS old_gap, CASE WHEN old_dir > 0 THEN 'raised' ELSE 'lowered' END AS old_direction
     FROM p WHERE k <= 8 AND old_dir * new_dir < 0 AND abs(old_dir) >= 10""")
 def contradictions(t):
-    matched = fb.compared(fb.expert_overall(t["fx_verdicts"]), fb.machine_overall(t["fx_scores"]), ["created_at", "l_partkey", "l_suppkey"])
-    verdicts = matched.select(
-        "workspace_id", "verdict_id", "created_at", "note", F.col("related_category").alias("category"),
-        (F.col("e_overall") - F.col("a_overall")).alias("direction"))
-    found = fb.contradictions(verdicts, ["created_at"], F.date_trunc("month", F.col("created_at")))
-    return found.withColumn("old_gap", F.col("old_gap").cast("double"))
+    """Every score of an attempt counts among the eight, also one without an overall; a verdict asks with the newest."""
+    scored = fb.machine_overall(t["fx_scores"]).select(
+        "attempt_id", F.col("created_at").alias("scored_at"), F.col("l_partkey").alias("s_part"), F.col("l_suppkey").alias("s_supp"),
+        F.when(F.col("l_suppkey") % 6 != 0, F.col("a_overall")).alias("a_overall"))
+    given = fb.expert_overall(t["fx_verdicts"]).filter("e_overall IS NOT NULL").select(
+        "workspace_id", "verdict_id", "attempt_id", "created_at", "note", F.col("related_category").alias("category"), "e_overall")
+    rows = given.join(scored, "attempt_id").withColumn("direction", F.col("e_overall") - F.col("a_overall"))
+    return fb.contradictions(rows, ["created_at"], ["scored_at", "s_part", "s_supp"])
 
 
 @query("f6_pinned_translations", """

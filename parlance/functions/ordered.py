@@ -44,18 +44,23 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     }))
 
 
-def _carried(rows: DataFrame, keys: Sequence[str], value: Column, how) -> DataFrame:
-    """(__range, __first, __carry): first key of every range and its value in all ranges before."""
+def _ends(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(__range, __first, __last, __stop): first and last key of every range and its last place; one row per range."""
     key = F.struct(*[F.col(k) for k in keys])
-    ends = rows.groupBy("__range").agg(F.min_by(key, "__row").alias("__first"), F.max_by(key, "__row").alias("__last"))
-    # One row per range, so never more than there are shuffle partitions.
-    of_last = rows.join(F.broadcast(ends), "__range").filter(key.eqNullSafe(F.col("__last"))).groupBy("__range").agg(
-        F.first("__first").alias("__first"), F.first("__last").alias("__last"), how(value).alias("__value")
+    return rows.groupBy("__range").agg(
+        F.min_by(key, "__row").alias("__first"), F.max_by(key, "__row").alias("__last"), F.max("__row").alias("__stop")
     )
-    through = Window.partitionBy("__last").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _over_borders(of_last: DataFrame, through: Column) -> DataFrame:
+    """(__range, __first, __carry): what the first key of a range had in all ranges before, where it had any.
+
+    of_last: one row per range, with its first and last key and a value of the
+    last; ``through`` combines such values up to a range, over a window.
+    """
     before = Window.orderBy("__range")
     return (
-        of_last.withColumn("__through", how("__value").over(through))
+        of_last.withColumn("__through", through)
         .select("__range", "__first", F.lag("__last").over(before).alias("__previous"), F.lag("__through").over(before).alias("__carry"))
         .filter(F.col("__previous").eqNullSafe(F.col("__first"))).drop("__previous")
     )
@@ -71,10 +76,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value:
     rows = ranged(df.withColumn("__value_of_row", value), keys, order)
     inside = Window.partitionBy("__range", *keys).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
     scanned = rows.withColumn("__inside", how("__value_of_row").over(inside))
-    carried = _carried(rows, keys, F.col("__value_of_row"), how)
-    met = scanned.join(F.broadcast(carried), "__range", "left")
-    same = F.struct(*[F.col(k) for k in keys]).eqNullSafe(F.col("__first"))
-    carry = F.when(same, F.col("__carry"))
+    key = F.struct(*[F.col(k) for k in keys])
+    # One row per range, so never more than there are shuffle partitions.
+    of_last = rows.join(F.broadcast(_ends(rows, keys)), "__range").filter(key.eqNullSafe(F.col("__last"))).groupBy("__range").agg(
+        F.first("__first").alias("__first"), F.first("__last").alias("__last"), how("__value_of_row").alias("__value")
+    )
+    so_far = Window.partitionBy("__last").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    met = scanned.join(F.broadcast(_over_borders(of_last, how("__value").over(so_far))), "__range", "left")
+    carry = F.when(key.eqNullSafe(F.col("__first")), F.col("__carry"))
     if how is F.max:
         total = F.greatest("__inside", carry)
     elif how is F.sum:
@@ -91,3 +100,36 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], posit
         known = known & F.col(key).isNotNull()
     counted = running(df, keys, order, F.lit(1).cast("bigint"), position_column, F.sum)
     return counted.withColumn(position_column, F.when(known, F.col(position_column)))
+
+
+def recent(df: DataFrame, keys: Sequence[str], order: Sequence[Column], item: Column, limit: int, result: str,
+           frame: int | None = None) -> DataFrame:
+    """Adds the array of the last ``limit`` items before each row in its key, oldest first.
+
+    A NULL item does not count. It is enough to look at the ``frame`` rows
+    before (``limit`` unless given): the caller knows how many can be NULL.
+    """
+    frame = frame or limit
+    rows = ranged(df.withColumn("__item_of_row", item), keys, order)
+    inside = Window.partitionBy("__range", *keys).orderBy("__row").rowsBetween(-frame, -1)
+    scanned = rows.withColumn("__inside", F.collect_list("__item_of_row").over(inside))
+    key = F.struct(*[F.col(k) for k in keys])
+    # A range hands on its last rows, ``frame`` of them at most; one row per range.
+    tails = (
+        rows.join(F.broadcast(_ends(rows, keys)), "__range")
+        .filter(key.eqNullSafe(F.col("__last")) & (F.col("__row") > F.col("__stop") - frame)).groupBy("__range").agg(
+            F.first("__first").alias("__first"), F.first("__last").alias("__last"),
+            F.sort_array(F.collect_list(F.struct("__row", "__item_of_row"))).alias("__tail"))
+        .withColumn("__tail", F.array_compact(F.transform("__tail", lambda x: x["__item_of_row"])))
+    )
+
+    def last(items: Column) -> Column:
+        return F.slice(items, F.greatest(F.lit(1), F.size(items) - limit + 1), limit)
+
+    # Every range of a key that is passed over whole has one row of it at least.
+    so_far = Window.partitionBy("__last").orderBy("__range").rowsBetween(1 - frame, 0)
+    met = scanned.join(F.broadcast(_over_borders(tails, last(F.flatten(F.collect_list("__tail").over(so_far))))), "__range", "left")
+    carry = F.when(key.eqNullSafe(F.col("__first")), F.col("__carry"))
+    return met.withColumn(result, last(F.concat(F.coalesce(carry, F.slice("__inside", 1, 0)), "__inside"))).select(
+        *[F.col(c) for c in df.columns if c != result], result
+    )

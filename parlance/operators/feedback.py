@@ -74,66 +74,43 @@ def compared(verdicts: DataFrame, scores: DataFrame, latest_only: list[str] | No
     return verdicts.join(chosen.select("attempt_id", *[f"a_{c}" for c in CRITERIA], "a_overall"), "attempt_id")
 
 
-def contradictions(
-    verdicts: DataFrame, order: list[str], bucket: Column, window: int = CONTRADICTION_WINDOW,
-    all_have_category: bool = False,
-) -> DataFrame:
+def contradictions(verdicts: DataFrame, order: list[str], ties: list[str] | None = None,
+                   window: int = CONTRADICTION_WINDOW) -> DataFrame:
     """Pairs of a reasoned verdict and an older one that points the other way.
 
     verdicts: verdict_id, workspace_id, category, note, direction (expert minus
-    machine) and the ``order`` columns, first one time. Each verdict is compared
-    with the ``window`` latest reasoned ones before it in its workspace and
-    category; without a category of its own, in the whole workspace.
-
-    No verdict meets more than ``window`` others: they come from a row frame,
-    not from a self join. A busy workspace is cut into time buckets, and a
-    bucket starts with the last rows of the buckets before it, so its first
-    verdicts see the same neighbours. ``all_have_category`` saves the second
-    pass, the one over whole workspaces.
+    machine) and the ``order`` columns, first one time. With ``ties`` a verdict
+    has a row for every score of its attempt; it asks once, with the direction
+    of the last by ``ties``, and each row can contradict. Each verdict is
+    compared with the ``window`` latest reasoned rows before it in its workspace
+    and category; without a category of its own, in the whole workspace. A row
+    without direction takes up its place among them, but contradicts nothing.
+
+    No verdict meets more than ``window`` others, and no workspace is one task:
+    they come from one ordered scan (:func:`ordered.recent`).
     """
-    usable = cut_lineage(verdicts.filter(has_reason() & F.col("direction").isNotNull()).select(
-        "workspace_id", "category", "verdict_id", "direction", *order
-    ))      # read four times below
-    with_category = _contradictions_in(
-        usable.filter(F.col("category").isNotNull()), ["workspace_id", "category"], order, bucket, window
-    )
-    if all_have_category:
-        return with_category
-    whole = _contradictions_in(usable, ["workspace_id"], order, bucket, window, F.col("category").isNull())
-    return with_category.unionByName(whole)
-
-
-def _contradictions_in(
-    rows: DataFrame, keys: list[str], order: list[str], bucket: Column, window: int,
-    asking: Column | None = None,
-) -> DataFrame:
-    item = F.struct(*order, "verdict_id", "direction")
-    marked = rows.withColumn("__bucket", bucket).select(
-        *keys, "__bucket", item.alias("__item"),
-        (F.lit(True) if asking is None else asking).alias("__asks"),
-    )
-    # Last rows of every bucket: pruned before the shuffle, at most `window` each.
-    tails = (
-        ordered.first_per_key(marked, [*keys, "__bucket"], [F.col("__item").desc()], window, "__n")
-        .groupBy(*keys, "__bucket").agg(F.sort_array(F.collect_list("__item")).alias("__tail"))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(-window, -1)
-    carried = tails.withColumn("__carry", F.flatten(F.collect_list("__tail").over(earlier))).select(
-        *keys, "__bucket",
-        F.explode(F.slice("__carry", F.greatest(F.lit(1), F.size("__carry") - window + 1), window)).alias("__item"),
-    )
-    everything = marked.unionByName(carried.withColumn("__asks", F.lit(False)))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy("__item")
-    before = F.array_compact(F.array(*[F.lag("__item", i).over(inside) for i in range(1, window + 1)]))
-    seen = everything.withColumn("__before", before).filter(
-        F.col("__asks") & (F.abs("__item.direction") >= SIGNIFICANT_GAP)
-    )
-    pairs = unnest(seen, ["workspace_id", F.col("__item").alias("new")], F.col("__before"), "old")
-    opposite = (F.col("old.direction") * F.col("new.direction") < 0) & (
-        F.abs("old.direction") >= SIGNIFICANT_GAP
-    )
+    shared, ties = ["workspace_id", "category", "verdict_id", *order], ties or []
+    standing = cut_lineage(verdicts.filter(has_reason()).select(*shared, *ties, F.col("direction").cast("double").alias("direction")))
+    asking = standing
+    if ties:
+        asking = standing.groupBy(*shared).agg(F.max_by("direction", F.struct(*ties)).alias("direction"))
+    asked = asking.filter(F.abs("direction") >= SIGNIFICANT_GAP).select(
+        *shared, *[F.lit(None).cast(standing.schema[c].dataType).alias(c) for c in ties], F.lit(None).cast("double").alias("direction"),
+        F.col("direction").alias("__asks"))
+    rows = cut_lineage(standing.withColumn("__asks", F.lit(None).cast("double")).unionByName(asked))     # read by both scans below
+    # A question stands before the rows of its own verdict, so among 2 * window rows are window rows that count.
+    place = [*[F.col(c) for c in order], F.col("verdict_id"), F.col("__asks").desc_nulls_last(), *[F.col(c) for c in ties]]
+    item = F.when(F.col("__asks").isNull(), F.struct("verdict_id", "direction"))
+
+    def seen(part: DataFrame, keys: list[str]) -> DataFrame:
+        return ordered.recent(part, keys, place, item, window, "__before", 2 * window).filter("__asks IS NOT NULL")
+
+    in_category = seen(rows.filter("category IS NOT NULL"), ["workspace_id", "category"])
+    in_all = seen(rows, ["workspace_id"]).filter("category IS NULL")
+    pairs = unnest(in_category.unionByName(in_all), ["workspace_id", "verdict_id", "__asks"], F.col("__before"), "old")
+    opposite = (F.col("old.direction") * F.col("__asks") < 0) & (F.abs("old.direction") >= SIGNIFICANT_GAP)
     return pairs.filter(opposite).select(
-        "workspace_id", F.col("new.verdict_id").alias("verdict_id"), F.col("old.verdict_id").alias("old_verdict_id"),
+        "workspace_id", "verdict_id", F.col("old.verdict_id").alias("old_verdict_id"),
         F.col("old.direction").alias("old_gap"),
         F.when(F.col("old.direction") > 0, "raised").otherwise("lowered").alias("old_direction"),
     )

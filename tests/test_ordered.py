@@ -37,6 +37,24 @@ def test_running_values_and_positions(spark, seed):
     assert len(most) == len(sums) == len(places) == len(data)
 
 
+def test_recent_items_over_borders(spark):
+    """Ranges smaller than the window, hot and rare keys, items that do not count."""
+    data = rows(7, 400)
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        got = {r.id: r.last for r in ordered.recent(df, ["key"], [F.col("at"), F.col("id")], F.col("value"), 8, "last", 400).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    seen = {}
+    for i, key, _, at, value in sorted(data, key=lambda r: (r[3], r[0])):
+        before = seen.setdefault(key, [])
+        assert got[i] == before[-8:], i
+        before += [] if value is None else [value]
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ordered.positions(none, ["key"], [F.col("id")]).collect() == []

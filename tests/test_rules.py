@@ -253,7 +253,7 @@ def test_pronunciation_longest_first_whole_words(spark):
 def test_contradiction_table(spark):
     rows = [(1, 1, "x", NOW, "a", 2.0), (2, 1, "x", minutes(1), "b", -1.5), (3, 1, "x", minutes(2), "", 2.0), (4, 1, "x", minutes(3), "c", 0.5)]
     df = spark.createDataFrame(rows, "verdict_id bigint, workspace_id bigint, category string, created_at timestamp_ntz, note string, direction double")
-    got = feedback.contradictions(df, ["created_at"], F.date_trunc("day", F.col("created_at"))).collect()
+    got = feedback.contradictions(df, ["created_at"]).collect()
     assert [(r.verdict_id, r.old_verdict_id, r.old_direction) for r in got] == [(2, 1, "raised")]
 
 
