@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, languages, likelihood, packing, pages, quality, sharding, simhash, tokens, toxicity
+from . import decontaminate, languages, likelihood, merkle, negatives, packing, pages, quality, secret_scan, sharding, simhash, tokens, toxicity
 from .common import fold, ready
 from .oracles import ORACLES
 
@@ -105,6 +105,36 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return languages.predicted(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op11_merkle_manifest")
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, folder, "documents"), tampered=tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_hard_negatives")
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
+@query("op13_secret_scan")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, folder, "documents").select("doc_id", "text"))
+    kinds = [rule.kind for rule in secret_scan.BASE]
+    base = F.filter("found", lambda x: x["kind"].isin(kinds))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
