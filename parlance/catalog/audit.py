@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import audit as au
+from ..session import cut_lineage
 from .registry import query
 
 AS_OF = dt.datetime(2024, 1, 15, 12, 0, 0)
@@ -37,10 +38,74 @@ def decisions(t):
     return au.decide(t["fx_calls"], t["fx_grants"], allowed(t))
 
 
+def declared(t):
+    """Openings declare their own provider and a second one; answers to their challenges and standing grants are in force."""
+    pair = F.struct("destination", "provider")
+    second = F.struct(F.lit("search").alias("destination"), F.lit("p_search").alias("provider"))
+    openings = cut_lineage(au.opened(t["fx_openings"], t["fx_operations"]).withColumn("declares", F.array(pair, second)))
+    answers = t.sql("""SELECT event_id * 2 AS challenge_id, CASE WHEN event_id % 3 = 0 THEN 'session' WHEN event_id % 3 = 1 THEN 'operation' ELSE 'nonsense' END AS scope,
+                       CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 11 MINUTE ELSE ts + INTERVAL 2 MINUTE END AS answered_at FROM {events}""")
+    confidential = openings.filter("is_confidential AND workspace_id IS NOT NULL")
+    asked = confidential.select(
+        F.col("opening_id").alias("challenge_id"), "operation_id", (F.col("ts") + F.expr(au.PENDING_TTL)).alias("expires_at"), F.lit(False).alias("used"))
+    given = au.grants_from_challenges(answers, asked, confidential.select("operation_id", "workspace_id", "declares").dropDuplicates(["operation_id"]))
+    columns = ["workspace_id", "destination", "provider", "operation_id", "granted_at", "expires_at"]
+    return openings, given.select(*columns).unionByName(t["fx_grants"].select(*columns))
+
+
+OPENED = """
+    res AS (SELECT o.*, EXISTS (SELECT 1 FROM fx_operations p WHERE p.operation_id = o.resume_id AND p.kind = o.kind AND p.fingerprint = o.fingerprint
+                   AND p.workspace_id IS NOT DISTINCT FROM o.workspace_id AND p.expires_at > o.ts AND p.completed_at IS NULL) AS resumed FROM fx_openings o),
+    opn AS (SELECT *, CAST(CASE WHEN resumed THEN resume_id ELSE opening_id END AS VARCHAR) AS op FROM res),
+    prs AS (SELECT opening_id, ts, workspace_id, op, kind, is_confidential, destination, provider, 0 AS position FROM opn
+            UNION ALL SELECT opening_id, ts, workspace_id, op, kind, is_confidential, 'search', 'p_search', 1 FROM opn),
+    ans AS (SELECT event_id * 2 AS challenge_id, CASE WHEN event_id % 3 = 0 THEN 'session' ELSE 'operation' END AS scope,
+                   ts + CASE WHEN event_id % 5 = 0 THEN INTERVAL 11 MINUTE ELSE INTERVAL 2 MINUTE END AS at FROM events WHERE event_id % 3 <> 2),
+    giv AS (SELECT p.workspace_id, p.destination, p.provider, CASE WHEN scope = 'operation' THEN p.op END AS operation_id, a.at AS granted_at,
+                   a.at + CASE WHEN scope = 'session' THEN INTERVAL 8 HOUR ELSE INTERVAL 15 MINUTE END AS expires_at
+            FROM ans a JOIN prs p ON p.opening_id = a.challenge_id AND p.is_confidential AND p.workspace_id IS NOT NULL AND a.at < p.ts + INTERVAL 10 MINUTE
+            UNION ALL SELECT workspace_id, destination, provider, operation_id, granted_at, expires_at FROM fx_grants),
+    mis AS (SELECT * FROM prs p WHERE is_confidential AND workspace_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM giv g WHERE g.workspace_id = p.workspace_id
+            AND g.destination = p.destination AND g.provider = p.provider AND g.granted_at <= p.ts AND p.ts < g.expires_at AND (g.operation_id IS NULL OR g.operation_id = p.op)))"""
+LOGGED = """
+    lg AS (SELECT 'call' AS source, id AS source_id, workspace_id, operation_id, module, destination, provider, endpoint, summary, ts AS created_at, status, error_class, n_chars FROM decided
+           UNION ALL SELECT 'opening', opening_id, workspace_id, op, kind, destination, provider, provider || ':(chưa gọi)', 'Bị chặn: hồ sơ mật chưa cho phép ' || kind, ts, 'blocked', NULL, 0 FROM mis)"""
+
+
 @query("a1_log_rows", f"""
-    WITH {DECISIONS} SELECT id, workspace_id, operation_id, destination, provider, status, error_class, n_chars FROM decided""")
+    WITH {DECISIONS}, {OPENED}, {LOGGED} SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM lg""")
 def log_rows(t):
-    return au.append_rows(decisions(t)).drop("created_at")
+    """Rows of all calls, and of all pairs that openings missed."""
+    openings, given = declared(t)
+    rows = au.append_rows(decisions(t), au.missing_at_opening(openings, given))
+    return rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("a1_challenges", f"""
+    WITH {OPENED} SELECT opening_id AS challenge_id, op AS operation_id, workspace_id, count(*) AS n_missing, strftime(ts + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS expires_at
+    FROM mis GROUP BY opening_id, op, workspace_id, ts""")
+def opened_challenges(t):
+    openings, given = declared(t)
+    made = au.challenges(au.missing_at_opening(openings, given))
+    return made.withColumn("expires_at", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss")).drop("used")
+
+
+@query("a1_operation_states", f"""
+    WITH {DECISIONS}, {OPENED},
+    ev AS (SELECT op AS operation_id, workspace_id, 'open' AS e, ts, opening_id, NULL AS status FROM opn
+           UNION ALL SELECT DISTINCT op, workspace_id, 'refused', ts, opening_id, NULL FROM mis
+           UNION ALL SELECT operation_id, workspace_id, 'call', ts, NULL, status FROM decided WHERE operation_id IS NOT NULL),
+    f AS (SELECT operation_id, workspace_id, count(*) FILTER (e = 'open') AS n_openings, count(*) FILTER (e = 'refused') AS n_refused,
+                 count(*) FILTER (status LIKE 'attempt%') AS n_attempted, count(*) FILTER (status = 'blocked') AS n_blocked,
+                 max(strftime(ts, '%Y%m%d%H%M%S%f') || '-' || CAST(opening_id AS VARCHAR)) FILTER (e = 'open') AS last_open,
+                 max(strftime(ts, '%Y%m%d%H%M%S%f') || '-' || CAST(opening_id AS VARCHAR)) FILTER (e = 'refused') AS last_refused FROM ev GROUP BY 1, 2)
+    SELECT operation_id, workspace_id, n_openings, n_refused, n_attempted, n_blocked,
+           CASE WHEN last_open = last_refused THEN 'waiting' WHEN n_openings > 0 THEN 'open' ELSE 'unknown' END AS state FROM f""")
+def operation_states(t):
+    """Openings, refusals and calls folded per operation."""
+    openings, given = declared(t)
+    missing = cut_lineage(au.missing_at_opening(openings, given))
+    return au.operation_states(openings, missing, au.append_rows(decisions(t), missing))
 
 
 @query("a2_recent_log", "SELECT id, workspace_id, provider, status, n_chars FROM fx_audit ORDER BY id DESC LIMIT 300")

@@ -1,5 +1,8 @@
 """Document operators on the driver tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -206,18 +209,88 @@ def language_override(t):
     return docs.override_language(t["fx_doc_list"], manual).select("doc_id", "language", "language_source")
 
 
-@query("d19_ingest_statistics", """
-    WITH c AS (SELECT doc_id, count(*) AS n FROM fx_turn_chunks GROUP BY 1)
+@query("d19_ingest_statistics", f"""
+    WITH {BLOCKS}, {LANGS}, {SPLITS}, {CLASSES}, c AS (SELECT doc_id, count(*) AS n FROM fx_turn_chunks GROUP BY 1),
+    z AS (SELECT doc_id, sum(length(t)) AS chars FROM blocks GROUP BY 1)
     SELECT d.doc_id, d.workspace_id, CASE WHEN n > 0 THEN 'ready' ELSE 'error' END AS status,
-           CASE WHEN n > 0 THEN 'vi' ELSE 'unknown' END AS language, 'ok' AS extraction_quality,
-           CASE WHEN n > 0 THEN 'plain' END AS extractor, CASE WHEN n > 0 THEN length(d.text) ELSE 0 END AS n_chars,
+           CASE WHEN n > 0 THEN coalesce(k.language, 'unknown') ELSE 'unknown' END AS language, CASE WHEN coalesce(chars, 0) < 120 THEN 'low' ELSE 'ok' END AS extraction_quality,
+           CASE WHEN n > 0 THEN 'plain' END AS extractor, CAST(CASE WHEN n > 0 THEN coalesce(chars, 0) ELSE 0 END AS BIGINT) AS n_chars,
            coalesce(n, 0) AS n_chunks
-    FROM fx_documents d LEFT JOIN c ON c.doc_id = d.doc_id""")
+    FROM fx_documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN classified k ON k.doc_id = d.doc_id""")
 def ingest_statistics(t):
-    rows = t["fx_documents"].select("doc_id", "workspace_id", F.lit("vi").alias("language"), F.array("text").alias("blocks"))
+    """Labels, blocks and quality as the ingest computes them; the chunks are the turns of conversations."""
+    rows = docs.reject_low_text(docs.classify(blocks_of(t))).withColumn("extraction_quality", F.when(F.col("is_low_text"), "low").otherwise("ok"))
     return docs.ingest_statistics(rows, t["fx_turn_chunks"])
 
 
+#: Every table of the cascade as (id, parent id) over the given tables.
+FAMILY = {
+    "workspaces": ("c_custkey", None, "customer"),
+    "engagements": ("o_orderkey", "o_custkey", "orders"),
+    "documents": ("doc_id", "doc_id % 1000", "documents"),
+    "document_chunks": ("conv_id * 1000 + turn", "conv_id", "conversations"),
+    "vectors": ("vec_id", "vec_id % 700", "embeddings"),
+    "qa_history": ("event_id", "user_id", "events"),
+    "research_runs": ("page_id", "page_id % 1000", "pages"),
+    "profiles": ("o_orderkey", "o_custkey", "orders"),
+    "profile_fields": ("l_orderkey * 10 + l_linenumber", "l_orderkey", "lineitem"),
+    "profile_sources": ("l_orderkey * 100 + l_linenumber", "l_orderkey * 10 + l_linenumber", "lineitem"),
+    "glossary": ("p_partkey", "p_partkey % 1000", "part"),
+    "glossary_conflicts": ("l_orderkey * 10 + l_linenumber", "l_partkey", "lineitem"),
+    "mock_sessions": ("o_orderkey", "o_custkey", "orders"),
+    "mock_turns": ("l_orderkey * 10 + l_linenumber", "l_orderkey", "lineitem"),
+    "turn_attempts": ("l_orderkey * 100 + l_linenumber", "l_orderkey * 10 + l_linenumber", "lineitem"),
+    "scores": ("l_orderkey * 1000 + l_suppkey", "l_orderkey * 100 + l_linenumber", "lineitem"),
+    "expert_verdicts": ("l_orderkey * 1000 + l_partkey", "l_orderkey * 100 + l_linenumber", "lineitem"),
+}
+
+
+def family(t):
+    tables = {}
+    for name, (key, parent, source) in FAMILY.items():
+        columns = [F.expr(f"CAST({key} AS BIGINT)").alias("id")]
+        if parent:
+            columns.append(F.expr(f"CAST({parent} AS BIGINT)").alias(docs.FOREIGN_KEYS[name][0]))
+        tables[name] = t[source].select(*columns)
+    return tables
+
+
+def cascade_oracle(root: str, gone: str) -> str:
+    """Which ids go, table by table, and what is left of each."""
+    parts, told, lost = [f"g_{root} AS ({gone})"], [], {root}
+    for name, (key, parent, source) in FAMILY.items():
+        owner = docs.FOREIGN_KEYS.get(name, (None, None))[1]
+        rows = f"SELECT CAST({key} AS BIGINT) AS id, CAST({parent or 'NULL'} AS BIGINT) AS parent FROM {source}"
+        if name == root:
+            left = f"SELECT id FROM ({rows}) x WHERE id NOT IN (SELECT id FROM g_{root})"
+        elif owner in lost:
+            lost.add(name)
+            parts.append(f"g_{name} AS (SELECT DISTINCT id FROM ({rows}) x WHERE parent IN (SELECT id FROM g_{owner}))")
+            left = f"SELECT id FROM ({rows}) x WHERE parent NOT IN (SELECT id FROM g_{owner})"
+        else:
+            left = f"SELECT id FROM ({rows}) x"
+        told.append(f"SELECT '{name}' AS table_name, count(*) AS n, CAST(coalesce(sum(id), 0) AS BIGINT) AS id_sum FROM ({left}) y")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(told)}"
+
+
+def left_of(t, root, deleted):
+    left = docs.cascade_delete(family(t), root, deleted)
+    parts = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("id_sum")).select(F.lit(name).alias("table_name"), "n", "id_sum")
+             for name, df in {**{n: df for n, df in family(t).items() if n not in left}, **left}.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("d20_workspace_cascade", cascade_oracle("workspaces", "SELECT c_custkey AS id FROM customer WHERE c_nationkey < 8"))
+def workspace_cascade(t):
+    """All sixteen foreign keys under workspaces: what is left when the customers of some nations go."""
+    return left_of(t, "workspaces", t["customer"].filter("c_nationkey < 8").select(F.col("c_custkey").cast("bigint")))
+
+
+@query("d20_document_cascade", cascade_oracle("documents", "SELECT doc_id AS id FROM documents WHERE lang = 'fr'"))
+def document_cascade(t):
+    return left_of(t, "documents", t["documents"].filter("lang = 'fr'").select("doc_id"))
+
+
 @query("d20_cascade_delete", """
     WITH gone AS (SELECT id FROM fx_sessions WHERE status = 'generated'),
     s AS (SELECT 'mock_sessions' AS table_name, count(*) AS n FROM fx_sessions WHERE id NOT IN (SELECT id FROM gone)),

@@ -138,8 +138,28 @@ VIEWS: dict[str, str] = {
         SELECT id, created_at AS ts, workspace_id, provider, destination, n_chars,
                CASE WHEN id % 29 = 0 THEN NULL ELSE operation_id END AS operation_id,
                workspace_id % 2 = 0 AS is_confidential,
-               CASE WHEN status = 'attempt_failed' THEN 'TimeoutError' END AS provider_error
+               CASE WHEN status = 'attempt_failed' THEN 'TimeoutError' END AS provider_error,
+               CASE destination WHEN 'llm' THEN 'qa' WHEN 'search' THEN 'research' ELSE 'speech' END AS module,
+               provider || ':v1' AS endpoint, destination || ' ' || CAST(id AS STRING) AS summary
         FROM {fx_audit}""",
+    # operations are asked for once and again some minutes later; the second time names the first
+    "fx_openings": """
+        SELECT event_id * 2 AS opening_id, CAST(NULL AS BIGINT) AS resume_id,
+               CASE WHEN user_id % 11 = 0 THEN NULL ELSE user_id END AS workspace_id, user_id % 2 = 0 AS is_confidential,
+               event_type AS kind, props AS fingerprint, ts AS ts,
+               CASE user_id % 4 WHEN 0 THEN 'llm' WHEN 1 THEN 'search' ELSE 'tts' END AS destination,
+               CASE user_id % 4 WHEN 0 THEN 'p_llm' WHEN 1 THEN 'p_search' WHEN 2 THEN 'p_tts1' ELSE 'p_tts2' END AS provider
+        FROM {events}
+        UNION ALL SELECT event_id * 2 + 1 AS opening_id, event_id * 2 AS resume_id,
+               CASE WHEN user_id % 11 = 0 THEN NULL ELSE user_id END AS workspace_id, user_id % 2 = 0 AS is_confidential,
+               CASE WHEN event_id % 7 = 0 THEN 'other' ELSE event_type END AS kind, props AS fingerprint, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL '20' MINUTE ELSE ts + INTERVAL '5' MINUTE END AS ts,
+               CASE user_id % 4 WHEN 0 THEN 'llm' WHEN 1 THEN 'search' ELSE 'tts' END AS destination,
+               CASE user_id % 4 WHEN 0 THEN 'p_llm' WHEN 1 THEN 'p_search' WHEN 2 THEN 'p_tts1' ELSE 'p_tts2' END AS provider
+        FROM {events}""",
+    "fx_operations": """
+        SELECT event_id * 2 AS operation_id, CASE WHEN user_id % 11 = 0 THEN NULL ELSE user_id END AS workspace_id, event_type AS kind,
+               props AS fingerprint, ts + INTERVAL '15' MINUTE AS expires_at, CASE WHEN event_id % 6 = 0 THEN ts END AS completed_at
+        FROM {events}""",
     "fx_declares": """
         SELECT DISTINCT operation_id, 0 AS position, destination, provider,
                CASE WHEN workspace_id % 3 = 0 THEN 1 ELSE 2 END AS unit_calls,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import retrieval as rt
+from ..session import cut_lineage
 from .registry import query
 
 HITS = """
@@ -72,6 +73,18 @@ def nearest(t):
     return rt.nearest(questions(t), t["fx_vectors"], 10).select("query_id", "rank", "chunk_id", "document_id", "distance")
 
 
+@query("r3_nearest_by_pass", """
+    WITH pairs AS (SELECT q.chunk_id AS query_id, c.chunk_id, c.document_id,
+                     round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) + 0.0 AS distance
+              FROM fx_vectors q JOIN fx_vectors c ON c.workspace_id = q.workspace_id WHERE q.chunk_id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank, chunk_id, document_id, distance
+    FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 10""")
+def nearest_by_pass(t):
+    """Every fiftieth vector asks, against all vectors."""
+    asked = t["fx_vectors"].filter(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "workspace_id", "embedding")
+    return rt.nearest_by_pass(asked, t["fx_vectors"], 10).select("query_id", "rank", "chunk_id", "document_id", "distance")
+
+
 @query("r3_nearest_in_scope", """
     WITH pairs AS (SELECT q.chunk_id AS query_id, c.chunk_id, c.document_id,
                      round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) + 0.0 AS distance
@@ -156,7 +169,8 @@ def citations(t):
 
 @query("r10_citation_fallback", f"WITH {POOL}, {ROBIN}, {BODIES}, {CITED} SELECT * FROM cited UNION ALL SELECT * FROM fallback")
 def citation_fallback(t):
-    return rt.resolve_citations(answers(t), hits(t), bodies(t), names(t))
+    """The hits are cut once; the answers, the citations and the fallback read them."""
+    return rt.resolve_citations(answers(t), cut_lineage(hits(t)), bodies(t), names(t))
 
 
 @query("r11_answer_state", """

@@ -5,15 +5,25 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import documents as docs
 from ..operators import glossary as gl
+from ..session import run_dir
 from ..sources import files, sinks, tables
 from .registry import query
 from .sqltext import BLOCKS, strip
 
 
+def wanted_workspaces(t):
+    """Those of the nations of one region."""
+    return t["nation"].filter(F.col("n_regionkey") == 1).select((F.col("n_nationkey") % 5).cast("int").alias("workspace_id"))
+
+
 @query("s1_document_scan", """
-    SELECT workspace_id, status, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM fx_documents GROUP BY 1, 2""")
+    SELECT workspace_id, status, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM fx_documents
+    WHERE workspace_id IN (SELECT n_nationkey % 5 FROM nation WHERE n_regionkey = 1) GROUP BY 1, 2""")
 def document_scan(t):
-    rows = t["fx_documents"]
+    """All documents laid out by workspace, then those of the wanted ones, from their folders alone."""
+    path = run_dir(t.spark, "documents")
+    tables.write_by_workspace(t["fx_documents"], path)
+    rows = tables.scan(t.spark, path, wanted_workspaces(t), ["workspace_id", "status", "n_chars"])
     return rows.groupBy("workspace_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -55,10 +65,12 @@ def table_rows(t):
 
 @query("s6_vector_scan", """
     SELECT document_id, workspace_id, count(*) AS n_vectors FROM fx_vectors
-    WHERE document_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1, 2""")
+    WHERE document_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND workspace_id IN (SELECT n_nationkey % 5 FROM nation WHERE n_regionkey = 1) GROUP BY 1, 2""")
 def vector_scan(t):
+    path = run_dir(t.spark, "vectors")
+    tables.write_by_workspace(t["fx_vectors"], path)
     wanted = t["labels"].filter(F.col("quality") == 1).select(F.col("doc_id").alias("document_id"))
-    rows = t["fx_vectors"].join(wanted, "document_id", "left_semi")
+    rows = tables.scan_vectors(t.spark, path, wanted_workspaces(t), wanted)
     return rows.groupBy("document_id", "workspace_id").agg(F.count(F.lit(1)).alias("n_vectors"))
 
 
@@ -84,6 +96,28 @@ def glossary_export(t):
     return gl.export_rows(t["fx_glossary"])
 
 
+@query("s10_repeated_append", """
+    SELECT id, workspace_id, n_chars, status, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch_id, 'audit' AS source FROM fx_audit""")
+def repeated_append(t):
+    """The log in two batches, of which one is written twice, as after a failure."""
+    path = run_dir(t.spark, "log")
+    rows = t["fx_audit"].select("id", "workspace_id", "n_chars", "status")
+    for batch, rest in (("even", 0), ("odd", 1), ("even", 0)):
+        sinks.append_batch(rows.filter(F.col("id") % 2 == rest), path, batch, "audit")
+    return t.spark.read.parquet(path).drop("row_hash")
+
+
+@query("s11_audit_export", """
+    SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, workspace_id, provider, destination, status, n_chars, operation_id FROM fx_audit""")
+def audit_export(t):
+    """The whole log, newest first, as CSV files that are read back with their schema."""
+    path = run_dir(t.spark, "export")
+    rows = t["fx_audit"].select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "workspace_id",
+                                "provider", "destination", "status", "n_chars", "operation_id")
+    sinks.export_ordered(rows, path, F.col("id").desc())
+    return sinks.import_csv(t.spark, path, rows.schema)
+
+
 @query("d4_normalised_text", rf"""
     SELECT doc_id, length(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g'))) AS n_chars,
            sha256(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g'))) AS text_hash FROM documents""")

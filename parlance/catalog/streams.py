@@ -13,7 +13,7 @@ from ..operators import audit as au
 from ..session import run_dir
 from ..streaming import audit as sa
 from ..streaming import documents as sd
-from .audit import ALLOWED, allowed
+from .audit import ALLOWED, CONSENT, allowed
 from .glossary import FOLD as STANDING_FOLD
 from .registry import query
 
@@ -21,15 +21,21 @@ from .registry import query
 FOLD = STANDING_FOLD.replace("s.term_vi_norm = r.term_key", "s.term_vi_norm = r.term_key AND false")
 
 
-def as_stream(t, df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """A table as a file stream whose files are ordered ranges of ``order``, one per micro-batch."""
-    base = run_dir(t.spark, "stream")
-    df.repartitionByRange(files, order).sortWithinPartitions(order).withColumn(
-        "__range", F.spark_partition_id()).write.partitionBy("__range").parquet(f"{base}/ranges")
-    ranges = t.spark.read.parquet(f"{base}/ranges").select("__range").distinct().collect()
-    for number in sorted(row[0] for row in ranges):     # one after the other: the source takes the oldest file first
-        t.spark.read.schema(df.schema).parquet(f"{base}/ranges/__range={number}").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+def as_stream(t, df: DataFrame, order: str, files: int = 4, rows_per_file: int = 250_000) -> DataFrame:
+    """A table as a file stream whose files are ordered ranges of ``order``, one per micro-batch.
+
+    There are ``files`` of them, or more if the table is large; one job writes all.
+    """
+    folder = f"{run_dir(t.spark, 'stream')}/in"
+    files = max(files, -(-df.count() // rows_per_file))
+    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
+    # The source takes the oldest file first, so their times follow their numbers.
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(t.spark._jsparkSession.sessionState().newHadoopConf())
+    written = sorted(str(f.getPath()) for f in store.listStatus(path) if f.getPath().getName().startswith("part-"))
+    for number, name in enumerate(written):
+        store.setTimes(t.spark._jvm.org.apache.hadoop.fs.Path(name), 1_700_000_000_000 + number * 1000, -1)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def drained(t, stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -58,24 +64,38 @@ def windowed_counts(t):
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("st2_consented_requests", """
-    SELECT r.id FROM fx_calls r WHERE EXISTS (SELECT 1 FROM fx_grants g WHERE g.workspace_id = r.workspace_id AND g.granted_at <= r.ts AND r.ts < g.expires_at
-           AND (g.operation_id IS NULL OR g.operation_id = r.operation_id))""")
+@query("st2_consented_requests", f"WITH {CONSENT} SELECT ok.id, has_consent FROM ok")
 def consented_requests(t):
-    requests = timed(t["fx_calls"], "ts").select("id", "ts", "workspace_id", "operation_id")
-    grants = timed(t["fx_grants"], "granted_at", "expires_at").select("workspace_id", "operation_id", "granted_at", "expires_at")
-    matched = sa.consented(as_stream(t, requests, "ts", 1), as_stream(t, grants, "granted_at", 1))
-    return drained(t, matched).select("id")
+    """Both sides end with beats some days later, of workspaces that do not exist, so that every verdict is out."""
+    keys = ["workspace_id", "destination", "provider"]
+    requests = timed(t["fx_calls"], "ts").select("id", "ts", "operation_id", *keys)
+    grants = timed(t["fx_grants"], "granted_at", "expires_at").select("operation_id", "granted_at", "expires_at", *keys)
+    ends = requests.agg(F.max("ts").alias("end")).select("end", F.explode(F.array(F.lit(1), F.lit(2))).alias("days"))
+
+    def with_beats(df: DataFrame, column: str, workspace: int) -> DataFrame:
+        """No column is NULL that the join asks for: such rows are filtered before they move the watermark."""
+        beats = ends.select((F.col("end") + F.make_dt_interval(days=F.col("days"))).alias(column), F.lit(workspace).cast("bigint").alias("workspace_id"),
+                            F.lit("").alias("destination"), F.lit("").alias("provider"))
+        if "expires_at" in df.columns:
+            beats = beats.withColumn("expires_at", F.col(column))
+        return df.unionByName(beats, allowMissingColumns=True)
+
+    verdicts = sa.consented(as_stream(t, with_beats(requests, "ts", -1), "ts"), as_stream(t, with_beats(grants, "granted_at", -2), "granted_at"), keys)
+    return drained(t, verdicts).filter("id IS NOT NULL").select("id", "has_consent")
+
+
+# Operations end in the evening; what they declared comes with each call.
+ENDS = "CAST(substr(operation_id, -10) AS TIMESTAMP) + INTERVAL '18' HOUR"
 
 
 @query("st3_admitted_calls", f"""
-    WITH {ALLOWED}, n AS (SELECT *, row_number() OVER (PARTITION BY operation_id, destination, provider ORDER BY ts, id) AS call_no
-                          FROM fx_calls WHERE operation_id IS NOT NULL)
-    SELECT n.id, n.operation_id, n.destination, n.provider, coalesce(call_no <= allowed_calls, false) AS admitted FROM n LEFT JOIN allowed a
+    WITH {ALLOWED}, e AS (SELECT *, {ENDS} AS expires_at FROM fx_calls),
+    n AS (SELECT *, row_number() OVER (PARTITION BY operation_id, destination, provider, ts < expires_at ORDER BY ts, id) AS call_no FROM e)
+    SELECT n.id, n.operation_id, n.destination, n.provider, coalesce(n.ts < n.expires_at AND call_no <= allowed_calls, false) AS admitted FROM n LEFT JOIN allowed a
     ON a.operation_id = n.operation_id AND a.destination = n.destination AND a.provider = n.provider""")
 def admitted_calls(t):
-    calls = timed(t["fx_calls"], "ts").filter(F.col("operation_id").isNotNull()).join(allowed(t), au.CALL_KEY, "left").select(
-        "id", "ts", *au.CALL_KEY, F.coalesce("allowed_calls", F.lit(0)).cast("int").alias("allowed_calls"))
+    calls = timed(t["fx_calls"], "ts").withColumn("expires_at", F.expr(ENDS).cast("timestamp")).join(allowed(t), au.CALL_KEY, "left").select(
+        "id", "ts", *au.CALL_KEY, "expires_at", F.coalesce("allowed_calls", F.lit(0)).cast("int").alias("allowed_calls"))
     return drained(t, sa.admitted_calls(as_stream(t, calls, "ts")))
 
 
@@ -97,8 +117,8 @@ def first_arrivals(t):
     FROM judged GROUP BY 1, 2""")
 def glossary_stream(t):
     folder = run_dir(t.spark, "glossary")
-    table = sd.GlossaryTable(f"{folder}/table", buckets=8)
+    log = sd.GlossaryLog(f"{folder}/log")
     source = as_stream(t, t["fx_candidates"], "seq", 3)
-    started = sd.upsert_stream(source, table, f"{folder}/state").trigger(availableNow=True).start()
+    started = sd.upsert_stream(source, log, f"{folder}/state").trigger(availableNow=True).start()
     started.awaitTermination()
-    return table.read(t.spark).select("workspace_id", "term_vi_norm", "term_vi", "term_en", "confidence", "status", "frequency")
+    return log.read(t.spark).select("workspace_id", "term_vi_norm", "term_vi", "term_en", "confidence", "status", "frequency")

@@ -16,6 +16,9 @@ OVERSIZED_CHARS = 40_000
 MAX_PAYLOAD_CHARS = 60_000
 OPERATION_TTL = "INTERVAL 15 MINUTES"
 SESSION_TTL = "INTERVAL 8 HOURS"
+PENDING_TTL = "INTERVAL 10 MINUTES"
+NOT_CALLED = ":(chưa gọi)"
+BLOCKED_SUMMARY = "Bị chặn: hồ sơ mật chưa cho phép "
 RATE_LIMIT_WAIT = 20
 RATE_LIMIT_MAX_WAIT = 60
 RETRY_DELAY = r"retryDelay['\"\s:]*(\d+)s"
@@ -253,12 +256,84 @@ def decide(
     )
 
 
-def append_rows(decisions: DataFrame) -> DataFrame:
-    """Rows for the audit log: one per call, stopped ones included, each with the size of its payload."""
-    return decisions.select(
-        "id", "workspace_id", "operation_id", "destination", "provider", F.col("ts").alias("created_at"),
-        "status", "error_class",
-        "n_chars",
+# ------------------------------------------------------------------ life of an operation
+
+LOG = ["source", "source_id", "workspace_id", "operation_id", "module", "destination", "provider", "endpoint", "summary",
+       "created_at", "status", "error_class", "n_chars"]
+
+
+def opened(openings: DataFrame, operations: DataFrame) -> DataFrame:
+    """Adds ``operation_id`` and ``resumed``: the operation that is named and fits (:func:`resumable`), or a new one.
+
+    openings: opening_id, resume_id (NULL if none is named), workspace_id, kind,
+    fingerprint, ts and more. A new operation has the id of its opening.
+    """
+    asked = openings.withColumnRenamed("opening_id", "request_id")
+    return resumable(asked, operations).withColumnRenamed("request_id", "opening_id").withColumn(
+        "operation_id", F.when(F.col("resumed"), F.col("resume_id").cast("string")).otherwise(F.col("opening_id").cast("string"))
+    )
+
+
+def missing_at_opening(openings: DataFrame, grants: DataFrame) -> DataFrame:
+    """Declared pairs that a confidential opening has no grant for at its time, in their order.
+
+    openings: as :func:`opened` returns them, with is_confidential and declares
+    (array of structs). All consent is asked for here, once per opening.
+    """
+    pairs = openings.filter(F.col("is_confidential") & F.col("workspace_id").isNotNull()).select(
+        "opening_id", "ts", "workspace_id", "operation_id", "kind", F.posexplode("declares").alias("position", "d")
+    ).select("opening_id", "ts", "workspace_id", "operation_id", "kind", "position", "d.destination", "d.provider",
+             F.concat_ws("-", "opening_id", "position").alias("id"))
+    return with_consent(pairs, grants).filter(~F.col("has_consent")).drop("id", "has_consent")
+
+
+def challenges(missing: DataFrame) -> DataFrame:
+    """One challenge per opening that misses something; it waits for an answer for ten minutes."""
+    return missing.groupBy(F.col("opening_id").alias("challenge_id"), "operation_id", "workspace_id", "ts").agg(
+        F.count(F.lit(1)).alias("n_missing")
+    ).withColumn("expires_at", F.col("ts") + F.expr(PENDING_TTL)).withColumn("used", F.lit(False)).drop("ts")
+
+
+def blocked_rows(missing: DataFrame) -> DataFrame:
+    """Rows for the audit log of what an opening was refused: one per missing pair, without payload."""
+    return missing.select(
+        F.lit("opening").alias("source"), F.col("opening_id").alias("source_id"), "workspace_id", "operation_id", F.col("kind").alias("module"),
+        "destination", "provider", F.concat("provider", F.lit(NOT_CALLED)).alias("endpoint"), F.concat(F.lit(BLOCKED_SUMMARY), "kind").alias("summary"),
+        F.col("ts").alias("created_at"), F.lit("blocked").alias("status"), F.lit(None).cast("string").alias("error_class"),
+        F.lit(0).cast("bigint").alias("n_chars"),
+    )
+
+
+def append_rows(decisions: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """Rows for the audit log: one per call, stopped ones included, with the size of its payload, and one per pair an opening missed.
+
+    decisions: as :func:`decide` returns them, with module, endpoint and summary
+    (NULL where a log does not have them).
+    """
+    absent = {c: F.lit(None).cast("string") for c in ("module", "endpoint", "summary") if c not in decisions.columns}
+    calls = decisions.withColumns({**absent, "source": F.lit("call"), "source_id": F.col("id"), "created_at": F.col("ts")}).select(*LOG)
+    return calls if missing is None else calls.unionByName(blocked_rows(missing))
+
+
+def operation_states(openings: DataFrame, missing: DataFrame, log: DataFrame) -> DataFrame:
+    """Every operation folded from its events: openings, refusals and calls, in one shuffle.
+
+    A last opening that missed something leaves it waiting for an answer.
+    """
+    def events(df: DataFrame, kind: str, at: str, **more: Column) -> DataFrame:
+        return df.select("operation_id", "workspace_id", F.col(at).alias("at"), F.lit(kind).alias("event"),
+                         *[more.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("opening_id", "bigint"), ("status", "string"))])
+
+    refused = missing.select("operation_id", "workspace_id", "ts", "opening_id").distinct()
+    everything = events(openings, "open", "ts", opening_id=F.col("opening_id")).unionByName(
+        events(refused, "refused", "ts", opening_id=F.col("opening_id"))).unionByName(
+        events(log.filter(F.col("source") == "call"), "call", "created_at", status=F.col("status")))
+    last = lambda event: F.max(F.when(F.col("event") == event, F.struct("at", "opening_id")))
+    return everything.filter("operation_id IS NOT NULL").groupBy("operation_id", "workspace_id").agg(
+        F.count_if(F.col("event") == "open").alias("n_openings"), F.count_if(F.col("event") == "refused").alias("n_refused"),
+        F.count_if(attempted()).alias("n_attempted"), F.count_if(F.col("status") == "blocked").alias("n_blocked"),
+        F.when(last("open").eqNullSafe(last("refused")) & last("open").isNotNull(), "waiting").when(last("open").isNotNull(), "open")
+        .otherwise("unknown").alias("state"),
     )
 
 

@@ -279,7 +279,8 @@ def override_language(documents: DataFrame, overrides: DataFrame) -> DataFrame:
 def ingest_statistics(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """What ingestion writes back: status, character and chunk counts.
 
-    documents: doc_id, workspace_id, language, blocks. A document without chunks
+    documents: doc_id, workspace_id, language, blocks and extraction_quality (all
+    "ok" without it). A document without chunks
     has failed and shows no language and no characters.
     """
     counted = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
@@ -291,7 +292,7 @@ def ingest_statistics(documents: DataFrame, chunks: DataFrame) -> DataFrame:
             "doc_id", "workspace_id",
             F.when(ok, "ready").otherwise("error").alias("status"),
             F.when(ok, F.col("language")).otherwise("unknown").alias("language"),
-            F.lit("ok").alias("extraction_quality"),
+            (F.col("extraction_quality") if "extraction_quality" in documents.columns else F.lit("ok")).alias("extraction_quality"),
             F.when(ok, "plain").alias("extractor"),
             F.when(ok, total_length(F.col("blocks"))).otherwise(0).alias("n_chars"),
             "n_chunks",

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ordered
 from ..functions import text as tx
-from ..functions.arrays import unnest
-from ..session import cut_lineage
+from ..functions.sided import in_front
 from . import counts
 
 # ---- fixed values ----
@@ -536,100 +539,93 @@ def pronunciation_map(glossary: DataFrame) -> DataFrame:
     )
 
 
-def _word_set(text: Column) -> Column:
-    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    return F.array_distinct(tokens)
-
-
-def _with_rarest_word(mapping: DataFrame) -> DataFrame:
-    """Adds ``__word``: the word of the surface that fewest surfaces of the workspace have."""
-    words = unnest(mapping, mapping.columns, F.array_append(_word_set(F.col("surface")), F.lit("")), "__word")
-    used = words.groupBy("workspace_id", "__word").agg(F.count(F.lit(1)).alias("__n"))
-    rank = F.struct((F.col("__word") == "").alias("last"), F.col("__n"), F.col("__word"))
-    return words.join(used, ["workspace_id", "__word"]).groupBy(*mapping.columns).agg(
-        F.min(rank)["__word"].alias("__word")
-    )
-
-
-def _with_fixed_words(surfaces: DataFrame) -> DataFrame:
-    """Adds ``__fixed``: the words of the surface that no hint of the workspace has."""
-    brought = surfaces.select("workspace_id", F.explode(_word_set(F.col("hint"))).alias("__w")).distinct()
-    words = unnest(surfaces, surfaces.columns, _word_set(F.col("surface")), "__w")
-    fixed = words.join(brought, ["workspace_id", "__w"], "left_anti").groupBy("workspace_id", "surface").agg(F.collect_set("__w").alias("__fixed"))
-    return surfaces.join(fixed, ["workspace_id", "surface"], "left").withColumn("__fixed", F.coalesce("__fixed", F.array().cast("array<string>")))
-
-
-def apply_pronunciation(texts: DataFrame, mapping: DataFrame) -> DataFrame:
+def apply_pronunciation(texts: DataFrame, mapping: DataFrame, splits: int = 32) -> DataFrame:
     """Texts with every known surface replaced by its hint: ``spoken`` and ``applied``.
 
     texts: workspace_id, text_id, lang, text. Only Vietnamese texts change.
     Longer surfaces go first, matches are whole words and ignore case.
 
-    A surface can only match where all of its words occur, so surfaces meet
-    texts through their rarest word instead of every text meeting the whole
-    glossary. A hint put into the text may itself hold another surface's word;
-    the surfaces reachable that way are added before the replacement runs.
+    The surfaces of a workspace stream into the tasks in front of its texts and
+    become a trie of words there; each text is walked through it, rewritten, and
+    walked again, so that a hint can bring another surface's word. A workspace's
+    texts are dealt over ``splits`` tasks.
     """
-    surfaces = _with_rarest_word(mapping)
-    reach = _reachable(surfaces)
-    vi = texts.filter(F.col("lang") == "vi")
-    # A surface without any word character has "" as its word and meets every text.
-    tokens = unnest(
-        vi, ["workspace_id", "text_id"], F.array_append(_word_set(F.col("text")), F.lit("")), "__word"
-    )
-    columns = ["workspace_id", "text_id", "surface", "hint", "first_id", "side"]
-    met = tokens.join(_with_fixed_words(surfaces), ["workspace_id", "__word"]).select(*columns, "__fixed")
-    # The rarest word is there; the others must be there too, unless a hint of the workspace may bring them.
-    lowered = vi.select("workspace_id", "text_id", F.lower("text").alias("__low"))
-    direct = met.join(lowered, ["workspace_id", "text_id"]).filter(
-        F.forall(F.col("__fixed"), lambda w: F.contains(F.col("__low"), w))
-    ).select(*[c for c in columns if c != "__fixed"])
-    indirect = direct.select("workspace_id", "text_id", F.col("surface").alias("__from")).join(
-        reach, ["workspace_id", "__from"]
-    ).select(*columns)
-    usable = direct.unionByName(indirect).distinct()
-    rule = F.struct(
-        (-F.length("surface")).alias("order"), "first_id", "side", "surface", "hint",
-    )
-    rules = usable.groupBy("workspace_id", "text_id").agg(F.sort_array(F.collect_list(rule)).alias("__rules"))
-
-    def replace(acc: Column, r: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), tx.quote_pattern(r["surface"]),
-                           F.lit(r"(?![\p{L}\p{N}_])"))
-        found = F.rlike(acc["spoken"], pattern)
-        return F.struct(
-            F.regexp_replace(acc["spoken"], pattern, tx.quote_replacement(r["hint"])).alias("spoken"),
-            F.when(found, F.array_append(acc["applied"], r["surface"])).otherwise(acc["applied"]).alias("applied"),
-        )
-
-    start = F.struct(F.col("text").alias("spoken"), F.array().cast("array<string>").alias("applied"))
-    replaced = vi.join(rules, ["workspace_id", "text_id"], "left").withColumn(
-        "__out",
-        F.aggregate(F.coalesce("__rules", F.array().cast(rules.schema["__rules"].dataType)), start, replace),
-    ).select(*texts.columns, "__out.spoken", "__out.applied")
-    rest = texts.filter(~F.col("lang").eqNullSafe("vi")).select(
-        *texts.columns, F.col("text").alias("spoken"), F.array().cast("array<string>").alias("applied")
-    )
+    vi = F.col("lang").eqNullSafe("vi")
+    order = [F.col(f"__side.{c}") for c in ("first_id", "side", "surface")]
+    stream = in_front(texts.filter(vi), mapping.select("workspace_id", "surface", "hint", "first_id", "side"), "workspace_id", "text_id",
+                      [-F.length("__side.surface"), *order], splits)
+    result = T.StructType([T.StructField("row", texts.schema), T.StructField("spoken", T.StringType()), T.StructField("applied", T.ArrayType(T.StringType()))])
+    place = texts.columns.index("text")
+
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surfaces, held = Surfaces(), None
+        for batch in batches:
+            sides, rows, out = batch.column(2), batch.column(3), []
+            kept = rows.is_valid().to_numpy(zero_copy_only=False)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            spoken_texts = rows.field(place).to_pylist()
+            for at, (key, side) in enumerate(zip(keys, sides.to_pylist())):
+                if key != held:
+                    surfaces, held = Surfaces(), key
+                if kept[at]:
+                    out.append(surfaces.applied_to(spoken_texts[at]))
+                else:
+                    surfaces.add(side["surface"], side["hint"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.filter(pa.array(kept)), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.string()))],
+                names=["row", "spoken", "applied"])
+
+    replaced = stream.mapInArrow(speak, result).select("row.*", "spoken", "applied")
+    rest = texts.filter(~vi).select(*texts.columns, F.col("text").alias("spoken"), F.array().cast("array<string>").alias("applied"))
     return replaced.unionByName(rest)
 
 
-def _reachable(surfaces: DataFrame) -> DataFrame:
-    """(workspace_id, __from, surface, ...) pairs: the hint of one leads to the other."""
-    hints = surfaces.select(
-        "workspace_id", F.col("surface").alias("__from"), F.explode(_word_set(F.col("hint"))).alias("__word")
-    )
-    target = ["surface", "hint", "first_id", "side"]
-    edges = hints.join(surfaces, ["workspace_id", "__word"]).select("workspace_id", "__from", *target).distinct()
-    reach = edges = cut_lineage(edges)
-    fresh = edges
-    step = edges.withColumnRenamed("__from", "__via")
-    while not fresh.isEmpty():
-        further = (
-            fresh.select("workspace_id", "__from", F.col("surface").alias("__via"))
-            .join(step, ["workspace_id", "__via"]).select("workspace_id", "__from", *target).distinct()
-        )
-        fresh = cut_lineage(further.join(reach, ["workspace_id", "__from", "surface"], "left_anti").select(
-            "workspace_id", "__from", *target
-        ))
-        reach = reach.unionByName(fresh)
-    return reach
+_TOKENS = re.compile(r"\w+|\W")
+
+
+def _folded(token: str) -> str:
+    """Equal for all tokens that are equal without case (and for a few that are not)."""
+    return token.replace("İ", "i").replace("ı", "i").casefold()
+
+
+class Surfaces:
+    """A trie over the tokens of surfaces, in the order in which they are replaced."""
+
+    def __init__(self):
+        self.root: dict = {}
+        self.rules: list[tuple[str, re.Pattern, str]] = []
+
+    def add(self, surface: str, hint: str) -> None:
+        """The next surface. Where two are equal without case, both have their turn."""
+        node = self.root
+        for token in _TOKENS.findall(surface):
+            node = node.setdefault(_folded(token), {})
+        # No token is empty, so "" is free for the numbers of the rules that end here.
+        node.setdefault("", []).append(len(self.rules))
+        self.rules.append((surface, re.compile(rf"(?<!\w){re.escape(surface)}(?!\w)", re.IGNORECASE), hint))
+
+    def _present(self, text: str, after: int) -> list[int]:
+        """Numbers above ``after`` of the surfaces that may stand in the text, ascending."""
+        tokens = [_folded(t) for t in _TOKENS.findall(text)]
+        found = set()
+        for start in range(len(tokens)):
+            node, at = self.root, start
+            while at < len(tokens) and (node := node.get(tokens[at])) is not None:
+                found.update(n for n in node.get("", ()) if n > after)
+                at += 1
+        return sorted(found)
+
+    def applied_to(self, text: str | None) -> tuple[str | None, list[str]]:
+        """The text with all surfaces replaced, each once and in turn, and those that were."""
+        applied, last = [], -1
+        while text:
+            for number in self._present(text, last):
+                last = number
+                surface, pattern, hint = self.rules[number]
+                if pattern.search(text):
+                    text = pattern.sub(lambda _: hint, text)
+                    applied.append(surface)
+                    break       # the hint may have brought another
+            else:
+                break
+        return text, applied

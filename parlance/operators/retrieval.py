@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions import text as tx
 from ..functions import vectors
+from ..functions.sided import on_first_row
 
 # ---- fixed values ----
 TOP_K = 10
@@ -25,6 +28,8 @@ DISTANCE_DIGITS = 6
 
 CHUNKS_PER_CELL = 20_000
 QUERIES_PER_CELL = 1_000
+#: Bytes of question vectors that one pass over the chunks takes along.
+QUESTION_BYTES = 16 << 20
 
 
 def pool_size(k: int) -> int:
@@ -134,6 +139,66 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, **cells) -> DataFrame
     return ordered.first_per_key(cell_topk(queries, chunks, k, **cells), ["query_id"], order, k)
 
 
+def nearest_by_pass(questions: DataFrame, chunks: DataFrame, k: int, blocks: int = 1) -> DataFrame:
+    """Like :func:`nearest`, for questions that fit into broadcast blocks: chunks stay where they are.
+
+    The questions of a block (QUESTION_BYTES at most; with more of them
+    ``blocks`` must grow, or the query stops) ride on the first row of every
+    partition of the chunks. One pass over the chunk files multiplies batches
+    with the block and keeps k chunks per question; only those are shuffled.
+    """
+    if "scope" not in questions.columns:
+        questions = questions.withColumn("scope", F.lit(None).cast("array<bigint>"))
+    asked = questions.filter(F.col("workspace_id").isNotNull()).select("query_id", "workspace_id", F.col("embedding").cast("array<double>").alias("embedding"), "scope")
+    held = chunks.select("workspace_id", "chunk_id", "document_id", "embedding")
+    fits = F.sum(8 * (F.size("embedding") + F.greatest(F.size("scope"), F.lit(0)))) <= QUESTION_BYTES
+    parts = []
+    for block in range(blocks):
+        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
+        rows = F.collect_list(F.struct(*asked.columns))
+        single = mine.agg(F.when(F.coalesce(fits, F.lit(True)), rows).otherwise(
+            F.raise_error(F.lit("questions of a block exceed its bytes: raise blocks"))).alias("__asked"))
+        parts.append(on_first_row(held, single).mapInArrow(_pass(k), "query_id bigint, chunk_id bigint, document_id bigint, distance double"))
+    return ordered.first_per_key(reduce(DataFrame.unionByName, parts), ["query_id"], [F.col("distance"), F.col("chunk_id")], k)
+
+
+def _pass(k: int):
+    """Nearest ``k`` chunks of a partition for each question on its first row."""
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = None, None
+        for batch in batches:
+            if batch.num_rows and batch.column(4)[0].is_valid:
+                rows = batch.column(4)[0].as_py()
+                asked = [r["query_id"] for r in rows], np.array([r["workspace_id"] for r in rows]), \
+                    _unit_rows(pd.Series([r["embedding"] for r in rows])) if rows else None, [r["scope"] for r in rows]
+                best = tuple(np.zeros(0, kind) for kind in ("int64", "float64", "int64", "int64"))
+            if not asked or not asked[0] or not batch.num_rows:
+                continue
+            workspace, chunk, document = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            vectors = _unit_rows(pd.Series(batch.column(3).to_pylist()))
+            distance = np.round(1.0 - asked[2] @ vectors.T, DISTANCE_DIGITS) + 0.0
+            distance[asked[1][:, None] != workspace[None, :]] = np.inf
+            for row, scope in enumerate(asked[3]):
+                if scope is not None:
+                    distance[row, ~np.isin(document, scope)] = np.inf
+            if distance.shape[1] > 4 * k:       # what is beyond the k-th of this batch cannot count, ties of it can
+                distance[distance > np.partition(distance, k - 1, axis=1)[:, k - 1 : k]] = np.inf
+            row, column = np.nonzero(np.isfinite(distance))
+            met = [np.concatenate(pair) for pair in zip(best, (row, distance[row, column], chunk[column], document[column]))]
+            order = np.lexsort((met[2], met[1], met[0]))
+            met = [m[order] for m in met]
+            starts = np.flatnonzero(np.r_[True, met[0][1:] != met[0][:-1]]) if len(met[0]) else np.zeros(0, "int64")
+            place = np.arange(len(met[0])) - np.repeat(starts, np.diff(np.r_[starts, len(met[0])]))
+            best = tuple(m[place < k] for m in met)
+        if best is not None and len(best[0]):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(asked[0], "int64")[best[0]]), pa.array(best[2].astype("int64")), pa.array(best[3].astype("int64")), pa.array(best[1])],
+                names=["query_id", "chunk_id", "document_id", "distance"])
+
+    return hits
+
+
 def round_robin(hits: DataFrame, k: int) -> DataFrame:
     """k hits per query, taking each document's best before any second best.
 

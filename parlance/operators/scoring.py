@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,7 @@ from ..functions import numbers as nm
 from ..functions import ordered
 from ..functions import text as tx
 from ..functions.arrays import unnest
+from ..functions.sided import on_first_row
 from .feedback import CRITERIA
 
 # ---- fixed values ----
@@ -25,7 +27,8 @@ CEILING_STEP = 2.5
 FENCE = r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$"
 # ---- end of fixed values ----
 
-ANCHOR_TOKENS = 8
+#: Bytes of different candidates that one automaton holds at most.
+BLOCK_BYTES = 32 << 20
 
 
 def duration_bounds() -> tuple[int, int]:
@@ -116,13 +119,7 @@ def distinct_terms(matched: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ verbatim proof
 
 
-def _token(tokens: Column, index: int) -> Column:
-    return F.element_at(tokens, index)
-
-
-def verbatim(
-    candidates: DataFrame, documents: DataFrame, keys: Sequence[str] = (), anchor_tokens: int = ANCHOR_TOKENS
-) -> DataFrame:
+def verbatim(candidates: DataFrame, documents: DataFrame, keys: Sequence[str] = (), blocks: int = 1) -> DataFrame:
     """Which candidates occur word for word in some document with the same ``keys``.
 
     candidates: candidate_id, text and keys. documents: doc_id, text and keys.
@@ -130,79 +127,62 @@ def verbatim(
     without case and punctuation; a candidate may start or end inside a word,
     an empty one never matches.
 
-    Every candidate is filed under one anchor that any document containing it
-    must have: a run of ``anchor_tokens`` inner words, or its longest inner word
-    when it is short, or its first letters when it has no inner word. (The first
-    and last word are left out, as they may be parts of longer words.) Documents
-    emit their anchors, an equi-join proposes pairs, and ``contains`` on the
-    whole texts decides. Each kind of anchor is only emitted if a candidate
-    needs it.
+    The different candidates become one automaton per block, which finds all of
+    them in one scan of a text; documents are neither shuffled nor paired with
+    candidates, and a task keeps two numbers per candidate. A block is broadcast
+    and holds BLOCK_BYTES of candidates at most; with more of them ``blocks``
+    must grow (the query stops otherwise), and each block scans the documents.
     """
     keys = list(keys)
+    known = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
     prepared = candidates.withColumn("__norm", tx.squash(F.col("text")))
-    tokens = F.split("__norm", " ")
-    inner = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda t, i: F.struct(F.length(t), -i, t.alias("t"))))["t"]
-    kind = (
-        F.when(F.size(tokens) >= anchor_tokens + 2, "run").when(F.size(tokens) >= 3, "word")
-        .when(F.length("__norm") >= 3, "letters3").otherwise(F.concat(F.lit("letters"), F.length("__norm")))
-    )
-    anchor = (
-        F.when(F.col("__kind") == "run", F.array_join(F.slice(inner, 1, anchor_tokens), " "))
-        .when(F.col("__kind") == "word", longest)
-        .otherwise(F.substring("__norm", 1, 3))
-    )
-    distinct = (
-        prepared.filter(F.col("__norm") != "").groupBy(*keys, "__norm")
-        .agg(F.min("candidate_id").alias("__cid"))
-        .withColumn("__kind", kind).withColumn("__anchor", F.xxhash64(F.col("__kind"), anchor))
-    )
-    kinds = {row[0] for row in distinct.select("__kind").distinct().collect()}   # at most five values
-
-    texts = documents.select(*keys, "doc_id", tx.squash(F.col("text")).alias("__doc"))
-    words = F.col("__words")
-
-    def emitted(name: str) -> Column:
-        if name == "run":
-            return F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(words) - anchor_tokens + 1, F.lit(1))),
-                lambda i: F.array_join(F.slice(words, i, anchor_tokens), " "),
-            )
-        if name == "word":
-            return words
-        n = int(name[-1])
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("__doc") - n + 1, F.lit(1))),
-            lambda i: F.substring(F.col("__doc"), i, F.lit(n)),
-        )
-
-    def anchors_of(name: str) -> DataFrame:
-        hashed = F.transform(emitted(name), lambda a: F.xxhash64(F.lit(name), a))
-        split = texts.withColumn("__words", F.split("__doc", " "))
-        return unnest(split, [*keys, "doc_id"], F.array_distinct(hashed), "__anchor")
-
-    anchors = [anchors_of(name) for name in sorted(kinds)]
-    result = [*candidates.columns, "is_verbatim", "n_documents", "first_doc_id"]
-    if not anchors:
-        return candidates.withColumns({
-            "is_verbatim": F.lit(False), "n_documents": F.lit(0).cast("bigint"),
-            "first_doc_id": F.lit(None).cast("bigint"),
-        })
-    proposals = reduce(DataFrame.unionByName, anchors).join(
-        distinct.select(*keys, "__anchor", "__cid"), [*keys, "__anchor"]
-    ).select("doc_id", "__cid").distinct()
-    proven = (
-        texts.select("doc_id", "__doc").join(proposals, "doc_id")
-        .join(distinct.select("__cid", "__norm"), "__cid")
-        .filter(F.contains("__doc", "__norm"))
-        .groupBy("__cid").agg(F.count(F.lit(1)).alias("__n"), F.min("doc_id").alias("__first"))
-    )
+    distinct = prepared.filter(F.col("__norm") != "").dropna(subset=keys).groupBy(*keys, "__norm").agg(F.min("candidate_id").alias("__cid"))
+    texts = documents.select(known.alias("__key"), "doc_id", tx.squash(F.col("text")).alias("__doc"))
+    id_types = [candidates.schema["candidate_id"].dataType, documents.schema["doc_id"].dataType]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(("__cid", "__n", "__first"), (id_types[0], T.LongType(), id_types[1]))])
+    small = F.sum(F.octet_length("__norm")) <= BLOCK_BYTES
+    parts = []
+    for block in range(blocks):
+        mine = distinct.filter(F.pmod(F.xxhash64("__norm"), F.lit(blocks)) == block) if blocks > 1 else distinct
+        patterns = F.collect_list(F.struct(known.alias("key"), F.col("__norm").alias("norm"), F.col("__cid").alias("cid")))
+        single = mine.agg(F.when(small, patterns).otherwise(F.raise_error(F.lit("candidates of a block exceed its bytes: raise blocks"))).alias("__patterns"))
+        parts.append(on_first_row(texts, single).mapInArrow(_occurrences, schema))
+    proven = reduce(DataFrame.unionByName, parts).groupBy("__cid").agg(F.sum("__n").alias("__n"), F.min("__first").alias("__first"))
     found = distinct.join(proven, "__cid").select(*keys, "__norm", "__n", "__first")
     return prepared.join(found, [*keys, "__norm"], "left").withColumns({
         "is_verbatim": F.col("__n").isNotNull(),
         "n_documents": F.coalesce("__n", F.lit(0)),
         "first_doc_id": F.col("__first"),
-    }).select(*result)
+    }).select(*candidates.columns, "is_verbatim", "n_documents", "first_doc_id")
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(candidate, documents that hold it, least of them) of a partition whose first row brings the candidates."""
+    import ahocorasick
+
+    automaton, owners, found = ahocorasick.Automaton(), [], {}
+    for batch in batches:
+        if batch.num_rows and batch.column(3)[0].is_valid:
+            places = {}
+            for pattern in batch.column(3)[0].as_py():
+                if pattern["norm"] not in places:
+                    places[pattern["norm"]] = len(owners)
+                    automaton.add_word(pattern["norm"], len(owners))
+                    owners.append({})
+                owners[places[pattern["norm"]]][pattern["key"]] = pattern["cid"]
+            if owners:
+                automaton.make_automaton()
+        if not owners:
+            continue
+        for key, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for place in {place for _, place in automaton.iter(text or "")}:
+                if key in owners[place]:
+                    n, first = found.get(owners[place][key], (0, None))
+                    found[owners[place][key]] = n + 1, doc if first is None or (doc is not None and doc < first) else first
+    if found:
+        kinds = [batch.column(3).type.value_type.field("cid").type, pa.int64(), batch.column(1).type]
+        columns = [list(found), [n for n, _ in found.values()], [first for _, first in found.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["__cid", "__n", "__first"])
 
 
 def first_parallel_document(documents: DataFrame, document_texts: DataFrame) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.audit import CALL_KEY, attempted
 
-BUDGET_TTL_MS = 15 * 60 * 1000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def windowed_counts(log: DataFrame, length: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -25,12 +25,19 @@ def windowed_counts(log: DataFrame, length: str = "1 hour", lateness: str = "10
     )
 
 
-def consented(requests: DataFrame, grants: DataFrame, keys: tuple[str, ...] = ("workspace_id",),
+def consented(requests: DataFrame, grants: DataFrame, keys: Sequence[str] = ("workspace_id", "destination", "provider"),
               lateness: str = "10 minutes", ttl: str = "8 hours") -> DataFrame:
-    """Requests with a grant in force when they were made (stream–stream semi join).
+    """Every request with its verdict: id, ts, keys and has_consent, once the watermark allows it.
 
-    Watermarks on both sides and the longest life of a grant bound the state. A
-    grant that arrives later than its watermark authorises nothing.
+    requests: id (unique), ts, operation_id and keys. grants: granted_at,
+    expires_at, operation_id (NULL for any) and keys; none lives longer than
+    ``ttl``. A grant covers requests from granted_at until expires_at, also if it
+    arrives after them, unless the watermark has passed it: such a grant
+    authorises nothing. A covered request comes out with its first grant, a
+    refused one when no grant can cover it any more.
+
+    The left outer interval join keeps requests until the watermark passes them
+    and grants for their life; several grants of a request become one row.
     """
     r = requests.withWatermark("ts", lateness).alias("r")
     g = grants.withWatermark("granted_at", lateness).alias("g")
@@ -42,35 +49,75 @@ def consented(requests: DataFrame, grants: DataFrame, keys: tuple[str, ...] = ("
     )
     for key in keys:
         condition = condition & (F.col(f"r.{key}") == F.col(f"g.{key}"))
-    return r.join(g, condition, "left_semi")
-
-
-def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Admitted calls of one (operation, destination, provider); the state is one number."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    used = state.get[0] if state.exists else 0
-    calls = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], ignore_index=True)
-    # calls of a key share one budget, so the admitted ones are simply the first that fit
-    admitted = used + 1 + calls.index.to_numpy() <= calls["allowed_calls"].to_numpy()
-    state.update((int(used + admitted.sum()),))
-    end = int(calls["ts"].iloc[-1].timestamp() * 1000) + BUDGET_TTL_MS
-    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({
-        "id": calls["id"], "operation_id": key[0], "destination": key[1], "provider": key[2], "admitted": admitted,
-    })
+    met = r.join(g, condition, "left_outer").select("r.id", "r.ts", *[f"r.{k}" for k in keys], F.col("g.granted_at").isNotNull().alias("has_consent"))
+    return met.dropDuplicatesWithinWatermark(["id"])
+
+
+class CallBudget(StatefulProcessor):
+    """Verdicts on the calls of one (operation, destination, provider).
+
+    The state is the number of admitted calls and the end of the operation; a
+    timer at that end clears it. The calls of a batch pass by one at a time:
+    of those before the end, the first by (ts, id) are kept as far as the budget
+    goes, and a call that drops out of them is refused at once.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.timers = handle
+        self.operation = handle.getValueState("operation", "used int, ends bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        def verdict(call: int, admitted: bool) -> Row:
+            return Row(id=call, operation_id=key[0], destination=key[1], provider=key[2], admitted=admitted)
+
+        known = self.operation.exists()
+        used, ends = self.operation.get() if known else (0, None)
+        first: list[tuple[int, int]] = []       # the latest of them on top
+        for row in rows:
+            ends = row.ends if ends is None else ends
+            free = row.allowed_calls - used
+            if ends is None or row.at >= ends or free <= 0:
+                yield verdict(row.id, False)
+            elif len(first) < free:
+                heapq.heappush(first, (-row.at, -row.id))
+            else:
+                yield verdict(-heapq.heappushpop(first, (-row.at, -row.id))[1], False)
+        for _, call in first:
+            yield verdict(-call, True)
+        if first:
+            self.operation.update((used + len(first), ends))
+            if not known:
+                self.timers.registerTimer(-(-ends // 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.operation.clear()
+        return iter(())
 
 
 def admitted_calls(calls: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Budget admission of a call stream. calls: CALL_KEY, id, ts, allowed_calls.
+    """Budget admission of a call stream. calls: CALL_KEY, id, ts, allowed_calls, expires_at.
 
-    Calls of one key are counted in arrival order of the micro-batches and by
-    (ts, id) inside one. A key is forgotten when event time passes the life of
-    an operation after its last call.
+    ``expires_at`` is the end of the call's operation (NULL if none was opened):
+    calls from then on are refused, however quiet the operation was before, and
+    its state goes when event time passes it. Calls of one key are counted in
+    the order of the micro-batches and by (ts, id) inside one. Calls without a
+    full key belong to no operation and are refused without any state.
     """
-    return calls.withWatermark("ts", lateness).groupBy(*CALL_KEY).applyInPandasWithState(
-        _admit,
-        outputStructType="id bigint, operation_id string, destination string, provider string, admitted boolean",
-        stateStructType="used int", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    use_rocksdb(calls.sparkSession)
+    verdict = "id bigint, operation_id string, destination string, provider string, admitted boolean"
+    known = F.lit(True)
+    for key in CALL_KEY:
+        known = known & F.col(key).isNotNull()
+    orphans = calls.filter(~known).select("id", *CALL_KEY, F.lit(False).alias("admitted"))
+    # Moments travel as microseconds, which have no time zone.
+    timed = calls.filter(known).withWatermark("ts", lateness).select(
+        "ts", "id", *CALL_KEY, "allowed_calls", F.unix_micros("ts").alias("at"), F.unix_micros("expires_at").alias("ends"))
+    counted = timed.groupBy(*CALL_KEY).transformWithState(
+        CallBudget(), outputStructType=verdict, outputMode="append", timeMode="eventTime",
     )
+    return counted.unionByName(orphans)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Processors with their own state need the store that has column families."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

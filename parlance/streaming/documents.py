@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import glossary as gl
 from ..operators.documents import content_hash
+from ..sources.sinks import append_batch
+from .audit import use_rocksdb
 
 
 def first_arrivals(uploads: DataFrame, time_column: str, lateness: str = "1 hour") -> DataFrame:
@@ -18,69 +23,99 @@ def first_arrivals(uploads: DataFrame, time_column: str, lateness: str = "1 hour
     )
 
 
-class GlossaryTable:
-    """Glossary kept in a folder and updated per micro-batch.
+TEXTS = ["term_vi", "term_en", "pronunciation", "definition", "category", "confidence", "source_type", "source_ref"]
+TERM = ", ".join(f"{c} string" for c in TEXTS) + ", frequency bigint, en_key string, rank int, changes bigint"
+CHANGE = "kind string, workspace_id bigint, term_key string, " + TERM
+
 
-    Rows live in ``bucket=<hash of the term>/version=<batch>`` folders. A batch
-    rewrites only the buckets it touches and reads versions older than itself,
-    so running it again after a failure gives the same folders. The newest
-    version of each bucket is the table.
+class TermFold(StatefulProcessor):
+    """The glossary row of one (workspace, term), folded over its candidates in ``seq`` order.
+
+    State: the row with its rank and how often it has changed, and the other
+    translations that were refused, one entry each. A batch puts out the row
+    once and every refusal that is new. Only the candidates of the term in the
+    present micro-batch are in memory.
     """
 
-    def __init__(self, path: str, buckets: int = 64):
-        self.path, self.buckets = path.rstrip("/"), buckets
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64("workspace_id", "term_vi_norm"), F.lit(self.buckets)).cast("int")
-
-    def _exists(self, spark: SparkSession, folder: str) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        folder = f"{self.path}/terms"
-        if not self._exists(spark, folder):
-            return None
-        rows = spark.read.parquet(folder)
-        if before is not None:
-            rows = rows.filter(F.col("version") < before)
-        # One row per bucket: `buckets` rows at most, so the hint is safe at any size.
-        newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-        return rows.join(F.broadcast(newest), ["bucket", "version"])
-
-    def read_conflicts(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        folder = f"{self.path}/conflicts"
-        if not self._exists(spark, folder):
-            return None
-        rows = spark.read.parquet(folder)
-        return rows if before is None else rows.filter(F.col("version") < before)
-
-    def apply(self, batch: DataFrame, version: int) -> None:
-        """Merge one batch of candidates (``foreachBatch`` callback)."""
-        spark = batch.sparkSession
-        current = self.read(spark, version)
-        touched = batch.select("workspace_id", gl.tx.term_key(F.col("term_vi")).alias("term_vi_norm")).filter(
-            F.col("term_vi_norm") != ""
-        ).select(self._bucket().alias("bucket")).distinct()
-        result = gl.upsert(batch, current, self.read_conflicts(spark, version))
-        terms = result.glossary.withColumn("bucket", self._bucket())
-        if current is not None:
-            # untouched terms of the touched buckets move along into the new version
-            kept = current.join(F.broadcast(touched), "bucket", "left_semi").join(
-                result.glossary.select("workspace_id", "term_vi_norm"), ["workspace_id", "term_vi_norm"], "left_anti"
-            )
-            terms = terms.unionByName(kept.select(*terms.columns))
-        self._write(terms.withColumn("version", F.lit(version)), "terms", "bucket", "version")
-        self._write(result.conflicts.withColumn("version", F.lit(version)), "conflicts", "version")
-
-    def _write(self, rows: DataFrame, name: str, *partitions: str) -> None:
-        (rows.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*partitions).parquet(f"{self.path}/{name}"))
-
-
-def upsert_stream(candidates: DataFrame, table: GlossaryTable, checkpoint: str):
-    """Starts the query that keeps ``table`` up to date with a candidate stream."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.term = handle.getValueState("term", TERM)
+        self.refused = handle.getMapState("refused", "term_en string", "seen boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now = dict(zip([*TEXTS, "frequency", "en_key", "rank", "changes"], self.term.get())) if self.term.exists() else None
+        changed = False
+        for row in sorted(rows, key=lambda r: r.seq):
+            if now is None:
+                now = {c: row[c] for c in TEXTS} | {"frequency": 1, "en_key": row.en_key, "rank": row.rank, "changes": 0}
+            elif row.en_key == now["en_key"]:
+                now["frequency"] += 1
+                for field in ("pronunciation", "definition"):
+                    now[field] = now[field] or row[field]
+            elif row.rank > now["rank"]:
+                kept = {field: row[field] or now[field] for field in ("pronunciation", "definition")}
+                now |= {c: row[c] for c in TEXTS if c != "term_vi"} | kept | {"frequency": now["frequency"] + 1, "en_key": row.en_key, "rank": row.rank}
+            else:
+                if not self.refused.containsKey((row.term_en,)):
+                    self.refused.updateValue((row.term_en,), (True,))
+                    yield Row(kind="conflict", workspace_id=key[0], term_key=key[1], **{c: row[c] for c in TEXTS}, frequency=1,
+                              en_key=row.en_key, rank=row.rank, changes=0)
+                continue
+            changed = True
+        if changed:
+            now["changes"] += 1
+            self.term.update(tuple(now.values()))
+            yield Row(kind="term", workspace_id=key[0], term_key=key[1], **now)
+
+    def close(self) -> None:
+        pass
+
+
+def folded_terms(candidates: DataFrame) -> DataFrame:
+    """Changed glossary rows and new refusals of a candidate stream (update mode).
+
+    candidates: workspace_id, seq and the candidate fields. ``changes`` numbers
+    the versions of a term: the highest is the term. Candidates whose term has no
+    letter are dropped; seq must ascend from batch to batch.
+    """
+    use_rocksdb(candidates.sparkSession)
+    keyed = candidates.select(
+        F.col("workspace_id").cast("bigint").alias("workspace_id"), F.col("seq").cast("bigint").alias("seq"), *TEXTS,
+        gl.tx.term_key(F.col("term_vi")).alias("term_key"), gl.tx.term_key(F.col("term_en")).alias("en_key"),
+        gl.trust_rank(F.lit("auto"), F.col("confidence")).cast("int").alias("rank"),
+    ).filter(F.col("term_key") != "")
+    return keyed.groupBy("workspace_id", "term_key").transformWithState(TermFold(), outputStructType=CHANGE, outputMode="Update", timeMode="none")
+
+
+class GlossaryLog:
+    """The changes of a glossary stream as appended batches; a batch that is written again replaces itself."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        """``foreachBatch`` callback: rows in proportion to the terms that changed."""
+        append_batch(batch, self.path, str(epoch), "glossary stream", "kind")
+
+    def _rows(self, spark: SparkSession, kind: str) -> DataFrame:
+        rows = spark.read.schema(f"{CHANGE}, source string, row_hash bigint, batch_id string").parquet(self.path)
+        return rows.filter(F.col("kind") == kind)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The glossary: of every term the row with most changes."""
+        fields = [*TEXTS, "frequency"]
+        newest = self._rows(spark, "term").groupBy("workspace_id", F.col("term_key").alias("term_vi_norm")).agg(
+            F.max_by(F.struct(*fields), "changes").alias("t"))
+        return newest.select("workspace_id", "term_vi_norm", *[F.col(f"t.{c}").alias(c) for c in fields], F.lit("auto").alias("status"))
+
+    def read_conflicts(self, spark: SparkSession) -> DataFrame:
+        return self._rows(spark, "conflict").select(
+            "workspace_id", "term_key", F.col("term_en").alias("proposed_term_en"), F.nullif("definition", F.lit("")).alias("proposed_definition"),
+            "source_ref", "confidence")
+
+
+def upsert_stream(candidates: DataFrame, log: GlossaryLog, checkpoint: str):
+    """Starts the query that keeps ``log`` up to date with a candidate stream."""
     return (
-        candidates.writeStream.foreachBatch(lambda batch, epoch: table.apply(batch, epoch))
+        folded_terms(candidates).writeStream.outputMode("update").foreachBatch(lambda batch, epoch: log.write(batch, epoch))
         .option("checkpointLocation", checkpoint)
     )
