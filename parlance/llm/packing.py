@@ -36,6 +36,13 @@ SLICE = 1 << 20
 TAIL, PLAIN = string.punctuation.replace("'", ""), "\u024f"
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that byte-level models write for each byte: itself if it is visible, else the next from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [byte for byte in range(0x100) if byte not in visible]
+    return {byte: chr(byte) for byte in visible} | {byte: chr(0x100 + place) for place, byte in enumerate(hidden)}
+
+
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit numbers.
 
@@ -48,6 +55,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(definition)
+        self.model, self.signs = self.tokenizer.model, byte_signs()
         self.end = np.array([end_id], "<u4").tobytes()
         self.ids = Memo(self._encode, limit=1_000_000)
         #: What the tokenizer looks for as it is written, before it lowers anything.
@@ -57,8 +65,13 @@ class WordEncoder:
         text = word.decode()
         body = text.rstrip(TAIL)
         # Lower case may end in a mark that joins the punctuation, so it must be letters as well.
-        if body != text and body.lower().isalpha() and max(body) <= PLAIN:
-            return self.ids[body.encode()] + self.ids[text[len(body) :].encode()]
+        lowered = body.lower()
+        if lowered.isalpha() and max(body) <= PLAIN:
+            if body != text:
+                return self.ids[body.encode()] + self.ids[text[len(body) :].encode()]
+            # Plain letters are composed and are one pre-token: what is left to do is the model's.
+            signs = lowered.encode().decode("latin-1").translate(self.signs)
+            return struct.pack(f"<{len(tokens := self.model.tokenize(signs))}I", *[token.id for token in tokens])
         return struct.pack(f"<{len(ids := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
