@@ -118,7 +118,7 @@ PIECES = rf"""{BLOCKS}, sentences AS (
         SELECT doc_id, i, n, arg_max(line, k) AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY i, n) AS p FROM fill GROUP BY doc_id, i, n)"""
 
 
-@query("d13_chunks", f"""
+CHUNKS = f"""
     WITH RECURSIVE {PIECES}, {LANGS}, last AS (SELECT doc_id, max(i) - 1 AS top FROM blocks GROUP BY 1),
     marked AS (SELECT p.doc_id, p.p, p.piece, p.i - 1 AS i, l.lang FROM pieces p JOIN labelled l ON l.doc_id = p.doc_id AND l.i = p.i),
     walk AS (
@@ -142,7 +142,10 @@ PIECES = rf"""{BLOCKS}, sentences AS (
            CASE WHEN vi + en = 0 THEN 'unknown' WHEN vi >= en THEN 'vi' ELSE 'en' END AS lang, CAST(block_start AS INT) AS block_start,
            CAST(coalesce(m.i, l.top) AS INT) AS block_end
     FROM closed c JOIN fx_documents d ON d.doc_id = c.doc_id JOIN last l ON l.doc_id = c.doc_id
-    LEFT JOIN marked m ON m.doc_id = c.doc_id AND m.p = c.p + 1 WHERE trim(joined, ' ' || chr(10) || chr(9) || chr(13)) <> ''""")
+    LEFT JOIN marked m ON m.doc_id = c.doc_id AND m.p = c.p + 1 WHERE trim(joined, ' ' || chr(10) || chr(9) || chr(13)) <> ''"""
+
+
+@query("d13_chunks", CHUNKS)
 def chunks(t):
     return chunking.chunk_documents(docs.label_blocks(blocks_of(t)))
 
@@ -155,7 +158,9 @@ def block_pieces(t):
         F.count(F.lit(1)).alias("n_pieces"), F.max(F.length("piece")).alias("longest"), F.sum(F.length("piece")).alias("chars"))
 
 
-@query("d12_chunk_sizes")
+@query("d12_chunk_sizes", f"""
+    SELECT workspace_id, lang, count(*) AS n_chunks, max(length(text)) AS longest, CAST(sum(length(text)) AS BIGINT) AS chars
+    FROM ({CHUNKS}) c GROUP BY 1, 2""")
 def chunk_sizes(t):
     rows = flows.ingest(t["fx_documents"].select("doc_id", "workspace_id", "filename", "text"), SEPARATOR).chunks
     return rows.groupBy("workspace_id", "lang").agg(

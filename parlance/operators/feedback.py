@@ -90,20 +90,17 @@ def contradictions(verdicts: DataFrame, order: list[str], ties: list[str] | None
     they come from one ordered scan (:func:`ordered.recent`).
     """
     shared, ties = ["workspace_id", "category", "verdict_id", *order], ties or []
-    standing = cut_lineage(verdicts.filter(has_reason()).select(*shared, *ties, F.col("direction").cast("double").alias("direction")))
-    asking = standing
-    if ties:
-        asking = standing.groupBy(*shared).agg(F.max_by("direction", F.struct(*ties)).alias("direction"))
-    asked = asking.filter(F.abs("direction") >= SIGNIFICANT_GAP).select(
-        *shared, *[F.lit(None).cast(standing.schema[c].dataType).alias(c) for c in ties], F.lit(None).cast("double").alias("direction"),
-        F.col("direction").alias("__asks"))
-    rows = cut_lineage(standing.withColumn("__asks", F.lit(None).cast("double")).unionByName(asked))     # read by both scans below
-    # A question stands before the rows of its own verdict, so among 2 * window rows are window rows that count.
-    place = [*[F.col(c) for c in order], F.col("verdict_id"), F.col("__asks").desc_nulls_last(), *[F.col(c) for c in ties]]
-    item = F.when(F.col("__asks").isNull(), F.struct("verdict_id", "direction"))
+    standing = verdicts.filter(has_reason()).select(*shared, *ties, F.col("direction").cast("double").alias("direction"))
+    asks = F.col("direction")
+    if ties:        # a verdict has as many rows as its attempt has scores; the first of them asks
+        own = Window.partitionBy(*shared)
+        first = F.row_number().over(own.orderBy(*ties)) == 1
+        asks = F.when(first, F.max_by("direction", F.struct(*ties)).over(own))
+    rows = cut_lineage(standing.withColumn("__asks", F.when(F.abs(asks) >= SIGNIFICANT_GAP, asks)))     # read by both scans below
+    place = [F.col(c) for c in (*order, "verdict_id", *ties)]
 
     def seen(part: DataFrame, keys: list[str]) -> DataFrame:
-        return ordered.recent(part, keys, place, item, window, "__before", 2 * window).filter("__asks IS NOT NULL")
+        return ordered.recent(part, keys, place, F.struct("verdict_id", "direction"), window, "__before").filter("__asks IS NOT NULL")
 
     in_category = seen(rows.filter("category IS NOT NULL"), ["workspace_id", "category"])
     in_all = seen(rows, ["workspace_id"]).filter("category IS NULL")
