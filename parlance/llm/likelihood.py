@@ -9,11 +9,13 @@ weights; the expected piece counts over the lattices of all different rare words
 the training texts, times the words' counts, give the final ones.
 
 Pieces alone spell frequent words too dearly. So the lattice of a frequent training
-word has one more edge, for the word as a whole, with a weight from its counts. All
-weights depend on a hidden class of the text, for a corpus is a mixture of languages
-and kinds. The frequent words of a text choose its class, and the probability is that
-of the class times the sum over all segmentations. So the probabilities of all texts
-add up to one at most.
+word has one more edge, for the word as a whole, with a weight from its counts.
+All weights depend on a hidden class of the text, for a corpus is a mixture of
+languages and kinds; one recursion over a batch of words serves all classes, as their
+lattices have the same edges. The probability of a text
+is the sum over classes and over all segmentations, so those of all texts add up to
+one at most. Classes are estimated on all training texts, from the words that the
+vocabulary holds whole, so that no pass has to choose telling words first.
 
 For comparison there is a base score from smoothed word counts. The commonest words
 go to the tasks as a dictionary of bounded size, which is only a cache: each text
@@ -40,11 +42,13 @@ MARK = "▁"
 OFTEN = 2
 #: Words with counts and weights in every task, at most; the other words are joined.
 FREQUENT = 300_000
-#: Hidden classes, and the words that tell them apart.
-CLASSES, TELLING = 8, 1_000
-#: A task hands over a word that is at least this share of its words when telling words are chosen.
-TOLD = 1e-5
+#: Hidden classes, the words that tell them apart, and steps of their estimation at most.
+CLASSES, TELLING, STEPS = 8, 1_000, 25
+#: The estimation ends when the sum of changes of belonging shares stays below this share of the texts.
+SETTLED = 0.002
 SMOOTHING = 0.1
+#: Probabilities in batches of words are scaled by this (base e) per character; words that are too long for that.
+SCALE, LONG, BATCH_OF_WORDS = 2.5, 100, 2_000
 #: Different words that a task walks through lattices.
 EACH = 25_000
 #: So many words of the whole corpus count in a class beside its own.
@@ -53,10 +57,18 @@ TEN = math.log(10)
 _GAP = re.compile(r"[ \t-\r]")
 
 
-def words_of(text: str | None) -> Iterator[list[str]]:
-    """The words of a text, in parts of about a million characters: A-Z in lower case, cut at ASCII white space."""
+def words_of(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, in parts of about a million characters: A-Z in lower case, cut at ASCII white space."""
     for part in slices(text or "", _GAP):
-        yield [word.decode() for word in part.encode().lower().split()]
+        yield part.encode().lower().split()
+
+
+def bag_of(text: str | None) -> Counter:
+    """The words of a whole text and how often it has them."""
+    found: Counter = Counter()
+    for words in words_of(text):
+        found.update(words)
+    return found
 
 
 @dataclass
@@ -129,8 +141,8 @@ class Lattice:
                 log = more.get(piece, _NO)
         return out
 
-    def expect(self, word: str, weights: list[float], totals: list["Expected"]) -> None:
-        """Adds the expected counts of the pieces of a word to each class, as often as it counts there."""
+    def expect(self, word: str, weight: float, total: "Expected") -> None:
+        """Adds the expected counts of the pieces of a word, as often as it counts."""
         string, log1p, exp = MARK + word, math.log1p, math.exp
         edges, ahead = self.edges(string), [0.0]
         for here in edges[1:]:
@@ -140,7 +152,6 @@ class Lattice:
                     way = before + log
                     sum_log = way if sum_log is None else sum_log + log1p(exp(way - sum_log)) if sum_log > way else way + log1p(exp(sum_log - way))
             ahead.append(sum_log)
-        used = [(weight, totals[k]) for k, weight in enumerate(weights) if weight]
         # From the end back, the share of all segmentations that pass a position.
         passing = [0.0] * len(string) + [1.0]
         for end in range(len(string), 0, -1):
@@ -151,15 +162,13 @@ class Lattice:
                     continue
                 share = passing[end] * exp(ahead[start] + log - ahead[end])
                 passing[start] += share
-                for weight, total in used:
-                    if piece is None:
-                        for b in string[end - 1].encode():
-                            total.bytes[b] += weight * share
-                    else:
-                        side = total.rest if start else total.first
-                        side[piece] = side.get(piece, 0.0) + weight * share
-        for weight, total in used:
-            total.words += weight
+                if piece is None:
+                    for b in string[end - 1].encode():
+                        total.bytes[b] += weight * share
+                else:
+                    side = total.rest if start else total.first
+                    side[piece] = side.get(piece, 0.0) + weight * share
+        total.words += weight
 
 
 #: Stands for strings that begin no piece.
@@ -201,6 +210,121 @@ class Expected:
         )
 
 
+class Lattices:
+    """Lattices of several classes with the same pieces, for batches of words: arrays (.., class) instead of loops.
+
+    Probabilities are scaled by SCALE per character, so that they stay in range;
+    longer words than LONG go through the lattices one by one.
+    """
+
+    def __init__(self, parts: list[tuple]):
+        self.each = [Lattice(*part) for part in parts]
+        self.first, self.rest = list(self.each[0].first), list(self.each[0].rest)
+        logs = [[one.first[p] for p in self.first] + [one.rest[p] for p in self.rest] for one in self.each]
+        sizes = np.array([len(p) for p in self.first] + [len(p) for p in self.rest])
+        self.weights = np.exp(np.array(logs).T + sizes[:, None] * SCALE)
+        self.begin = with_prefixes({p: i for i, p in enumerate(self.first)})
+        self.more = with_prefixes({p: i + len(self.first) for i, p in enumerate(self.rest)})
+        #: Rows of characters that no piece covers; they are spelled in bytes.
+        self.spelled: dict[str, int] = {}
+        self.stop = np.array([one.stop for one in self.each])
+
+    def row_of(self, character: str) -> int:
+        if character not in self.spelled:
+            self.spelled[character] = len(self.weights)
+            self.weights = np.vstack([self.weights, np.exp(np.array([one.spelled(character) for one in self.each]) + SCALE)])
+        return self.spelled[character]
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, start, end and row of all edges, by end and then by word."""
+        begin, more, spelled = self.begin, self.more, self.spelled
+        out: list[tuple[int, int, int, int]] = []
+        add = out.append
+        for at, word in enumerate(words):
+            string = MARK + word
+            n = len(string)
+            for end in range(1, n + 1):
+                row = begin.get(string[:end], _NO)
+                if row is _NO:
+                    break
+                if row is not None:
+                    add((end, at, 0, row))
+            for start in range(1, n):
+                end, row = start + 1, more.get(string[start], _NO)
+                if row is _NO or row is None:
+                    character = string[start]
+                    add((end, at, start, spelled[character] if character in spelled else self.row_of(character)))
+                while row is not _NO:
+                    if row is not None:
+                        add((end, at, start, row))
+                    if end == n:
+                        break
+                    end += 1
+                    row = more.get(string[start:end], _NO)
+        ends, of, starts, rows = np.array(out, "int64").reshape(-1, 4).T
+        order = np.argsort(ends, kind="stable")
+        return of[order], starts[order], ends[order], rows[order]
+
+    def ahead(self, words: list[str], edges: tuple) -> np.ndarray:
+        """Scaled sums over all segmentations up to a position: (position, word, class)."""
+        of, starts, ends, rows = edges
+        sums = np.zeros((max(map(len, words)) + 2, len(words), len(self.each)))
+        sums[0] = 1.0
+        borders = np.searchsorted(ends, np.arange(1, len(sums) + 1))
+        for end in range(1, len(sums)):
+            part = slice(borders[end - 1], borders[end])
+            if part.start < part.stop:
+                ways = sums[starts[part], of[part]] * self.weights[rows[part]]
+                heads = np.flatnonzero(np.r_[True, of[part][1:] != of[part][:-1]])
+                sums[end, of[part][heads]] = np.add.reduceat(ways, heads, axis=0)
+        return sums
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """Log probability (word, class) over all segmentations."""
+        out = np.zeros((len(words), len(self.each)))
+        short = [at for at, word in enumerate(words) if len(word) <= LONG]
+        for at, word in enumerate(words):
+            if len(word) > LONG:
+                out[at] = [one.word(word) for one in self.each]
+        if short:
+            own = [words[at] for at in short]
+            sizes = np.array([len(word) + 1 for word in own])
+            sums = self.ahead(own, self.edges(own))
+            out[short] = np.log(sums[sizes, np.arange(len(own))]) - sizes[:, None] * SCALE + self.stop
+        return out
+
+    def expect(self, words: list[str], weights: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Adds the expected counts of rows (row, class) for words that count ``weights`` (word, class) times; returns the counts."""
+        edges = self.edges(words)
+        if len(totals) < len(self.weights):
+            totals = np.vstack([totals, np.zeros((len(self.weights) - len(totals), totals.shape[1]))])
+        sums = self.ahead(words, edges)
+        of, starts, ends, rows = edges
+        passing = np.zeros_like(sums)
+        passing[[len(word) + 1 for word in words], np.arange(len(words))] = weights
+        borders = np.searchsorted(ends, np.arange(1, len(sums) + 1))
+        for end in range(len(sums) - 1, 0, -1):
+            part = slice(borders[end - 1], borders[end])
+            if part.start < part.stop:
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    share = passing[end, of[part]] * np.where(sums[end, of[part]] > 0, 1 / sums[end, of[part]], 0.0) * sums[starts[part], of[part]] * self.weights[rows[part]]
+                np.add.at(passing, (starts[part], of[part]), share)
+                np.add.at(totals, rows[part], share)
+        return totals
+
+    def told(self, totals: np.ndarray, words: np.ndarray) -> list["Expected"]:
+        """Counts of rows as expected counts per class, for so many words."""
+        n, out = len(self.first), []
+        for k in range(len(self.each)):
+            one = Expected({p: c for p, c in zip(self.first, totals[:n, k].tolist()) if c}, {p: c for p, c in zip(self.rest, totals[n:, k].tolist()) if c})
+            for character, row in self.spelled.items():
+                for b in character.encode():
+                    one.bytes[b] += float(totals[row, k])
+            one.words = float(words[k])
+            out.append(one)
+        return out
+
+
 def vocabulary(model: bytes) -> list[tuple[str, float]]:
     """Pieces and scores of a sentencepiece file, best first, without control signs and byte pieces."""
     from sentencepiece import SentencePieceProcessor
@@ -222,24 +346,32 @@ def from_scores(pieces: list[tuple[str, float]]) -> Lattice:
     return Lattice({p: math.log(w / begun) for p, w in first.items()}, {p: math.log(w / more) for p, w in rest.items()}, [math.log(least / more)] * 256, math.log(0.5))
 
 
+def telling_words(pieces: list[tuple[str, float]], number: int = TELLING) -> dict[bytes, int]:
+    """The best pieces that are a whole word in lower case, with their place."""
+    words = [piece[1:] for piece, _ in pieces if piece.startswith(MARK) and len(piece) > 1 and MARK not in piece[1:]]
+    return {word.encode(): place for place, word in enumerate([word for word in words if word == word.lower()][:number])}
+
+
 @dataclass
 class Classes:
-    """Hidden classes of texts: log shares, and log frequencies of telling words (in the order of ``words``)."""
+    """Hidden classes of texts: log shares, and log frequencies of the telling words (word, class)."""
 
-    words: dict[str, int]
+    words: dict[bytes, int]
     shares: np.ndarray
     logs: np.ndarray
 
-    def likeliest(self, counts: Counter) -> int:
-        total = self.shares.copy()
-        for word, times in counts.items():
-            at = self.words.get(word)
-            if at is not None:
-                total += times * self.logs[at]
-        return int(np.argmax(total))
+    def likeliest(self, words: Counter) -> int:
+        at, times = told_in(words, self.words)
+        return int(np.argmax(self.shares + np.array(times, "float64") @ self.logs[at])) if at else int(np.argmax(self.shares))
+
 
+def told_in(words: Counter, telling: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """Places of the telling words of a text, ascending, and how often it has them."""
+    rows = sorted((telling[word], times) for word, times in words.items() if word in telling)
+    return [at for at, _ in rows], [times for _, times in rows]
 
-def estimated(place: dict[str, int], number: int, steps: int, sums: Callable, best: Callable) -> Classes:
+
+def estimated(telling: dict[bytes, int], number: int, steps: int, sums: Callable, best: Callable) -> Classes:
     """A mixture of word distributions by expectation maximisation over all texts.
 
     Texts are rows of counts of the telling words. ``sums(f)`` adds up the array f(rows)
@@ -249,88 +381,64 @@ def estimated(place: dict[str, int], number: int, steps: int, sums: Callable, be
     whole = sums(lambda x: np.concatenate([[len(x)], x.sum(axis=0), shape(x).sum(axis=0)]))
     if whole is None:
         return Classes({}, np.zeros(1), np.zeros((0, 1)))
-    n, width = int(round(whole[0])), len(place)
+    n, width = int(round(whole[0])), len(telling)
     overall, mean = whole[1 : width + 1] / whole[1 : width + 1].sum(), whole[width + 1 :] / n
     # Starts: the text nearest to the mean, then the text farthest from all starts so far.
     starts = shape(best(lambda x: shape(x) @ mean)[None, :])
     while len(starts) < min(number, n):
         starts = np.vstack([starts, shape(best(lambda x, at=starts: -(shape(x) @ at.T).max(axis=1))[None, :])])
     k = len(starts)
-    belongs = lambda x: np.eye(k)[np.argmax(shape(x) @ starts.T, axis=1)]
-    for _ in range(steps):
-        found = sums(lambda x, of=belongs: (lambda b: np.concatenate([b.sum(axis=0), (b.T @ x).ravel()]))(of(x)))
-        shares = np.log((found[:k] + 1) / (n + k))
-        rows = found[k:].reshape(k, width) + 50 * overall
+    belongs = before = lambda x: np.eye(k)[np.argmax(shape(x) @ starts.T, axis=1)]
+    for step in range(steps):
+        def gather(x: np.ndarray, of=belongs, old=before) -> np.ndarray:
+            share = of(x)
+            return np.concatenate([[np.abs(share - old(x)).sum() / 2], share.sum(axis=0), (share.T @ x).ravel()])
+
+        found = sums(gather)
+        shares = np.log((found[1 : k + 1] + 1) / (n + k))
+        rows = found[k + 1 :].reshape(k, width) + 50 * overall
         logs = np.log(rows / rows.sum(axis=1, keepdims=True) + 1e-12)
+        if step and found[0] < SETTLED * n:
+            break
+        before = belongs
 
         def belongs(x: np.ndarray, logs=logs, shares=shares) -> np.ndarray:
             score = x @ logs.T + shares
             out = np.exp(score - score.max(axis=1, keepdims=True))
             return out / out.sum(axis=1, keepdims=True)
 
-    return Classes(place, shares, logs.T.copy())
+    return Classes(telling, shares, logs.T.copy())
 
 
-def found_classes(texts: list[Counter], number: int = CLASSES, telling: int = TELLING, steps: int = 25) -> Classes:
-    """The classes of texts in memory."""
-    together: Counter = Counter()
-    for one in texts:
-        together.update(one)
-    common = [word for word, _ in sorted(together.items(), key=lambda p: (-p[1], p[0]))[:telling]]
-    place = {word: i for i, word in enumerate(common)}
-    x = np.zeros((len(texts), len(common)))
-    for i, one in enumerate(texts):
-        for word, times in one.items():
-            if word in place:
-                x[i, place[word]] = times
-    x = x[x.sum(axis=1) > 0]
-    return estimated(place, number, steps, lambda f: f(x) if len(x) else None, lambda f: x[int(np.argmax(f(x)))])
-
-
-def classes_of(texts: DataFrame, number: int = CLASSES, telling: int = TELLING, steps: int = 25) -> Classes:
-    """The classes of the texts of the only column, all of which count in every step.
+def dense(rows: list[tuple[list[int], list[int]]], width: int) -> np.ndarray:
+    x = np.zeros((len(rows), width))
+    for row, (places, counts) in enumerate(rows):
+        x[row, places] = counts
+    return x
 
-    Telling words are the commonest, by counts that lack TOLD of all words at most.
-    Only sums and the texts to start from, as counts of telling words, come to the driver.
-    """
 
-    def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+def found_classes(texts: list[Counter], telling: dict[bytes, int], number: int = CLASSES, steps: int = STEPS) -> Classes:
+    """The classes of texts in memory."""
+    x = dense([row for row in (told_in(one, telling) for one in texts) if row[0]], len(telling))
+    return estimated(telling, number, steps, lambda f: f(x) if len(x) else None, lambda f: x[int(np.argmax(f(x)))])
 
-        def flush() -> pa.RecordBatch:
-            least = TOLD * sum(counts.values())
-            kept = [(word, n) for word, n in counts.items() if n >= least]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for words in words_of(text):
-                    counts.update(words)
-                    if len(counts) > 300_000:
-                        yield flush()
-        yield flush()
+def classes_of(texts: DataFrame, telling: dict[bytes, int], number: int = CLASSES, steps: int = STEPS) -> Classes:
+    """The classes of the texts of the only column, all of which count in every step.
 
-    sums_of = texts.mapInArrow(commonest, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    place = {r.word: i for i, r in enumerate(sums_of.orderBy(F.desc("n"), "word").limit(telling).collect())}
-    width = len(place)
+    Only sums and the texts to start from, as counts of telling words, come to the driver.
+    """
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                told: Counter = Counter()
-                for words in words_of(text):
-                    told.update(filter(place.__contains__, words))
-                if told:
-                    rows.append(sorted((place[word], n) for word, n in told.items()))
-            yield pa.RecordBatch.from_arrays([pa.array([[p[i] for p in row] for row in rows], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64()))], names=["at", "times"])
+            rows = [row for row in (told_in(bag_of(text), telling) for text in batch.column(0).to_pylist()) if row[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64()))], names=["at", "times"])
 
     told = written(texts.mapInArrow(tell, "at array<int>, times array<long>"))
 
-    def dense(batch: pa.RecordBatch) -> np.ndarray:
+    def rows_of(batch: pa.RecordBatch) -> np.ndarray:
         at, times = batch.column(0), batch.column(1)
-        x = np.zeros((batch.num_rows, width))
+        x = np.zeros((batch.num_rows, len(telling)))
         x[np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = times.flatten().to_numpy()
         return x
 
@@ -339,7 +447,7 @@ def classes_of(texts: DataFrame, number: int = CLASSES, telling: int = TELLING,
             total = None
             for batch in batches:
                 if batch.num_rows:
-                    here = f(dense(batch))
+                    here = f(rows_of(batch))
                     total = here if total is None else total + here
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "value"])
@@ -348,14 +456,14 @@ def classes_of(texts: DataFrame, number: int = CLASSES, telling: int = TELLING,
         return np.array([r.value for r in sorted(rows)]) if rows else None
 
     def best(f: Callable) -> np.ndarray:
-        """Among equals the text with most telling words, and the first by its counts."""
+        """Among equals the text with most words, and the first by its counts."""
 
         def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = None
             for batch in batches:
                 if batch.num_rows:
-                    x = dense(batch)
-                    score, n = np.round(f(x), 12), x.sum(axis=1)
+                    x = rows_of(batch)
+                    score, n = np.round(f(x), 9), x.sum(axis=1)
                     for i in np.flatnonzero(score == score.max()):
                         here = (-float(score[i]), -float(n[i]), batch.column(0)[int(i)].as_py(), batch.column(1)[int(i)].as_py())
                         top = here if top is None else min(top, here)
@@ -363,11 +471,9 @@ def classes_of(texts: DataFrame, number: int = CLASSES, telling: int = TELLING,
                 yield pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in zip(top, (pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["score", "n", "at", "times"])
 
         row = told.mapInArrow(least, "score double, n double, at array<int>, times array<long>").orderBy("score", "n", "at", "times").first()
-        x = np.zeros(width)
-        x[row.at] = row.times
-        return x
+        return dense([(row.at, row.times)], len(telling))[0]
 
-    return estimated(place, number, steps, sums, best)
+    return estimated(telling, number, steps, sums, best)
 
 
 def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFrame]:
@@ -380,23 +486,18 @@ def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFram
 
         def flush() -> Iterator[pa.RecordBatch]:
             for k, (one, texts) in enumerate(zip(counts, ended)):
-                words, times = pa.array([*one, None], pa.string()), pa.array([*one.values(), texts], pa.int64())
+                words, times = pa.array([*(word.decode() for word in one), None], pa.string()), pa.array([*one.values(), texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([words, pa.array([k] * len(words), pa.int32()), times], names=["word", "k", "n"])
                 one.clear()
             ended[:] = [0] * number
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                told, parts = Counter(), 0
-                for words in words_of(text):
-                    told.update(filter(classes.words.__contains__, words))
-                    parts += 1
-                # All parts of a very long text choose its class, so it is read again.
-                kind = classes.likeliest(told)
-                for words in [words] if parts == 1 else words_of(text):
-                    counts[kind].update(words)
-                    if len(counts[kind]) > 300_000:
-                        yield from flush()
+                words = bag_of(text)
+                kind = classes.likeliest(words)
+                counts[kind].update(words)
+                if len(counts[kind]) > 300_000:
+                    yield from flush()
                 ended[kind] += 1
         yield from flush()
 
@@ -409,14 +510,35 @@ def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFram
 
 
 def expected_counts(counts: DataFrame, lattice: Lattice, number: int) -> list[Expected]:
-    """Expected piece counts per class over all words of a table; tasks sum up before anything is shuffled."""
-    shared = counts.sparkSession.sparkContext.broadcast((lattice.first, lattice.rest, lattice.bytes, lattice.stop))
+    """Expected piece counts per class over the words of a table; tasks sum up before anything is shuffled."""
+    shared = counts.sparkSession.sparkContext.broadcast([(lattice.first, lattice.rest, lattice.bytes, lattice.stop)])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, totals = Lattice(*shared.value), [Expected() for _ in range(number)]
+        # All classes start from the same weights, so a word of one class needs one column.
+        here, totals = Lattices(shared.value), [Expected() for _ in range(number)]
+        by_class: dict[int, list[tuple[str, float]]] = {}
+        sums: dict[int, np.ndarray] = {}
+        seen = np.zeros(number)
+
+        def add(k: int) -> None:
+            words, weights = zip(*by_class.pop(k))
+            sums[k] = here.expect(list(words), np.array(weights)[:, None], sums.get(k, np.zeros((len(here.weights), 1))))
+            seen[k] += sum(weights)
+
         for batch in batches:
             for word, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                here.expect(word, weights, totals)
+                for k, weight in enumerate(weights):
+                    if weight and len(word) > LONG:
+                        here.each[0].expect(word, weight, totals[k])
+                    elif weight:
+                        by_class.setdefault(k, []).append((word, weight))
+                        if len(by_class[k]) >= BATCH_OF_WORDS:
+                            add(k)
+        for k in list(by_class):
+            add(k)
+        for k, total in sums.items():
+            rows_of = np.vstack([total, np.zeros((len(here.weights) - len(total), 1))])
+            totals[k] = totals[k].plus(here.told(rows_of, seen[k : k + 1])[0], 1.0)
         rows = [(k, "words", "", total.words) for k, total in enumerate(totals)]
         for k, total in enumerate(totals):
             rows += [(k, "first", p, n) for p, n in total.first.items()] + [(k, "rest", p, n) for p, n in total.rest.items()]
@@ -449,10 +571,11 @@ def cut_of(counts: DataFrame, most: int) -> int:
 class TextModel:
     """What the tasks need: the commonest words with counts and log10 weights per class, and the lattices of words without an edge."""
 
-    place: dict[str, int]
+    place: dict[bytes, int]
     counts: np.ndarray
     logs: np.ndarray
     lattices: list[tuple]
+    #: Per class, log10 of the chance that a word has no edge of its own.
     rare: np.ndarray
     #: Per class, log10 of its share and of a text's end.
     start: np.ndarray
@@ -488,14 +611,14 @@ def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, flo
     shared = counts.sparkSession.sparkContext.broadcast(parts_of)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = [Lattice(*one) for one in shared.value]
+        here = Lattices(shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype("float64")
             by_class = np.array(batch.column(2).to_pylist(), "float64")
             weight = (by_class + SHARED * (n / everything)[:, None]) / (often_sum + SHARED)
-            in_pieces = np.exp([[one.word(word) for one in here] for word in words]) * rare
+            in_pieces = np.exp(here.logs(words)) * rare
             logs = np.log10((1 - rare - end) * weight + in_pieces)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(logs), pa.list_(pa.float64()))], names=["word", "n", "logs"])
 
@@ -504,7 +627,7 @@ def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, flo
     top = weighed.filter(F.col("n") >= cut).toArrow().sort_by("word")
     others = weighed.filter(F.col("n") < cut).unionByName(counts.filter(~often).select("word", "n", F.lit(None).cast("array<double>").alias("logs")))
     model = TextModel(
-        {word: i for i, word in enumerate(top.column("word").to_pylist())}, top.column("n").to_numpy().astype("int64"),
+        {word.encode(): i for i, word in enumerate(top.column("word").to_pylist())}, top.column("n").to_numpy().astype("int64"),
         top.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, k), parts_of, np.log10(rare),
         np.log10((texts + 1) / (texts.sum() + k)) + np.log10(end),
     )
@@ -519,7 +642,7 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
     a null or empty text is the end alone. n_known counts tokens seen in training;
     base_score sums log10 of the add-one smoothed frequencies of words and end, with
     one more place for all unseen words; score is log10 of the probability of the
-    text's class and of the sum over all segmentations. With nothing to learn from, all words are spelled by
+    text, summed over classes and segmentations. With nothing to learn from, all words are spelled by
     the vocabulary's own weights. Classes and all counts
     cover all texts.
     """
@@ -528,7 +651,7 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
     training = docs.filter(learn)
     n_training = training.count()
     learned = training.select(F.coalesce(F.col(text), F.lit("")))
-    classes = classes_of(learned)
+    classes = classes_of(learned, telling_words(pieces))
     counts, ended = word_counts(learned, classes)
     texts = np.array((ended.first() or [[0] * len(classes.shares)])[0], "float64")
     model, table = text_model(counts, texts, pieces, most, steps)
@@ -548,15 +671,14 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
             for one in batch.column(1).to_pylist():
                 n_tokens, n_known, base, sums = 1, int(n_training > 0), base_end, model.start
                 places, times, rest = [], [], Counter()
-                for words in words_of(one):
-                    n_tokens += len(words)
-                    for word, n in Counter(words).items():
-                        at = place.get(word)
-                        if at is None:
-                            rest[word] += n
-                        else:
-                            places.append(at)
-                            times.append(n)
+                for word, n in bag_of(one).items():
+                    n_tokens += n
+                    at = place.get(word)
+                    if at is None:
+                        rest[word.decode()] += n
+                    else:
+                        places.append(at)
+                        times.append(n)
                 if places:
                     n_known += sum(times)
                     base += float(np.array(times) @ gains[places])
@@ -571,16 +693,21 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
             )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The class that all words with an edge choose, and the other words in its lattice."""
+        """The words without an edge, by the lattices, and the sum over classes."""
         model = shared.value
-        lattices = _lattices_of(model)
+        spelled = _spelled_by(model)
         for batch in batches:
+            texts = list(zip(*(batch.column(i).to_pylist() for i in range(4, 9))))
+            edged = [set(some or ()) for *_, some, _ in texts]
+            logs = spelled.of({word for (_, words, _, _, _), some in zip(texts, edged) for word in words if word not in some})
             scores = []
-            for sums, words, times, edged, more in zip(*(batch.column(i).to_pylist() for i in range(4, 9))):
+            for (sums, words, times, _, more), some in zip(texts, edged):
                 per_class = np.array(sums) + np.array(more) if more else np.array(sums)
-                kind, edged = int(np.argmax(per_class)), set(edged or ())
-                memo, rare = lattices[kind].words, float(model.rare[kind])
-                scores.append(float(per_class[kind]) + sum(n * (memo[word] / TEN + rare) for word, n in zip(words, times) if word not in edged))
+                left = [(word, n) for word, n in zip(words, times) if word not in some]
+                if left:
+                    per_class = per_class + np.array([n for _, n in left], "float64") @ (np.array([logs[word] for word, _ in left]) / TEN + model.rare)
+                top = per_class.max()
+                scores.append(float(top + np.log10(np.power(10.0, per_class - top).sum())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())], names=[key, "n_tokens", "n_known", "__gained", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -605,12 +732,29 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
     )
 
 
+class Spelled:
+    """Log probabilities of words per class; the words of the last batches keep theirs, in bounded memory."""
+
+    def __init__(self, parts: list[tuple]):
+        self.lattices = Lattices(parts)
+        self.known: dict[str, np.ndarray] = {}
+
+    def of(self, words: set[str]) -> dict[str, np.ndarray]:
+        if len(self.known) > 100_000:
+            self.known = {}
+        new = sorted(words.difference(self.known))
+        for start in range(0, len(new), BATCH_OF_WORDS):
+            part = new[start : start + BATCH_OF_WORDS]
+            self.known.update((word, log) for word, log in zip(part, self.lattices.logs(part)))
+        return self.known
+
+
 #: The last model and its lattices; the model is kept, so that no other can be taken for it.
-_LATTICES: list[tuple[TextModel, list[Lattice]]] = []
+_SPELLED: list[tuple[TextModel, Spelled]] = []
 
 
-def _lattices_of(model: TextModel) -> list[Lattice]:
-    """The lattices of a broadcast model, once per worker, so that their memos serve several tasks."""
-    if not _LATTICES or _LATTICES[0][0] is not model:
-        _LATTICES[:] = [(model, [Lattice(*one) for one in model.lattices])]
-    return _LATTICES[0][1]
+def _spelled_by(model: TextModel) -> Spelled:
+    """The lattices of a broadcast model, once per worker, so that what they keep serves several tasks."""
+    if not _SPELLED or _SPELLED[0][0] is not model:
+        _SPELLED[:] = [(model, Spelled(model.lattices))]
+    return _SPELLED[0][1]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import catalog
 from parlance.llm.common import fold
-from parlance.llm.likelihood import MARK, Expected, Lattice, classes_of, found_classes, from_scores, scored, vocabulary, word_counts, words_of
+from parlance.llm.likelihood import MARK, OFTEN, SHARED, TEN, Expected, Lattice, Lattices, classes_of, found_classes, from_scores, scored, telling_words, vocabulary, word_counts, words_of
 
 PATH = catalog.tokenizer("piece_bpe_32k.model")
 
@@ -48,13 +48,31 @@ def test_expected_counts_are_those_of_all_segmentations(lattice):
         for p, way in ways:
             for at, (piece, _) in enumerate(way):
                 want["first" if at == 0 else "rest", piece] += 3 * p / total
-        got = [Expected(), Expected()]
-        lattice.expect(word, [0, 3], got)
-        assert got[0].words == 0 and got[1].words == 3
-        for side, counts in (("first", got[1].first), ("rest", got[1].rest)):
+        got = Expected()
+        lattice.expect(word, 3, got)
+        assert got.words == 3
+        for side, counts in (("first", got.first), ("rest", got.rest)):
             for piece, n in counts.items():
                 assert math.isclose(n, want[side, piece], rel_tol=1e-6, abs_tol=1e-9)
-        assert math.isclose(sum(got[1].first.values()), 3.0, rel_tol=1e-9)
+        assert math.isclose(sum(got.first.values()), 3.0, rel_tol=1e-9)
+
+
+def test_batches_of_words_are_single_words(lattice):
+    """Several classes at once, spelled signs, long words; sums and expected counts."""
+    words = ["a", "the", "thndha", "überaß", "日本x", "🙂a", "▁", "9.5%", "q" * 12, "x" * 100, "ab" * 400, "the"]
+    rng = random.Random(4)
+    other = Expected({p: rng.random() for p in lattice.first}, {p: rng.random() for p in lattice.rest}, [rng.random() for _ in range(256)], 50.0).lattice(list(lattice.first), list(lattice.rest))
+    both = Lattices([(one.first, one.rest, one.bytes, one.stop) for one in (lattice, other)])
+    assert np.allclose(both.logs(words), [[lattice.word(w), other.word(w)] for w in words], rtol=1e-9)
+    short, weights = [w for w in words if len(w) <= 100], np.array([[i % 3, 1.0] for i in range(11)])
+    found = both.told(both.expect(short, weights, np.zeros((len(both.weights), 2))), weights.sum(axis=0))
+    for k, one in enumerate((lattice, other)):
+        want = Expected()
+        for word, weight in zip(short, weights[:, k]):
+            one.expect(word, weight, want)
+        assert math.isclose(found[k].words, want.words) and np.allclose(found[k].bytes, want.bytes, atol=1e-8)
+        for got, plain in ((found[k].first, want.first), (found[k].rest, want.rest)):
+            assert all(math.isclose(got.get(p, 0.0), plain.get(p, 0.0), rel_tol=1e-6, abs_tol=1e-9) for p in {*got, *plain})
 
 
 def test_weights_are_a_distribution(lattice):
@@ -68,13 +86,18 @@ def test_weights_are_a_distribution(lattice):
     assert math.isclose(sum(math.exp(tiny.word("a" * n)) for n in range(60)), 0.5 / 0.75, rel_tol=1e-9)
 
 
+def places(words):
+    return {word.encode(): place for place, word in enumerate(words.split())}
+
+
 def test_classes_separate_languages():
     rng = random.Random(1)
-    texts = [Counter(rng.choices(["der", "die", "und"] if i % 2 else ["the", "of", "and"], k=30)) for i in range(80)]
-    classes = found_classes(texts, number=2)
+    texts = [Counter(rng.choices([b"der", b"die", b"und"] if i % 2 else [b"the", b"of", b"and"], k=30)) for i in range(80)]
+    classes = found_classes(texts, places("der die und the of and"), number=2)
     found = [classes.likeliest(t) for t in texts]
     assert len(set(found[::2])) == len(set(found[1::2])) == 1 and found[0] != found[1]
-    assert len(found_classes([]).shares) == 1
+    assert len(found_classes([], places("a")).shares) == 1
+    assert {"the", "of", "and"} <= {w.decode() for w in telling_words(vocabulary(open(PATH, "rb").read()))}
 
 
 def slow_base(rows, learn):
@@ -130,9 +153,66 @@ def test_classes_over_all_texts_and_all_parts(llm):
     """A kind of 8 texts in 6,000 has a class, and a very long text has the class of its whole."""
     one, two = ["the of and to"] * 5_992, ["der die und zu"] * 8
     docs = llm.createDataFrame([(t,) for t in one + two], "text string").repartition(3)
-    classes = classes_of(docs, number=2)
-    kinds = [classes.likeliest(Counter(t.split())) for t in ("the of and to", "der die und zu")]
+    classes = classes_of(docs, places("the of and to der die und zu"), number=2)
+    kinds = [classes.likeliest(Counter(t.encode().split())) for t in ("the of and to", "der die und zu")]
     assert kinds[0] != kinds[1]
     long = llm.createDataFrame([("the of " * 10 + " " * (1 << 20) + " " + "der die und zu " * 1_000,)], "text string")
     counts, ended = word_counts(long, classes)
     assert ended.first().texts[kinds[1]] == 1 and {r.word: r.per_class[kinds[1]] for r in counts.collect()}["der"] == 1_000
+
+
+def slow_scores(rows, learn, classes, steps=1):
+    """log10 probabilities of texts by the rule as written: sums over classes, words one by one."""
+    pieces = vocabulary(open(PATH, "rb").read())
+    start = from_scores(pieces)
+    k = len(classes.shares)
+    bags = {i: Counter(w.decode() for part in words_of(text) for w in part) for i, (_, text) in enumerate(rows)}
+    per = [Counter() for _ in range(k)]
+    texts = np.zeros(k)
+    for i, (key, _) in enumerate(rows):
+        if learn(key):
+            kind = classes.likeliest(Counter({w.encode(): n for w, n in bags[i].items()}))
+            per[kind].update(bags[i])
+            texts[kind] += 1
+    total = sum(per, Counter())
+    expected = [Expected() for _ in range(k)]
+    for one, found in zip(per, expected):
+        for word, n in one.items():
+            if total[word] < OFTEN:
+                start.expect(word, n, found)
+    together = Expected()
+    for found in expected:
+        together = together.plus(found, 1.0)
+    lattices = [found.plus(together, SHARED / together.words).lattice(list(start.first), list(start.rest)) for found in expected]
+    often = np.array([sum(n for w, n in one.items() if total[w] >= OFTEN) for one in per], float)
+    once = np.array([sum(n for w, n in one.items() if total[w] < OFTEN) for one in per], float)
+    whole = often + once + texts + 2
+    rare, end = (once + 1) / whole, (texts + 1) / whole
+    everything = max(sum(n for n in total.values() if n >= OFTEN), 1)
+    for i, (key, _) in enumerate(rows):
+        logs = np.log10((texts + 1) / (texts.sum() + k)) + np.log10(end)
+        for word, n in bags[i].items():
+            spelled = np.array([one.word(word) for one in lattices])
+            if total[word] >= OFTEN:
+                weight = (np.array([one[word] for one in per]) + SHARED * total[word] / everything) / (often + SHARED)
+                logs = logs + n * np.log10((1 - rare - end) * weight + np.exp(spelled) * rare)
+            else:
+                logs = logs + n * (spelled / TEN + np.log10(rare))
+        yield str(key), float(logs.max() + np.log10((10 ** (logs - logs.max())).sum()))
+
+
+def test_scores_of_whole_documents_are_those_of_the_rule(llm, small):
+    """Also for repeated rows, and whatever the files are."""
+    from zlib import crc32
+
+    docs = small.select("doc_id", "text").limit(60)
+    docs = docs.unionByName(docs.limit(3)).unionByName(llm.createDataFrame([(1001, None), (1002, ""), (1003, "q" * 3000)], "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    learn = lambda key: crc32(str(key).encode()) % 7 != 2
+    telling = telling_words(vocabulary(open(PATH, "rb").read()))
+    classes = found_classes([Counter(w for part in words_of(text) for w in part) for key, text in rows if learn(key)], telling)
+    want = sorted(slow_scores(rows, learn, classes))
+    for layout in (1, 7):
+        frame = llm.createDataFrame(rows, "doc_id long, text string").repartition(layout)
+        got = sorted((str(r.doc_id), r.score) for r in scored(frame, fold(F.col("doc_id"), 7) != 2, PATH).collect())
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-7)
