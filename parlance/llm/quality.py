@@ -2,9 +2,9 @@
 
 A linear-chain conditional random field marks each line with a word as content or
 boilerplate. Its unary features are shares and flags of the line, its transitions
-tie neighbouring lines. It is fitted on a bounded sample of labelled documents: the
-lines of good documents stand for content, those of bad ones for boilerplate.
-Viterbi decoding gives the most likely sequence of marks, and the share of words
+tie neighbouring lines. It is fitted on a bounded sample of labelled documents. The
+marks of their lines are hidden: a label only says on which side most lines of the
+document are, so a good document may have a menu, and a bad one a sentence. Viterbi decoding gives the most likely sequence of marks, and the share of words
 on content lines decides whether a document stays.
 """
 
@@ -25,8 +25,10 @@ from .common import SPACES, labelled_sample
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Documents that the field is fitted on, about; longer ones than LINES are not used for that.
+#: Documents that the field is fitted on, about; those of more lines are used in windows of LINES.
 SAMPLE, LINES = 2_000, 60
+#: Share of the lines that is on the side of the document's label, at least.
+LEAST = 0.6
 FEATURES = ("always", "words", "symbols", "capitals", "exclaims", "bars", "digits", "long_words", "closed", "repeated", "short", "capital_start", "echoes", "many_symbols", "many_bars", "many_capitals", "many_echoes")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CLOSING = (".", "!", "?", "…", '"', "”", "»", ":", ")")
@@ -127,44 +129,86 @@ class Field:
 PLAIN = Field((1.5, 0.5, -6.0, -4.0, -3.0, -4.0, -2.0, -1.0, 0.7, -1.5, -0.3, 0.3, -4.0, -2.0, -2.0, -1.0, -2.0), ((0.7, -0.7), (-0.7, 0.7)))
 
 
-def fit(texts: list[np.ndarray], good: list[bool], steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> Field:
-    """Maximum likelihood by gradient steps (Adam); all lines of a document carry its label.
+class _Lines:
+    """Documents as sequences of line features, padded to the longest; all run forward and backward together, in log space."""
 
-    Sequences are padded to the longest and run forward and backward together, in log space.
-    """
-    if len(set(good)) < 2:
-        return PLAIN
-    length = max(map(len, texts))
-    x = np.zeros((len(texts), length, len(FEATURES)))
-    there = np.zeros((len(texts), length), bool)
-    for i, rows in enumerate(texts):
-        x[i, : len(rows)], there[i, : len(rows)] = rows, True
-    y = np.array(good, int)
-    weights = np.zeros(len(FEATURES) + 4)
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
-    n = there.sum()
-    pairs = there[:, 1:].sum(axis=1)
-    wanted_moves = np.array([[pairs[y == 0].sum(), 0], [0, pairs[y == 1].sum()]], float)
-    wanted = (x * (there & (y[:, None] == 1))[..., None]).sum(axis=(0, 1))
-    for step in range(1, steps + 1):
-        unary = np.zeros((len(texts), length, 2))
-        unary[..., 1] = x @ weights[: len(FEATURES)]
+    def __init__(self, texts: list[np.ndarray]):
+        length = max(map(len, texts))
+        self.x = np.zeros((len(texts), length, len(FEATURES)))
+        self.there = np.zeros((len(texts), length), bool)
+        for i, rows in enumerate(texts):
+            self.x[i, : len(rows)], self.there[i, : len(rows)] = rows, True
+
+    def chances(self, weights: np.ndarray, leaning: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Chance of content per line, and expected moves (document, from, to); ``leaning`` adds to content in a document."""
+        length = self.there.shape[1]
+        unary = np.zeros((*self.there.shape, 2))
+        unary[..., 1] = self.x @ weights[: len(FEATURES)] + np.reshape(leaning, (-1, 1))
         moves = weights[len(FEATURES) :].reshape(2, 2)
         ahead, after = np.zeros_like(unary), np.zeros_like(unary)
         ahead[:, 0] = unary[:, 0]
         for t in range(1, length):
             new = _logsum(ahead[:, t - 1, :, None] + moves, 1) + unary[:, t]
-            ahead[:, t] = np.where(there[:, t, None], new, ahead[:, t - 1])
+            ahead[:, t] = np.where(self.there[:, t, None], new, ahead[:, t - 1])
         for t in range(length - 2, -1, -1):
             new = _logsum((after[:, t + 1] + unary[:, t + 1])[:, None, :] + moves, 2)
-            after[:, t] = np.where(there[:, t + 1, None], new, 0.0)
+            after[:, t] = np.where(self.there[:, t + 1, None], new, 0.0)
         total = _logsum(ahead[:, -1], 1)
-        chance = np.exp(ahead[..., 1] + after[..., 1] - total[:, None]) * there
+        chance = np.exp(np.minimum(ahead[..., 1] + after[..., 1] - total[:, None], 0.0)) * self.there
         joint = ahead[:, :-1, :, None] + moves + (after + unary)[:, 1:, None, :] - total[:, None, None, None]
-        expected = (np.exp(np.minimum(joint, 0.0)) * there[:, 1:, None, None]).sum(axis=(0, 1))
-        slope = np.concatenate([wanted - np.einsum("it,itf->f", chance, x), (wanted_moves - expected).ravel()]) / n - decay * weights
+        return chance, (np.exp(np.minimum(joint, 0.0)) * self.there[:, 1:, None, None]).sum(axis=1)
+
+    def share(self, chance: np.ndarray) -> np.ndarray:
+        return chance.sum(axis=1) / self.there.sum(axis=1)
+
+
+def _climbed(lines: _Lines, weights: np.ndarray, wanted: np.ndarray, wanted_moves: np.ndarray | None, steps: int, rate: float, decay: float) -> np.ndarray:
+    """Gradient steps (Adam) to weights that expect the ``wanted`` features and moves; without those moves the lines are independent."""
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    n = lines.there.sum()
+    for step in range(1, steps + 1):
+        if wanted_moves is None:
+            chance = lines.there / (1 + np.exp(-(lines.x @ weights[: len(FEATURES)])))
+            moved = np.zeros(4)
+        else:
+            chance, joint = lines.chances(weights)
+            moved = (wanted_moves - joint.sum(axis=0)).ravel()
+        slope = np.concatenate([wanted - np.einsum("it,itf->f", chance, lines.x), moved]) / n - decay * weights
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         weights = weights + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return weights
+
+
+def _given_labels(lines: _Lines, weights: np.ndarray, good: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Chances and moves nearest to the field's, of which a share of ``least`` or more agrees with the label of the document."""
+    side = np.where(good, 1.0, -1.0)
+    low, high = np.zeros(len(good)), np.full(len(good), 32.0)
+    for _ in range(10):
+        lean = (low + high) / 2
+        share = lines.share(lines.chances(weights, side * lean)[0])
+        enough = np.where(good, share, 1 - share) >= least
+        low, high = np.where(enough, low, lean), np.where(enough, lean, high)
+    free = lines.share(lines.chances(weights)[0])
+    return lines.chances(weights, side * np.where(np.where(good, free, 1 - free) >= least, 0.0, high))
+
+
+def fit(texts: list[np.ndarray], good: list[bool], rounds: int = 4, steps: int = 50, rate: float = 0.1, decay: float = 1e-4,
+        least: float = LEAST) -> Field:
+    """A field for line marks that are hidden: a document's label only says on which side most of its lines are.
+
+    Expectation maximisation: it starts from independent lines that carry their
+    document's label. Each round takes, by forward and backward sums, the chances
+    of marks under the field, leaning as far towards the label as a share of
+    ``least`` asks for and no further (posterior regularisation), and climbs to
+    the field that expects them.
+    """
+    if len(set(good)) < 2:
+        return PLAIN
+    lines, y = _Lines(texts), np.array(good, bool)
+    weights = _climbed(lines, np.zeros(len(FEATURES) + 4), np.einsum("it,itf->f", lines.there & y[:, None], lines.x), None, 4 * steps, rate, decay)
+    for _ in range(rounds):
+        chance, joint = _given_labels(lines, weights, y, least)
+        weights = _climbed(lines, weights, np.einsum("it,itf->f", chance, lines.x), joint.sum(axis=0), steps, rate / 2, decay)
     w = weights.tolist()
     return Field(tuple(w[: len(FEATURES)]), ((w[-4], w[-3]), (w[-2], w[-1])))
 
@@ -175,16 +219,19 @@ def _logsum(values: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Field:
-    """The field for labels of whole documents; about ``sample`` documents of up to LINES lines come to the driver as numbers."""
+    """The field for labels of whole documents; about ``sample`` documents come to the driver as numbers, in windows of LINES lines.
+
+    Of two labels that contradict the larger counts. Without both kinds of labels the field is PLAIN.
+    """
     rows = labelled_sample(docs, labels, label, sample, 9, key, text)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def numbers(texts: pd.Series) -> pd.Series:
         found = (line_features(one)[0] for one in texts)
-        return pd.Series([one.ravel() if len(one) <= LINES else one[:0].ravel() for one in found])
+        return pd.Series([[one[at : at + LINES].ravel() for at in range(0, len(one), LINES)] for one in found])
 
-    got = rows.select("key", "label", numbers("text").alias("x")).filter(F.size("x") > 0).collect()
-    got.sort(key=lambda r: str(r.key))
+    got = rows.select("key", "label", F.posexplode(numbers("text")).alias("window", "x")).collect()
+    got.sort(key=lambda r: (str(r.key), r.window))
     return fit([np.array(r.x).reshape(-1, len(FEATURES)) for r in got], [r.label > 0.5 for r in got])
 
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from parlance.llm import catalog
-from parlance.llm.quality import FEATURES, PLAIN, Field, fit, fitted, judged, measures, only_good
+from parlance.llm.quality import FEATURES, PLAIN, Field, fit, fitted, judged, line_features, measures, only_good
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 
@@ -61,6 +61,50 @@ def test_fit_separates_kinds_of_lines():
     assert fit(texts, [True] * 60) == PLAIN
 
 
+def test_hidden_marks_of_mixed_documents():
+    """Labels are those of most lines; the lines that differ get the other mark all the same."""
+    rng = np.random.default_rng(5)
+    texts, good, truth = [], [], []
+    for i in range(120):
+        kinds = np.repeat([i % 2, 1 - i % 2], [rng.integers(3, 9), rng.integers(0, 3)])
+        rows = rng.normal(size=(len(kinds), len(FEATURES)))
+        rows[:, 0], rows[:, 3] = 1.0, rows[:, 3] + 3 - 6 * kinds
+        texts.append(rows)
+        truth.append(kinds)
+        good.append(i % 2 == 1)
+    field = fit(texts, good)
+    marks = [field.marks(rows) for rows in texts]
+    assert np.mean(np.concatenate(marks) == np.concatenate(truth)) > 0.95
+    assert np.mean([0 < m.mean() < 1 for m, k in zip(marks, truth) if 0 < k.mean() < 1]) > 0.8
+
+
+def test_bad_blocks_in_front_of_good_documents(llm):
+    """On the given tables: the block is boilerplate, the document behind it content."""
+    labels = {r.doc_id: r.quality for r in llm.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in labels and r.text}
+    field = fitted(docs, llm.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    rng = random.Random(1)
+    lines = lambda text: len(line_features(text)[0])
+    good = [t for d, t in sorted(texts.items()) if labels[d] and lines(t) > 4]
+    bad = [t.rstrip() for d, t in sorted(texts.items()) if not labels[d] and lines(t) > 2]
+    right = 0
+    for text in good[:200]:
+        block = rng.choice(bad)
+        marks = field.marks(line_features(f"{block}\n{text}")[0])
+        right += marks[: lines(block)].mean() < 0.5 < marks[lines(block) :].mean()
+    assert right > 0.6 * len(good[:200])
+
+
+def test_long_documents_are_fitted_in_windows(llm):
+    """Labels that contradict, a label table with clashing columns, documents of many lines."""
+    rows = [(i, "\n".join((["A fine sentence stands here."] if i % 2 else ["# | # | !!"]) * 200)) for i in range(20)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, i % 2, "x") for i in range(20)] + [(1, 0, "y")], "doc_id long, quality int, text string")
+    field = fitted(docs, labels)
+    assert field != PLAIN and field.content_share(rows[1][1]) == 1.0 and field.content_share(rows[0][1]) == 0.0
+
+
 def test_documents(llm, odd, nothing, small):
     labels = llm.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
