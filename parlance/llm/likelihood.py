@@ -63,11 +63,11 @@ def words_of(text: str | None) -> Iterator[list[bytes]]:
         yield part.encode().lower().split()
 
 
-def bag_of(text: str | None) -> Counter:
-    """The words of a whole text and how often it has them."""
+def bag_of(text: str | None, only: dict[bytes, int] | None = None) -> Counter:
+    """The words of a whole text, or those among ``only``, and how often it has them."""
     found: Counter = Counter()
     for words in words_of(text):
-        found.update(words)
+        found.update(words if only is None else filter(only.__contains__, words))
     return found
 
 
@@ -210,6 +210,10 @@ class Expected:
         )
 
 
+#: Places of row, start, word and end in an edge's number: 24, 8, 16 and 8 bits, for batches of words that are not LONG.
+_START, _WORD, _END = 24, 32, 48
+
+
 class Lattices:
     """Lattices of several classes with the same pieces, for batches of words: arrays (.., class) instead of loops.
 
@@ -236,34 +240,33 @@ class Lattices:
         return self.spelled[character]
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, start, end and row of all edges, by end and then by word."""
-        begin, more, spelled = self.begin, self.more, self.spelled
-        out: list[tuple[int, int, int, int]] = []
+        """Word, start, end and row of all edges, by end and then by word; an edge is one number until all are there."""
+        begin, more, spelled = self.begin.get, self.more.get, self.spelled
+        out: list[int] = []
         add = out.append
         for at, word in enumerate(words):
             string = MARK + word
-            n = len(string)
+            n, own = len(string), at << _WORD
             for end in range(1, n + 1):
-                row = begin.get(string[:end], _NO)
+                row = begin(string[:end], _NO)
                 if row is _NO:
                     break
                 if row is not None:
-                    add((end, at, 0, row))
+                    add(end << _END | own | row)
             for start in range(1, n):
-                end, row = start + 1, more.get(string[start], _NO)
+                end, character = start + 1, string[start]
+                here, row = own | start << _START, more(character, _NO)
                 if row is _NO or row is None:
-                    character = string[start]
-                    add((end, at, start, spelled[character] if character in spelled else self.row_of(character)))
+                    add(end << _END | here | (spelled[character] if character in spelled else self.row_of(character)))
                 while row is not _NO:
                     if row is not None:
-                        add((end, at, start, row))
+                        add(end << _END | here | row)
                     if end == n:
                         break
                     end += 1
-                    row = more.get(string[start:end], _NO)
-        ends, of, starts, rows = np.array(out, "int64").reshape(-1, 4).T
-        order = np.argsort(ends, kind="stable")
-        return of[order], starts[order], ends[order], rows[order]
+                    row = more(string[start:end], _NO)
+        packed = np.sort(np.array(out, "int64"))
+        return (packed >> _WORD) & 0xFFFF, (packed >> _START) & 0xFF, packed >> _END, packed & ((1 << _START) - 1)
 
     def ahead(self, words: list[str], edges: tuple) -> np.ndarray:
         """Scaled sums over all segmentations up to a position: (position, word, class)."""
@@ -431,7 +434,7 @@ def classes_of(texts: DataFrame, telling: dict[bytes, int], number: int = CLASSE
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for row in (told_in(bag_of(text), telling) for text in batch.column(0).to_pylist()) if row[0]]
+            rows = [row for row in (told_in(bag_of(text, telling), telling) for text in batch.column(0).to_pylist()) if row[0]]
             yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64()))], names=["at", "times"])
 
     told = written(texts.mapInArrow(tell, "at array<int>, times array<long>"))
@@ -557,6 +560,18 @@ def expected_counts(counts: DataFrame, lattice: Lattice, number: int) -> list[Ex
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``rows`` or somewhat more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(one.num_rows for one in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if any(one.num_rows for one in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def cut_of(counts: DataFrame, most: int) -> int:
     """The least count, OFTEN or more, that leaves ``most`` words at most."""
     taken, steps = 0, counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()
@@ -612,9 +627,7 @@ def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, flo
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Lattices(shared.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches, BATCH_OF_WORDS):
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype("float64")
             by_class = np.array(batch.column(2).to_pylist(), "float64")
             weight = (by_class + SHARED * (n / everything)[:, None]) / (often_sum + SHARED)
@@ -669,21 +682,17 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
         for batch in batches:
             out = [[] for _ in range(7)]
             for one in batch.column(1).to_pylist():
-                n_tokens, n_known, base, sums = 1, int(n_training > 0), base_end, model.start
-                places, times, rest = [], [], Counter()
-                for word, n in bag_of(one).items():
-                    n_tokens += n
-                    at = place.get(word)
-                    if at is None:
-                        rest[word.decode()] += n
-                    else:
-                        places.append(at)
-                        times.append(n)
-                if places:
-                    n_known += sum(times)
-                    base += float(np.array(times) @ gains[places])
-                    sums = sums + np.array(times, "float64") @ model.logs[places]
-                for column, value in zip(out, (row_id, n_tokens, n_known, base, sums.tolist(), list(rest), list(rest.values()))):
+                bag = bag_of(one)
+                words, times = list(bag), np.fromiter(bag.values(), "float64", len(bag))
+                at = np.array([place.get(word, -1) for word in words], "int64")
+                held = at >= 0
+                n_tokens, n_known, base, sums = 1 + int(times.sum()), int(n_training > 0), base_end, model.start
+                if held.any():
+                    n_known += int(times[held].sum())
+                    base += float(times[held] @ gains[at[held]])
+                    sums = sums + times[held] @ model.logs[at[held]]
+                rest, more = [words[i].decode() for i in np.flatnonzero(~held).tolist()], times[~held].astype("int64")
+                for column, value in zip(out, (row_id, n_tokens, n_known, base, sums.tolist(), rest, more)):
                     column.append(value)
                 row_id += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int64()))
