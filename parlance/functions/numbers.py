@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,12 +35,18 @@ def row_mean(columns: list[Column]) -> Column:
     """Mean of the non-null scores of one row, one decimal; NULL when all are NULL.
 
     Whole numbers only: scores are not negative, so adding half and dividing
-    rounds half up.
+    rounds half up. Every column is evaluated once: the state packs the sum of
+    tenths and, in its low bits, the count, and the closing step binds it.
     """
-    total = reduce(add, [F.coalesce(tenths(c), F.lit(0)) for c in columns])
-    n = F.nullif(reduce(add, [c.isNotNull().cast("int") for c in columns]), F.lit(0))
-    mean = F.floor((total * 2 + n) / (n * 2)).cast("decimal(10,0)")
-    return (mean / 10).cast(SCORE)
+    packed = F.aggregate(
+        F.array(*[tenths(c) for c in columns]), F.lit(0).cast("bigint"), lambda acc, x: F.coalesce(acc + x * 1024 + 1, acc), _mean_of_packed)
+    return (packed.cast("decimal(10,0)") / 10).cast(SCORE)
+
+
+def _mean_of_packed(packed: Column) -> Column:
+    """Mean in tenths, rounded half up, of a sum with its count in the low ten bits; NULL for none."""
+    total, n = F.shiftright(packed, 10), packed.bitwiseAND(F.lit(1023).cast("bigint"))
+    return F.when(n > 0, F.floor((total * 2 + n) / (n * 2)))
 
 
 def sign_of_change(before: Column, after: Column, band: float, inclusive: bool) -> Column:

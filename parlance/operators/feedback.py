@@ -209,25 +209,41 @@ def timeline(pairs: DataFrame) -> DataFrame:
 
 
 def gap_trend(pairs: DataFrame, order: list[Column]) -> DataFrame:
-    """Mean absolute gap of the first half of a workspace's verdicts against the rest."""
+    """Mean absolute gap of the first half of a workspace's verdicts against the rest.
+
+    Rows are counted per value of the first order column; only those of the one
+    value in which a workspace's middle falls are put in order one by one.
+    """
     names = [F.col(f"__o{i}") for i in range(len(order))]
-    scored = cut_lineage(pairs.filter(F.col("e_overall").isNotNull() & F.col("a_overall").isNotNull()).select(
-        "workspace_id", F.abs(F.col("e_overall") - F.col("a_overall")).alias("__gap"),
+    scored = cut_lineage(pairs.filter(F.col("e_overall").isNotNull() & F.col("a_overall").isNotNull() & F.col("workspace_id").isNotNull()).select(
+        "workspace_id", nm.tenths(F.abs(F.col("e_overall") - F.col("a_overall"))).alias("__gap"),
         *[o.alias(f"__o{i}") for i, o in enumerate(order)],
-    ))      # counting and numbering read it
-    sizes = scored.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_placed"))
-    placed = ordered.positions(scored, ["workspace_id"], names, "place").join(sizes, "workspace_id")
-    first = F.col("place") <= F.floor(F.col("n_placed") / 2)
-
-    def mean(condition: Column) -> Column:
-        chosen = F.when(condition, F.col("__gap"))
-        return F.sum(nm.tenths(chosen)).cast("decimal(20,0)") / (F.nullif(F.count(chosen), F.lit(0)) * 10)
-
-    halves = placed.groupBy("workspace_id").agg(
-        F.count(F.lit(1)).alias("n"), mean(first).alias("early"), mean(~first).alias("late")
-    )
+    ))      # counting and ordering read it
+    steps = scored.groupBy("workspace_id", "__o0").agg(F.count(F.lit(1)).alias("__n"), F.sum("__gap").alias("__s"))
+    steps = cut_lineage(ordered.running(cut_lineage(steps), ["workspace_id"], [names[0]], F.col("__n"), "__upto", F.sum))
+    halves = steps.groupBy("workspace_id").agg(F.floor(F.sum("__n") / 2).alias("__half"))
+    placed = steps.join(halves, "workspace_id")
+    before = F.col("__upto") - F.col("__n")
+    split = (F.col("__upto") > F.col("__half")) & (before < F.col("__half"))
+
+    def sides(rows: DataFrame, first: Column, n: Column, gaps: Column) -> DataFrame:
+        return rows.groupBy("workspace_id").agg(*[
+            F.sum(F.when(chosen, value)).alias(f"__{side}_{name}")
+            for side, chosen in (("early", first), ("late", ~first)) for name, value in (("n", n), ("s", gaps))])
+
+    whole = sides(placed.filter(~split), F.col("__upto") <= F.col("__half"), F.col("__n"), F.col("__s"))
+    middle = placed.filter(split).select("workspace_id", F.col("__o0").alias("__step"), (F.col("__half") - before).alias("__left"))
+    inside = scored.join(middle, "workspace_id").filter(F.col("__o0").eqNullSafe(F.col("__step"))).drop("__step")
+    cut = sides(ordered.positions(inside, ["workspace_id"], names, "__place"), F.col("__place") <= F.col("__left"), F.lit(1).cast("bigint"), F.col("__gap"))
+    sums = [F.coalesce(F.sum(f"__{side}_{name}"), F.lit(0)).alias(f"__{side}_{name}") for side in ("early", "late") for name in ("n", "s")]
+    total = whole.unionByName(cut).groupBy("workspace_id").agg(*sums)
+
+    def mean(side: str) -> Column:
+        return (F.col(f"__{side}_s").cast("decimal(20,0)") / (F.nullif(F.col(f"__{side}_n"), F.lit(0)) * 10)).alias(side)
+
+    means = total.select("workspace_id", (F.col("__early_n") + F.col("__late_n")).alias("n"), mean("early"), mean("late"))
     change = nm.sign_of_change(F.col("early"), F.col("late"), nm.TREND_BAND, inclusive=False)
-    return halves.select(
+    return means.select(
         "workspace_id", "n",
         F.when(F.col("n") >= TREND_MIN_ROWS, F.round("early", 1)).cast("double").alias("early"),
         F.when(F.col("n") >= TREND_MIN_ROWS, F.round("late", 1)).cast("double").alias("late"),
