@@ -29,9 +29,11 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ SETTLED = 0.002
 SMOOTHING = 0.1
 #: Probabilities in batches of words are scaled by this (base e) per character; words that are too long for that.
 SCALE, LONG, BATCH_OF_WORDS = 2.5, 100, 2_000
+#: Texts, or rows of a text, that a task works on at once, and about so many bytes.
+BATCH_OF_TEXTS, BATCH_BYTES = 1_024, 4 << 20
 #: Different words that a task walks through lattices.
 EACH = 25_000
 #: So many words of the whole corpus count in a class beside its own.
@@ -71,6 +75,25 @@ def bag_of(text: str | None, only: dict[bytes, int] | None = None) -> Counter:
     return found
 
 
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row and word of all words of a batch of texts, in their order; the rule of :func:`words_of`."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, rows = split.flatten(), np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+    filled = pc.greater(pc.binary_length(words), 0)
+    return rows[filled.to_numpy(zero_copy_only=False)], words.filter(filled)
+
+
+def listed(rows: np.ndarray, number: int, values: pa.Array) -> pa.Array:
+    """A list for each of ``number`` rows; ``rows`` ascend."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(number + 1)), pa.int32()), values)
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``rows``, which ascend, and the sums of their values; a row's sum does not depend on the others."""
+    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, "int64")
+    return rows[heads], np.add.reduceat(values, heads, axis=0) if len(rows) else values
+
+
 @dataclass
 class Lattice:
     """Log weights (base e) of beginning pieces, continuing pieces and bytes, and of a word's end."""
@@ -83,7 +106,14 @@ class Lattice:
 
     def __post_init__(self):
         self.words = Memo(self.word, limit=40_000)
-        self.begin, self.more = with_prefixes(self.first), with_prefixes(self.rest)
+
+    @cached_property
+    def begin(self) -> dict[str, float | None]:
+        return with_prefixes(self.first)
+
+    @cached_property
+    def more(self) -> dict[str, float | None]:
+        return with_prefixes(self.rest)
 
     def spelled(self, character: str) -> float:
         return sum(self.bytes[b] for b in character.encode())
@@ -210,6 +240,54 @@ class Expected:
         )
 
 
+class Trie:
+    """Pieces as one table of steps from node to node, for many places of many words at once.
+
+    A step from a node by a character is at the node's base plus the character's code;
+    it exists if the node owns that place. Node 0 is the root.
+    """
+
+    #: Code of the mark that begins a word (a mark inside of one is a character like others), and of unknown characters.
+    BEGIN, NONE = 1, 0
+
+    def __init__(self, first: list[str], rest: list[str]):
+        characters = sorted({c for p in first for c in p[1:]} | {c for p in rest for c in p})
+        self.codes = np.zeros(0x110000, "int32")
+        self.codes[[ord(c) for c in characters]] = np.arange(2, len(characters) + 2)
+        code = {c: i for i, c in enumerate(characters, 2)}
+        children: list[dict[int, int]] = [{}]
+        ends: list[int] = [-1]
+        for row, piece in enumerate([*first, *rest]):
+            steps = [code[c] for c in piece] if row >= len(first) else [self.BEGIN, *(code[c] for c in piece[1:])]
+            node = 0
+            for step in steps:
+                if step not in children[node]:
+                    children[node][step] = len(children)
+                    children.append({})
+                    ends.append(-1)
+                node = children[node][step]
+            ends[node] = row
+        #: The row of the piece that ends in a node, or -1.
+        self.rows = np.array(ends)
+        width, size = len(characters) + 2, 4 * len(children)
+        self.base, self.owner, self.next = np.zeros(len(children), "int64"), np.full(size + width, -1, "int32"), np.zeros(size + width, "int32")
+        taken, base = bytearray(size + width), 0
+        for node in sorted(range(len(children)), key=lambda i: -len(children[i])):
+            steps = list(children[node])
+            while any(taken[base + step] for step in steps):
+                base = (base + 1) % size
+            self.base[node] = base
+            for step, child in children[node].items():
+                taken[base + step] = 1
+                self.owner[base + step], self.next[base + step] = node, child
+
+    def step(self, nodes: np.ndarray | int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which steps exist, and where those lead."""
+        at = self.base[nodes] + codes
+        there = np.flatnonzero(self.owner[at] == nodes)
+        return there, self.next[at[there]]
+
+
 #: Places of row, start, word and end in an edge's number: 24, 8, 16 and 8 bits, for batches of words that are not LONG.
 _START, _WORD, _END = 24, 32, 48
 
@@ -227,45 +305,46 @@ class Lattices:
         logs = [[one.first[p] for p in self.first] + [one.rest[p] for p in self.rest] for one in self.each]
         sizes = np.array([len(p) for p in self.first] + [len(p) for p in self.rest])
         self.weights = np.exp(np.array(logs).T + sizes[:, None] * SCALE)
-        self.begin = with_prefixes({p: i for i, p in enumerate(self.first)})
-        self.more = with_prefixes({p: i + len(self.first) for i, p in enumerate(self.rest)})
+        self.trie = Trie(self.first, self.rest)
         #: Rows of characters that no piece covers; they are spelled in bytes.
         self.spelled: dict[str, int] = {}
         self.stop = np.array([one.stop for one in self.each])
 
-    def row_of(self, character: str) -> int:
-        if character not in self.spelled:
-            self.spelled[character] = len(self.weights)
-            self.weights = np.vstack([self.weights, np.exp(np.array([one.spelled(character) for one in self.each]) + SCALE)])
-        return self.spelled[character]
+    def rows_of(self, characters: np.ndarray) -> np.ndarray:
+        """Rows of characters (code points) that are spelled in bytes."""
+        different, places = np.unique(characters, return_inverse=True)
+        signs = [chr(c) for c in different.tolist()]
+        if new := [c for c in signs if c not in self.spelled]:
+            self.spelled.update((c, len(self.weights) + i) for i, c in enumerate(new))
+            self.weights = np.vstack([self.weights, np.exp(np.array([[one.spelled(c) for one in self.each] for c in new]) + SCALE)])
+        return np.array([self.spelled[c] for c in signs], "int64")[places]
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word, start, end and row of all edges, by end and then by word; an edge is one number until all are there."""
-        begin, more, spelled = self.begin.get, self.more.get, self.spelled
-        out: list[int] = []
-        add = out.append
-        for at, word in enumerate(words):
-            string = MARK + word
-            n, own = len(string), at << _WORD
-            for end in range(1, n + 1):
-                row = begin(string[:end], _NO)
-                if row is _NO:
-                    break
-                if row is not None:
-                    add(end << _END | own | row)
-            for start in range(1, n):
-                end, character = start + 1, string[start]
-                here, row = own | start << _START, more(character, _NO)
-                if row is _NO or row is None:
-                    add(end << _END | here | (spelled[character] if character in spelled else self.row_of(character)))
-                while row is not _NO:
-                    if row is not None:
-                        add(end << _END | here | row)
-                    if end == n:
-                        break
-                    end += 1
-                    row = more(string[start:end], _NO)
-        packed = np.sort(np.array(out, "int64"))
+        trie, sizes = self.trie, np.array([len(word) + 1 for word in words])
+        signs = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le"), "uint32")
+        of, last = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        starts = np.arange(len(signs)) - (last - sizes[of])
+        codes = trie.codes[signs]
+        codes[starts == 0] = trie.BEGIN
+        own = of << _WORD | starts << _START
+        # All places at once, one character further in each round.
+        places, nodes = trie.step(0, codes)
+        covered, out, size = starts == 0, [], 1
+        while len(places):
+            rows = trie.rows[nodes]
+            here = np.flatnonzero(rows >= 0)
+            if size == 1:
+                covered[places[here]] = True
+            out.append((starts[places[here]] + size) << _END | own[places[here]] | rows[here])
+            inside = np.flatnonzero(places + size < last[places])
+            places, nodes = places[inside], nodes[inside]
+            there, nodes_on = trie.step(nodes, codes[places + size])
+            places, nodes, size = places[there], nodes_on, size + 1
+        bare = np.flatnonzero(~covered)
+        if len(bare):
+            out.append((starts[bare] + 1) << _END | own[bare] | self.rows_of(signs[bare]))
+        packed = np.sort(np.concatenate(out))
         return (packed >> _WORD) & 0xFFFF, (packed >> _START) & 0xFF, packed >> _END, packed & ((1 << _START) - 1)
 
     def ahead(self, words: list[str], edges: tuple) -> np.ndarray:
@@ -293,7 +372,12 @@ class Lattices:
             own = [words[at] for at in short]
             sizes = np.array([len(word) + 1 for word in own])
             sums = self.ahead(own, self.edges(own))
-            out[short] = np.log(sums[sizes, np.arange(len(own))]) - sizes[:, None] * SCALE + self.stop
+            whole = sums[sizes, np.arange(len(own))]
+            with np.errstate(divide="ignore"):
+                out[short] = np.log(whole) - sizes[:, None] * SCALE + self.stop
+            # Words of many characters that no piece covers leave the range.
+            for at in np.flatnonzero((whole <= 0).any(axis=1)).tolist():
+                out[short[at]] = [one.word(own[at]) for one in self.each]
         return out
 
     def expect(self, words: list[str], weights: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -311,7 +395,7 @@ class Lattices:
             if part.start < part.stop:
                 with np.errstate(invalid="ignore", divide="ignore"):
                     share = passing[end, of[part]] * np.where(sums[end, of[part]] > 0, 1 / sums[end, of[part]], 0.0) * sums[starts[part], of[part]] * self.weights[rows[part]]
-                np.add.at(passing, (starts[part], of[part]), share)
+                np.add.at(passing.reshape(-1, passing.shape[2]), starts[part] * len(words) + of[part], share)
                 np.add.at(totals, rows[part], share)
         return totals
 
@@ -363,6 +447,15 @@ class Classes:
     shares: np.ndarray
     logs: np.ndarray
 
+    def kinds(self, rows: np.ndarray, words: pa.Array, number: int) -> np.ndarray:
+        """:meth:`likeliest` for a batch of ``number`` texts."""
+        scores = np.tile(self.shares, (number, 1))
+        rows, places, times = told_rows(rows, words, self.words)
+        if len(rows):
+            own, sums = summed(rows, times[:, None] * self.logs[places])
+            scores[own] += sums
+        return np.argmax(scores, axis=1)
+
     def likeliest(self, words: Counter) -> int:
         at, times = told_in(words, self.words)
         return int(np.argmax(self.shares + np.array(times, "float64") @ self.logs[at])) if at else int(np.argmax(self.shares))
@@ -413,6 +506,15 @@ def estimated(telling: dict[bytes, int], number: int, steps: int, sums: Callable
     return Classes(telling, shares, logs.T.copy())
 
 
+def told_rows(rows: np.ndarray, words: pa.Array, telling: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and times of the telling words of a batch, by row and then by place."""
+    width, places = max(len(telling), 1), np.array(list(telling.values()), "int64")
+    found = pc.fill_null(pc.index_in(words, value_set=pa.array([word.decode() for word in telling], pa.string())), -1).to_numpy()
+    met = np.flatnonzero(found >= 0)
+    keys, times = np.unique(rows[met] * width + (places[found[met]] if len(met) else 0), return_counts=True)
+    return keys // width, keys % width, times
+
+
 def dense(rows: list[tuple[list[int], list[int]]], width: int) -> np.ndarray:
     x = np.zeros((len(rows), width))
     for row, (places, counts) in enumerate(rows):
@@ -433,9 +535,11 @@ def classes_of(texts: DataFrame, telling: dict[bytes, int], number: int = CLASSE
     """
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row for row in (told_in(bag_of(text, telling), telling) for text in batch.column(0).to_pylist()) if row[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64()))], names=["at", "times"])
+        for batch in gathered(batches, BATCH_OF_TEXTS):
+            rows, places, times = told_rows(*tokens_of(batch.column(0)), telling)
+            _, rows = np.unique(rows, return_inverse=True)
+            number = int(rows[-1]) + 1 if len(rows) else 0
+            yield pa.RecordBatch.from_arrays([listed(rows, number, pa.array(places, pa.int32())), listed(rows, number, pa.array(times, pa.int64()))], names=["at", "times"])
 
     told = written(texts.mapInArrow(tell, "at array<int>, times array<long>"))
 
@@ -484,25 +588,28 @@ def word_counts(texts: DataFrame, classes: Classes) -> tuple[DataFrame, DataFram
     number = len(classes.shares)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in range(number)]
-        ended = [0] * number
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, (one, texts) in enumerate(zip(counts, ended)):
-                words, times = pa.array([*(word.decode() for word in one), None], pa.string()), pa.array([*one.values(), texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([words, pa.array([k] * len(words), pa.int32()), times], names=["word", "k", "n"])
-                one.clear()
-            ended[:] = [0] * number
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = bag_of(text)
-                kind = classes.likeliest(words)
-                counts[kind].update(words)
-                if len(counts[kind]) > 300_000:
-                    yield from flush()
-                ended[kind] += 1
-        yield from flush()
+        held: list[pa.Table] = []
+        ended = np.zeros(number, "int64")
+
+        def together(most: int) -> Iterator[pa.RecordBatch]:
+            """Adds up what is held, and hands it over if it is more than ``most`` rows."""
+            if sum(map(len, held)) > most:
+                sums = pa.concat_tables(held).group_by(["word", "k"]).aggregate([("n", "sum")]).select(["word", "k", "n_sum"]).rename_columns(["word", "k", "n"])
+                held[:] = [sums]
+                if len(sums) > most // 2:
+                    held.clear()
+                    yield from sums.combine_chunks().to_batches(max_chunksize=100_000)
+
+        for batch in gathered(batches, BATCH_OF_TEXTS):
+            rows, words = tokens_of(batch.column(0))
+            kinds = classes.kinds(rows, words, batch.num_rows)
+            ended += np.bincount(kinds, minlength=number)
+            encoded = words.dictionary_encode()
+            found, times = np.unique(encoded.indices.to_numpy().astype("int64") * number + kinds[rows], return_counts=True)
+            held.append(pa.table([encoded.dictionary.take(pa.array(found // number)), pa.array(found % number, pa.int32()), pa.array(times, pa.int64())], names=["word", "k", "n"]))
+            yield from together(2_000_000)
+        yield from together(0)
+        yield pa.RecordBatch.from_arrays([pa.nulls(number, pa.string()), pa.array(range(number), pa.int32()), pa.array(ended)], names=["word", "k", "n"])
 
     columns = [f"n{k}" for k in range(number)]
     counted = texts.mapInArrow(count, "word string, k int, n long")
@@ -518,7 +625,7 @@ def expected_counts(counts: DataFrame, lattice: Lattice, number: int) -> list[Ex
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All classes start from the same weights, so a word of one class needs one column.
-        here, totals = Lattices(shared.value), [Expected() for _ in range(number)]
+        here, totals = _lattices(shared.value), [Expected() for _ in range(number)]
         by_class: dict[int, list[tuple[str, float]]] = {}
         sums: dict[int, np.ndarray] = {}
         seen = np.zeros(number)
@@ -561,17 +668,22 @@ def expected_counts(counts: DataFrame, lattice: Lattice, number: int) -> list[Ex
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of ``rows`` or somewhat more."""
+    """The rows in batches of ``rows`` or BATCH_BYTES, or somewhat more."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(one.num_rows for one in held) >= rows:
+        if sum(one.num_rows for one in held) >= rows or sum(one.nbytes for one in held) >= BATCH_BYTES:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = []
     if any(one.num_rows for one in held):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def matrix(rows: np.ndarray) -> pa.Array:
+    """The rows of an array as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
 def cut_of(counts: DataFrame, most: int) -> int:
     """The least count, OFTEN or more, that leaves ``most`` words at most."""
     taken, steps = 0, counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()
@@ -626,14 +738,14 @@ def text_model(counts: DataFrame, texts: np.ndarray, pieces: list[tuple[str, flo
     shared = counts.sparkSession.sparkContext.broadcast(parts_of)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Lattices(shared.value)
+        here = _lattices(shared.value)
         for batch in gathered(batches, BATCH_OF_WORDS):
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype("float64")
-            by_class = np.array(batch.column(2).to_pylist(), "float64")
+            by_class = batch.column(2).flatten().to_numpy().reshape(-1, k).astype("float64")
             weight = (by_class + SHARED * (n / everything)[:, None]) / (often_sum + SHARED)
             in_pieces = np.exp(here.logs(words)) * rare
             logs = np.log10((1 - rare - end) * weight + in_pieces)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(logs), pa.list_(pa.float64()))], names=["word", "n", "logs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), matrix(logs)], names=["word", "n", "logs"])
 
     weighed = written(dealt(counts.filter(often), n_often, EACH).mapInArrow(weigh, "word string, n long, logs array<double>"))
     cut = cut_of(counts, most)
@@ -679,44 +791,48 @@ def scored(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id",
         model = shared.value
         place, gains = model.place, np.log10(model.counts + 1.0)
         row_id = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for one in batch.column(1).to_pylist():
-                bag = bag_of(one)
-                words, times = list(bag), np.fromiter(bag.values(), "float64", len(bag))
-                at = np.array([place.get(word, -1) for word in words], "int64")
-                held = at >= 0
-                n_tokens, n_known, base, sums = 1 + int(times.sum()), int(n_training > 0), base_end, model.start
-                if held.any():
-                    n_known += int(times[held].sum())
-                    base += float(times[held] @ gains[at[held]])
-                    sums = sums + times[held] @ model.logs[at[held]]
-                rest, more = [words[i].decode() for i in np.flatnonzero(~held).tolist()], times[~held].astype("int64")
-                for column, value in zip(out, (row_id, n_tokens, n_known, base, sums.tolist(), rest, more)):
-                    column.append(value)
-                row_id += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int64()))
+        for batch in gathered(batches, BATCH_OF_TEXTS):
+            number = batch.num_rows
+            rows, tokens_in = tokens_of(batch.column(1))
+            encoded = tokens_in.dictionary_encode()
+            ids, words = encoded.indices.to_numpy().astype("int64"), encoded.dictionary
+            at = np.array([place.get(word, -1) for word in words.cast(pa.binary()).to_pylist()], "int64")[ids]
+            held = at >= 0
+            of, at = rows[held], at[held]
+            known = int(n_training > 0) + np.bincount(of, minlength=number)
+            base = base_end + np.bincount(of, weights=gains[at], minlength=number)
+            sums = np.tile(model.start, (number, 1))
+            own, more = summed(of, model.logs[at])
+            sums[own] += more
+            rest, times = np.unique(rows[~held] * max(len(words), 1) + ids[~held], return_counts=True)
+            rest, of = words.take(pa.array(rest % max(len(words), 1))), rest // max(len(words), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(values, kind) for values, kind in zip(out, kinds))],
+                [batch.column(0), pa.array(row_id + np.arange(number)), pa.array(1 + np.bincount(rows, minlength=number)), pa.array(known), pa.array(base),
+                 matrix(sums), listed(of, number, rest), listed(of, number, pa.array(times))],
                 names=[key, "__row", "n_tokens", "__known", "__base", "__sums", "__words", "__times"],
             )
+            row_id += number
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words without an edge, by the lattices, and the sum over classes."""
         model = shared.value
         spelled = _spelled_by(model)
-        for batch in batches:
-            texts = list(zip(*(batch.column(i).to_pylist() for i in range(4, 9))))
-            edged = [set(some or ()) for *_, some, _ in texts]
-            logs = spelled.of({word for (_, words, _, _, _), some in zip(texts, edged) for word in words if word not in some})
-            scores = []
-            for (sums, words, times, _, more), some in zip(texts, edged):
-                per_class = np.array(sums) + np.array(more) if more else np.array(sums)
-                left = [(word, n) for word, n in zip(words, times) if word not in some]
-                if left:
-                    per_class = per_class + np.array([n for _, n in left], "float64") @ (np.array([logs[word] for word, _ in left]) / TEN + model.rare)
-                top = per_class.max()
-                scores.append(float(top + np.log10(np.power(10.0, per_class - top).sum())))
+        for batch in gathered(batches, BATCH_OF_TEXTS):
+            sums, words, times, edged, more = batch.columns[4:9]
+            per_class = sums.flatten().to_numpy().reshape(-1, k).copy()
+            per_class[more.is_valid().to_numpy(zero_copy_only=False)] += more.flatten().to_numpy().reshape(-1, k)
+            rows_of = lambda lists: np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            encoded = pa.concat_arrays([words.flatten(), edged.flatten()]).dictionary_encode()
+            different, rows = len(encoded.dictionary), rows_of(words)
+            ids = encoded.indices.to_numpy().astype("int64")
+            left = ~np.isin(rows * different + ids[: len(rows)], rows_of(edged) * different + ids[len(rows) :])
+            needed, at = np.unique(ids[: len(rows)][left], return_inverse=True)
+            if len(needed):
+                logs = spelled.of(encoded.dictionary.take(pa.array(needed)).to_pylist()) / TEN + model.rare
+                own, sums = summed(rows[left], times.flatten().to_numpy()[left][:, None] * logs[at])
+                per_class[own] += sums
+            top = per_class.max(axis=1)
+            scores = top + np.log10(np.power(10.0, per_class - top[:, None]).sum(axis=1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())], names=[key, "n_tokens", "n_known", "__gained", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -748,14 +864,26 @@ class Spelled:
         self.lattices = Lattices(parts)
         self.known: dict[str, np.ndarray] = {}
 
-    def of(self, words: set[str]) -> dict[str, np.ndarray]:
+    def of(self, words: list[str]) -> np.ndarray:
+        """Log probabilities (word, class)."""
         if len(self.known) > 100_000:
             self.known = {}
-        new = sorted(words.difference(self.known))
+        new = sorted(set(words).difference(self.known))
         for start in range(0, len(new), BATCH_OF_WORDS):
             part = new[start : start + BATCH_OF_WORDS]
             self.known.update((word, log) for word, log in zip(part, self.lattices.logs(part)))
-        return self.known
+        return np.array([self.known[word] for word in words])
+
+
+#: The last parts and their lattices in a worker; the parts are kept, so that no others can be taken for them.
+_LATTICES: list[tuple[list[tuple], Lattices]] = []
+
+
+def _lattices(parts: list[tuple]) -> Lattices:
+    """The lattices of broadcast parts, built once per worker."""
+    if not _LATTICES or _LATTICES[0][0] is not parts:
+        _LATTICES[:] = [(parts, Lattices(parts))]
+    return _LATTICES[0][1]
 
 
 #: The last model and its lattices; the model is kept, so that no other can be taken for it.

@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from parlance.llm import catalog
+from parlance.llm import catalog, likelihood
 from parlance.llm.common import fold
 from parlance.llm.likelihood import MARK, OFTEN, SHARED, TEN, Expected, Lattice, Lattices, classes_of, found_classes, from_scores, scored, telling_words, vocabulary, word_counts, words_of
 
@@ -75,6 +76,31 @@ def test_batches_of_words_are_single_words(lattice):
             assert all(math.isclose(got.get(p, 0.0), plain.get(p, 0.0), rel_tol=1e-6, abs_tol=1e-9) for p in {*got, *plain})
 
 
+def test_words_out_of_range_and_marks_inside(lattice):
+    """Many characters that no piece covers leave the range of scaled sums; a mark inside of a word begins no piece."""
+    words = ["\U0001f980" * 60, "a" + MARK + "the", MARK * 3, "the", "\U0001f980the"]
+    part = (lattice.first, lattice.rest, lattice.bytes, lattice.stop)
+    got = Lattices([part, part]).logs(words)
+    assert np.isfinite(got).all() and np.allclose(got, [[lattice.word(w)] * 2 for w in words], rtol=1e-9)
+
+
+def test_batches_of_texts_are_single_texts():
+    """Words, telling words and classes of a batch; white space is that of ASCII alone."""
+    texts = ["The OF\x0band  the", None, "", "  \t", "x\x1cy\u00a0z\u2003É É", "der die\r\nund der", "the of and " * 50]
+    rows, words = likelihood.tokens_of(pa.array(texts))
+    bags = [Counter() for _ in texts]
+    for row, word in zip(rows.tolist(), words.to_pylist()):
+        bags[row][word.encode()] += 1
+    assert bags == [likelihood.bag_of(text) for text in texts]
+    telling = places("the of and der die und")
+    want = [(i, *pair) for i, bag in enumerate(bags) for pair in zip(*likelihood.told_in(bag, telling))]
+    assert list(zip(*(x.tolist() for x in likelihood.told_rows(rows, words, telling)))) == want
+    classes = found_classes(bags, telling, number=2)
+    assert classes.kinds(rows, words, len(texts)).tolist() == [classes.likeliest(bag) for bag in bags]
+    parts = [(dict(a=0.0), dict(b=0.0), [0.0] * 256, 0.0)]
+    assert likelihood._lattices(parts) is likelihood._lattices(parts)
+
+
 def test_weights_are_a_distribution(lattice):
     assert math.isclose(sum(map(math.exp, lattice.first.values())), 1.0, rel_tol=1e-9)
     assert math.isclose(sum(map(math.exp, lattice.rest.values())) + sum(map(math.exp, lattice.bytes)) + math.exp(lattice.stop), 1.0, rel_tol=1e-9)
