@@ -102,10 +102,11 @@ def opened_challenges(t):
     SELECT operation_id, workspace_id, n_openings, n_refused, n_attempted, n_blocked,
            CASE WHEN last_open = last_refused THEN 'waiting' WHEN n_openings > 0 THEN 'open' ELSE 'unknown' END AS state FROM f""")
 def operation_states(t):
-    """Openings, refusals and calls folded per operation."""
+    """Openings, refusals and calls folded per operation; what only a log row shows is not carried through the scans."""
     openings, given = declared(t)
     missing = cut_lineage(au.missing_at_opening(openings, given))
-    return au.operation_states(openings, missing, au.append_rows(decisions(t), missing))
+    calls = t["fx_calls"].drop("module", "endpoint", "summary")
+    return au.operation_states(openings, missing, au.append_rows(au.decide(calls, t["fx_grants"], allowed(t)), missing))
 
 
 @query("a2_recent_log", "SELECT id, workspace_id, provider, status, n_chars FROM fx_audit ORDER BY id DESC LIMIT 300")
